@@ -1 +1,237 @@
-"""Queries."""
+"""Queries: table comparison, reconciliation, retention, health."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import keys
+from ..operators import health, lifecycle, quality
+from ..sources import archive, tables
+from . import standins as v
+from .catalog import query
+from .oracle import with_
+
+
+def _diff(spark, sf):
+    return quality.table_diff(*v.diff_sides(spark, sf))
+
+
+@query(
+    "j14_table_diff",
+    with_("diff") + "SELECT CAST(k AS VARCHAR) AS trip_id, CAST(seq AS INT) AS stop_sequence, status, diffs FROM diff",
+)
+def _(spark, sf):
+    return _diff(spark, sf).select("trip_id", "stop_sequence", "status", "diffs")
+
+
+@query(
+    "a20_diff_summary",
+    with_("diff")
+    + """SELECT count(*) FILTER (WHERE status IN ('match', 'within_tolerance')) AS matching,
+      count(*) FILTER (WHERE status = 'within_tolerance') AS within_tolerance, count(*) FILTER (WHERE status = 'mismatch') AS mismatched,
+      count(*) FILTER (WHERE status = 'only_a') AS only_a, count(*) FILTER (WHERE status = 'only_b') AS only_b,
+      round(count(*) FILTER (WHERE status IN ('match', 'within_tolerance')) * 100 / count(*)::DOUBLE, 4) AS agreement_pct FROM diff""",
+)
+def _(spark, sf):
+    return quality.diff_summary(_diff(spark, sf))
+
+
+
+
+@query(
+    "a21_verify_counts",
+    with_("visits")
+    + """, mark AS (SELECT max(observed_us) AS w FROM visits WHERE entity_pos % 3 = 0)
+    SELECT 'observations' AS "table", (SELECT count(*) FROM visits, mark WHERE observed_us <= w) AS source_rows,
+      (SELECT count(*) FROM visits WHERE entity_pos % 3 = 0) AS copy_rows, false AS match
+    UNION ALL SELECT 'orders', count(*), count(*), true FROM orders""",
+)
+def _(spark, sf):
+    source = v.visits(spark, sf)
+    copy = source.filter("entity_pos % 3 = 0")  # a copy that lost rows
+    orders = v.table(spark, sf, "orders")
+    return quality.verify_counts(
+        {"observations": (quality.up_to_watermark(source, copy), copy), "orders": (orders, orders)}
+    )
+
+
+@query(
+    "a21_content_checksum",
+    """SELECT md5(string_agg(c, '|' ORDER BY k, l)) AS checksum, count(*) AS rows_checked FROM (
+      SELECT l_orderkey AS k, l_linenumber AS l, l_orderkey || ',' || l_linenumber || ',' || min(l_suppkey) || ',' || count(*) AS c
+      FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 5000)""",
+)
+def _(spark, sf):
+    rows = v.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("rows")
+    )
+    return quality.content_checksum(rows, ["l_orderkey", "l_linenumber"], ["supplier", "rows"])
+
+
+@query(
+    "a21_table_fingerprint",
+    "SELECT count(*) AS n_rows, true AS same FROM lineitem",
+)
+def _(spark, sf):
+    """The digest of a table equals that of the same rows in another order."""
+    items = v.table(spark, sf, "lineitem")
+    a = quality.table_fingerprint(items, items.columns)
+    b = quality.table_fingerprint(items.repartition(7, "l_partkey"), items.columns)
+    return a.unionAll(b).agg(
+        F.max("n_rows").alias("n_rows"),
+        ((F.min("xor_hash") == F.max("xor_hash")) & (F.min("sum_hash") == F.max("sum_hash"))).alias("same"),
+    )
+
+
+@query(
+    "a25_verify_archive",
+    """SELECT event_type AS feed, count(*) AS local_records, count(*) FILTER (WHERE event_id % 97 <> 0) AS copy_records,
+      CAST(sum(length(props)) AS BIGINT) AS payload_bytes_verified,
+      count(*) FILTER (WHERE event_id % 97 = 0 ) + 2 * count(*) FILTER (WHERE event_id % 97 = 1) AS differing, false AS verified
+    FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    """A copy that lost some records and altered others."""
+    events = v.table(spark, sf, "events").withColumn("fetched_at", F.col("ts").cast("timestamp"))
+
+    def side(df, text):
+        return df.select(F.col("event_type").alias("feed"), "fetched_at", text.cast("binary").alias("payload"))
+
+    altered = F.when(F.col("event_id") % 97 == 1, F.concat(F.col("props"), F.lit("x"))).otherwise(F.col("props"))
+    copy = side(events.filter("event_id % 97 <> 0"), altered)
+    return archive.verify_archive(side(events, F.col("props")), copy)
+
+
+_UPLOAD = "status <> 'ok' AS upload, status = 'ok' AS confirmed"
+
+
+@query("j15_reconcile", with_("manifest") + f"SELECT key, bytes, status, {_UPLOAD} FROM manifest")
+def _(spark, sf):
+    local, remote = v.manifests(spark, sf)
+    return lifecycle.reconcile(local, remote).select("key", "bytes", "status", "upload", "confirmed")
+
+
+@query(
+    "j16_prune_plan",
+    with_("manifest")
+    + """SELECT key, CASE WHEN status = 'ok' THEN 'prune' ELSE 'withhold' END AS action FROM manifest
+    WHERE modified_at < TIMESTAMP '2024-01-31' - INTERVAL 90 DAY""",
+)
+def _(spark, sf):
+    local, remote = v.manifests(spark, sf)
+    confirmed = lifecycle.reconcile(local, remote).filter("confirmed")
+    return lifecycle.prune_plan(local, confirmed, v.as_of(), 90).select("key", "action")
+
+
+_EVICT = """SELECT strftime(w, '%Y-%m-%d') AS week_start, count(*) AS days, count(*) FILTER (WHERE missing) AS missing_days,
+      'stop_time_observations_w' || strftime(w, '%Y%m%d') AS bucket, count(*) FILTER (WHERE missing) = 0 AS droppable
+    FROM (SELECT DISTINCT CAST(date_trunc('week', o_orderdate) AS DATE) AS w, CAST(o_orderdate AS DATE) AS d, {missing} AS missing FROM orders)
+    WHERE w + 6 < DATE '2001-08-01' - 45 GROUP BY w"""
+
+
+def _ordered_days(spark, sf):
+    days = v.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("service_date"))
+    return days, days.filter(F.dayofmonth("service_date") != 13)
+
+
+@query("j17_eviction", _EVICT.format(missing="day(o_orderdate) = 13"))
+def _(spark, sf):
+    observed, rolled = _ordered_days(spark, sf)
+    return lifecycle.eviction_plan(observed, rolled, F.lit("2001-08-01").cast("date"), 45)
+
+
+@query("j17_eviction_monthly", _EVICT.format(missing="(day(o_orderdate) = 13 OR month(o_orderdate) = 6)"))
+def _(spark, sf):
+    observed, rolled = _ordered_days(spark, sf)
+    months = observed.filter(F.month("service_date") != 6).select(F.to_date(F.trunc("service_date", "MM")).alias("month"))
+    return lifecycle.eviction_plan(observed, rolled, F.lit("2001-08-01").cast("date"), 45, months)
+
+
+@query(
+    "w5_dump_retention",
+    with_("dumps")
+    + """, p AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('day', dumped_at) ORDER BY dumped_at DESC) AS d1,
+        row_number() OVER (PARTITION BY date_trunc('week', dumped_at) ORDER BY dumped_at DESC) AS w1,
+        row_number() OVER (PARTITION BY date_trunc('month', dumped_at) ORDER BY dumped_at DESC) AS m1,
+        dense_rank() OVER (ORDER BY date_trunc('day', dumped_at) DESC) AS d2, dense_rank() OVER (ORDER BY date_trunc('week', dumped_at) DESC) AS w2,
+        dense_rank() OVER (ORDER BY date_trunc('month', dumped_at) DESC) AS m2 FROM dumps WHERE dumped_at IS NOT NULL)
+    SELECT name, epoch_us(dumped_at) AS dumped_at, concat_ws(',', CASE WHEN d1 = 1 AND d2 <= 7 THEN 'daily' END,
+        CASE WHEN m1 = 1 AND m2 <= 12 THEN 'monthly' END, CASE WHEN w1 = 1 AND w2 <= 4 THEN 'weekly' END) AS generations,
+      (d1 = 1 AND d2 <= 7) OR (w1 = 1 AND w2 <= 4) OR (m1 = 1 AND m2 <= 12) AS retain FROM p
+    UNION ALL SELECT name, NULL, '', true FROM dumps WHERE dumped_at IS NULL""",
+)
+def _(spark, sf):
+    return lifecycle.dump_retention(v.dump_names(spark, sf), "snapshot")
+
+
+_PATHS = """SELECT feed || '/' || strftime(ts, '%Y-%m-%d') || '/' || strftime(ts, '%Y-%m-%dT%H') || suffix AS path, feed, ts, suffix
+    FROM (SELECT DISTINCT event_type AS feed, date_trunc('hour', ts) AS ts,
+      CASE user_id % 5 WHEN 0 THEN '.ndjson.gz' WHEN 1 THEN '.ndjson.br' WHEN 2 THEN '.ndjson.gz.partial' WHEN 3 THEN '.ndjson.gz.txt' ELSE 'x.ndjson.gz' END AS suffix
+      FROM events)"""
+
+
+def _shard_paths(spark, sf):
+    ts = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    suffix = F.element_at(
+        F.array(*map(F.lit, (".ndjson.gz", ".ndjson.br", ".ndjson.gz.partial", ".ndjson.gz.txt", "x.ndjson.gz"))),
+        (F.col("user_id") % 5 + 1).cast("int"),
+    )
+    path = F.concat(
+        F.concat_ws("/", "event_type", F.date_format(ts, "yyyy-MM-dd"), F.date_format(ts, "yyyy-MM-dd'T'HH")), suffix
+    )
+    return v.table(spark, sf, "events").select(path.alias("path")).distinct()
+
+
+@query(
+    "x12_shard_key",
+    f"""SELECT path, CASE WHEN suffix IN ('.ndjson.gz', '.ndjson.br') THEN feed || '/' || strftime(ts, '%Y/%m/%d/%H') || suffix END AS key FROM ({_PATHS})""",
+)
+def _(spark, sf):
+    return _shard_paths(spark, sf).select("path", keys.shard_key(F.col("path")).alias("key"))
+
+
+@query(
+    "s14_shard_manifest",
+    f"""SELECT path, suffix = '.ndjson.gz.partial' AS partial,
+      CASE WHEN suffix IN ('.ndjson.gz', '.ndjson.br') THEN feed || '/' || strftime(ts, '%Y/%m/%d/%H') || suffix
+           WHEN suffix = '.ndjson.gz.partial' THEN path END AS key, suffix <> 'x.ndjson.gz' AS recognised
+    FROM ({_PATHS}) WHERE suffix <> '.ndjson.gz.txt'""",
+)
+def _(spark, sf):
+    return archive.shard_manifest(_shard_paths(spark, sf)).select("path", "partial", "key", "recognised")
+
+
+@query(
+    "s13_runs_kept",
+    with_("runs")
+    + """SELECT feed, count(*) AS polls, count(*) FILTER (WHERE ok) AS good, CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes
+    FROM runs WHERE started_at >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY GROUP BY feed""",
+)
+def _(spark, sf):
+    kept = tables.runs_to_keep(v.runs(spark, sf), v.as_of(), 20)
+    return kept.groupBy("feed").agg(
+        F.count(F.lit(1)).alias("polls"), F.count_if("ok").alias("good"), F.sum("payload_bytes").alias("payload_bytes")
+    )
+
+
+def _report(spark, sf):
+    backups = v.dump_names(spark, sf).select("name", F.lit("2024-01-29 12:00:00").cast("timestamp").alias("modified_at"))
+    local, _ = v.manifests(spark, sf)
+    return health.health_report(
+        v.visits(spark, sf), v.day_coverage(spark, sf), v.runs(spark, sf), backups, local, v.as_of()
+    )
+
+
+@query(
+    "health_report",
+    with_("visits", "coverage", "runs")
+    + """SELECT 'Collecting' AS label, (epoch_us(TIMESTAMP '2024-01-31') - max(observed_us)) / 60000000.0 < 15 AS ok FROM visits
+    UNION ALL SELECT 'Rows this week', count(*) > 500000 FROM visits WHERE observed_us > epoch_us(TIMESTAMP '2024-01-24')
+    UNION ALL SELECT 'Total observations', true
+    UNION ALL SELECT 'Coverage (latest complete day)', coverage_pct >= 85 OR known_gap_reason IS NOT NULL FROM coverage WHERE service_date = (SELECT max(service_date) FROM coverage)
+    UNION ALL SELECT 'Poll failures', count(*) FILTER (WHERE NOT ok) / count(*) < 0.02 FROM runs WHERE started_at > TIMESTAMP '2024-01-24'
+    UNION ALL SELECT 'Last backup', true
+    UNION ALL SELECT 'Archive copy', sum(n_chars) > 0 FROM documents""",
+)
+def _(spark, sf):
+    return _report(spark, sf).select("label", "ok")
