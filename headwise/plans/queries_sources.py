@@ -104,7 +104,7 @@ def _archived(spark, sf):
 
 @query(
     "s5_s6_archive_round_trip",
-    """SELECT event_type AS feed, epoch_us(ts) AS fetched_at, 200 AS http_status, CAST(NULL AS BIGINT) AS feed_timestamp, 1 AS attempts,
+    """SELECT 'trips' AS feed, epoch_us(ts) AS fetched_at, 200 AS http_status, CAST(NULL AS BIGINT) AS feed_timestamp, 1 AS attempts,
       CAST(length(props) AS INT) AS payload_bytes, md5(props) AS digest FROM events""",
 )
 def _(spark, sf):
@@ -113,7 +113,7 @@ def _(spark, sf):
 
 @query(
     "s6_archive_shards",
-    """SELECT event_type AS shard_feed, strftime(ts, '%Y-%m-%d') AS shard_date, strftime(ts, '%H') AS shard_hour, count(*) AS records
+    """SELECT 'trips' AS shard_feed, strftime(ts, '%Y-%m-%d') AS shard_date, strftime(ts, '%H') AS shard_hour, count(*) AS records
     FROM events GROUP BY ALL""",
 )
 def _(spark, sf):
