@@ -19,26 +19,30 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return completed(versions).agg(F.max_by("feed_version_id", "loaded_at").alias("feed_version_id"))
 
 
-def bind_version(dates: DataFrame, versions: DataFrame, date: str = "date") -> DataFrame:
-    """The version to use on each date.
-
-    Of the completed versions valid on the date the one loaded last, else the one
-    loaded last of all, else null. Validity windows are expanded to days, so the
-    interval condition is an equi-join.
-    """
+def with_version(rows: DataFrame, versions: DataFrame, date: str) -> DataFrame:
+    """``rows`` with the feed_version_id to use on their ``date``; see :func:`bind_version`."""
     valid = completed(versions).select(
         F.explode(F.sequence("feed_start_date", "feed_end_date")).alias(date), "feed_version_id", "loaded_at"
     )
     per_day = valid.groupBy(date).agg(F.max_by("feed_version_id", "loaded_at").alias("_covering"))
     latest = latest_version(versions).scalar()
     return (
-        dates.select(date)
-        .distinct()
-        .join(per_day, date, "left")
-        .select(date, F.coalesce("_covering", latest).alias("feed_version_id"))
+        rows.join(per_day, date, "left")
+        .withColumn("feed_version_id", F.coalesce("_covering", latest))
+        .drop("_covering")
     )
 
 
+def bind_version(dates: DataFrame, versions: DataFrame, date: str = "date") -> DataFrame:
+    """The version to use on each date.
+
+    Of the completed versions valid on the date the one loaded last, else the one
+    loaded last of all, else null. Validity windows are expanded to days, so the
+    interval condition is an equi-join.
+    """
+    return with_version(dates.select(date).distinct(), versions, date)
+
+
 def service_dates(calendar: DataFrame, calendar_dates: DataFrame) -> DataFrame:
     """(feed_version_id, service_id, date) on which each service runs.
 

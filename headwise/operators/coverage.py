@@ -50,8 +50,9 @@ def day_coverage(
     day, so the timetable is never multiplied by the number of days; observed
     events are those whose (trip, sequence) exists and whose service runs.
     """
-    observed = observed_events(observations).filter(F.col("service_date") < as_of)
-    days = bind_days(observed.select("service_date").distinct(), versions, policy)
+    finished = observations.filter(F.col("service_date") < as_of)
+    observed = observed_events(finished)
+    days = bind_days(finished.select("service_date").distinct(), versions, policy)
     running = days.join(services.withColumnRenamed("date", "service_date"), [VERSION, "service_date"])
 
     sized = calendar.trip_lengths(trips.select(VERSION, "trip_id", "service_id"), stop_times)

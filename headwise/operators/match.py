@@ -43,9 +43,7 @@ def trip_schedules(timetable: Timetable) -> DataFrame:
 def with_version(trips: DataFrame, versions: DataFrame, tz: str) -> DataFrame:
     """Bind each trip update to the version in effect on its poll's local date."""
     dated = trips.withColumn("poll_date", times.local_date(F.col("header_ts"), tz))
-    # Bind every day the versions could be asked for: the distinct poll dates.
-    bound = calendar.bind_version(dated, versions, "poll_date")
-    return dated.join(bound, "poll_date", "left")
+    return calendar.with_version(dated, versions, "poll_date")
 
 
 def with_schedule(trips: DataFrame, timetable: Timetable) -> DataFrame:
@@ -193,32 +191,35 @@ def transform_stats(feeds: DataFrame, timetable: Timetable, tz: str) -> DataFram
         F.when(F.col("anchored"), orphans).otherwise(F.lit(0)).alias("orphans"),
         F.transform(eligible, lambda s: s["stop_sequence"]).alias("eligible"),
     )
-    # Counters ride on the visit of smallest grain: first per (poll, trip key), then per poll.
-    counters = per_trip.groupBy("poll_id").agg(
-        F.count(F.lit(1)).alias("trip_updates"),
-        F.count_if("is_modified").alias("modified_trips"),
-        F.sum("stops_total").alias("stop_updates_total"),
-        F.sum(F.size("eligible").cast("long")).alias("_eligible"),
-        F.sum("departure_only").alias("skipped_departure_only"),
-        F.sum("no_data").alias("skipped_no_data"),
-        F.sum("no_time").alias("skipped_no_time"),
-        F.count_if("unmatched").alias("unmatched_trips"),
-        F.sum("orphans").alias("unmatched_stops"),
-        F.count_if("unresolved").alias("unresolved_service_date"),
+    # One pass: the counters of a trip update ride on its first eligible stop, so that
+    # grouping by visit finds the distinct keys and carries the counters along.
+    counters = {
+        "trip_updates": F.lit(1),
+        "modified_trips": F.col("is_modified").cast("int"),
+        "stop_updates_total": F.col("stops_total"),
+        "skipped_departure_only": F.col("departure_only"),
+        "skipped_no_data": F.col("no_data"),
+        "skipped_no_time": F.col("no_time"),
+        "unmatched_trips": F.col("unmatched").cast("int"),
+        "unmatched_stops": F.col("orphans"),
+        "unresolved_service_date": F.col("unresolved").cast("int"),
+    }
+    carried = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    visit = ["poll_id", "service_date", "trip_id", "is_modified", "stop_sequence"]
+    stops = per_trip.select("*", F.posexplode_outer("eligible").alias("_pos", "stop_sequence"))
+    per_visit = stops.groupBy(*visit).agg(
+        F.count("stop_sequence").alias("_rows"),
+        *[F.sum(F.when(carried, c.cast("long")).otherwise(F.lit(0))).alias(name) for name, c in counters.items()],
     )
-    visits = (
-        per_trip.select("poll_id", "service_date", "trip_id", "is_modified", F.explode("eligible").alias("stop_sequence"))
-        .distinct()
-        .groupBy("poll_id")
-        .agg(F.count(F.lit(1)).alias("rows_emitted"))
+    # A poll without trip updates still has a row, of zeros.
+    polls = feeds.select("poll_id", F.lit(0).alias("_rows"), *[F.lit(0).alias(name) for name in counters])
+    every = per_visit.select("poll_id", "_rows", *counters).unionByName(polls)
+    emitted = F.count_if(F.col("_rows") > 0)
+    return every.groupBy("poll_id").agg(
+        *[F.sum(name).alias(name) for name in counters],
+        emitted.alias("rows_emitted"),
+        (F.sum("_rows") - emitted).alias("duplicate_keys"),
     )
-    joined = (
-        feeds.select("poll_id")
-        .join(counters, "poll_id", "left")
-        .join(visits, "poll_id", "left")
-        .fillna(0)
-    )
-    return joined.withColumn("duplicate_keys", F.col("_eligible") - F.col("rows_emitted")).drop("_eligible")
 
 
 def vehicles_tracked(trips: DataFrame) -> DataFrame:

@@ -386,14 +386,14 @@ def _stamp():
     return F.lit("2024-01-31T00:00:00Z")
 
 
-def _metadata(spark, sf):
-    return serving.stop_metadata(v.cells(spark, sf), v.stops(spark, sf), v.trips(spark, sf), v.stop_times(spark, sf))
+def _metadata(spark, sf, cells):
+    return serving.stop_metadata(cells, v.stops(spark, sf), v.trips(spark, sf), v.stop_times(spark, sf))
 
 
-def _route_documents(spark, sf):
-    order = _order(spark, sf)
+def _route_documents(spark, sf, cells):
+    order = v.stored(_order(spark, sf), "order")
     return documents.route_documents(
-        v.cells(spark, sf), v.routes(spark), order, calendar.stop_positions(order), v.stops(spark, sf), _stamp()
+        cells, v.routes(spark), order, calendar.stop_positions(order), v.stops(spark, sf), _stamp()
     )
 
 
@@ -417,7 +417,8 @@ WLO, WHI = wilson("wlate", "wn")
 )
 def _(spark, sf):
     """Each document parsed back into its cells."""
-    docs = documents.stop_documents(v.cells(spark, sf), _metadata(spark, sf), _stamp())
+    cells = v.stored(v.cells(spark, sf), "cells")
+    docs = documents.stop_documents(cells, _metadata(spark, sf, cells), _stamp())
     schema = (
         "struct<cells: array<struct<r string, h int, d int, n bigint, mean double, sd double, pctLate double, p50 int, days int, "
         "confidence string, fallback struct<scope string, n bigint, pctLateLo double, mean double, hours array<int>>>>>"
@@ -462,7 +463,8 @@ def _(spark, sf):
         )
     )
     hours = F.transform(d["hours"], lambda h: F.concat_ws(":", *[h[x].cast("string") for x in "hdn"]))
-    return _route_documents(spark, sf).select("route_id", F.from_json("json", schema).alias("d")).select(
+    docs = _route_documents(spark, sf, v.stored(v.cells(spark, sf), "cells"))
+    return docs.select("route_id", F.from_json("json", schema).alias("d")).select(
         "route_id",
         d["route"]["name"].alias("name"),
         d["n"].alias("n"),
@@ -479,21 +481,27 @@ def _(spark, sf):
     )
 
 
-def _index(spark, sf):
-    cells, daily = v.cells(spark, sf), v.daily(spark, sf)
-    day = _snapshot(spark, sf)
+def _index(spark, sf, daily, cells):
+    covered = v.stored(v.day_coverage(spark, sf), "coverage")
+    day = serving.snapshot_day(daily, covered, F.lit("2024-01-07").cast("date"), ok_pct=12.0)
     return documents.index_entries(
         rollup.dataset_summary(daily, cells),
         serving.day_types_present(cells),
         rollup.growth(daily),
-        v.day_coverage(spark, sf),
+        covered,
         serving.snapshot(daily, day),
         serving.worst_routes(daily, day, v.routes(spark)),
-        _metadata(spark, sf),
+        _metadata(spark, sf, cells),
         serving.route_metadata(cells, v.routes(spark)),
     )
 
 
+def _tiers(spark, sf):
+    """The daily buckets and the serving tier, stored."""
+    daily = v.stored(v.daily(spark, sf), "daily")
+    return daily, v.stored(rollup.serving_stats(daily, v.gaps(spark)), "cells")
+
+
 @query(
     "s12_index",
     with_("daily", "cells", "coverage", "routes", "rt")
@@ -510,7 +518,7 @@ def _index(spark, sf):
 def _(spark, sf):
     """The entries' counts and labels, read back from their JSON."""
     j = F.from_json("json", "n bigint, totalObservations bigint, date string, name string")
-    return _index(spark, sf).select(
+    return _index(spark, sf, *_tiers(spark, sf)).select(
         "section",
         "position",
         F.coalesce(j["n"], j["totalObservations"]).alias("n"),

@@ -162,8 +162,9 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch_path(spark, "site")
     q = queries_serving
-    stops = documents.stop_documents(v.cells(spark, sf), q._metadata(spark, sf), q._stamp())
-    documents.write_site(stops, q._route_documents(spark, sf), q._index(spark, sf), root)
+    daily, cells = q._tiers(spark, sf)
+    stops = documents.stop_documents(cells, q._metadata(spark, sf, cells), q._stamp())
+    documents.write_site(stops, q._route_documents(spark, sf, cells), q._index(spark, sf, daily, cells), root)
     parts = [
         spark.read.text(f"{root}/{kind}").select(F.lit(kind).alias("kind")) for kind in ("stops", "routes")
     ]

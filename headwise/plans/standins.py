@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates, times
 from ..operators import calendar, coverage, match, rollup
-from ..session import prepare
+from ..session import prepare, scratch_path
 from ..sources import decode
 
 TZ = "America/Chicago"
@@ -97,6 +97,13 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumns({"first_seen_at": F.col("observed_at"), "last_seen_at": F.col("observed_at")})
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, as jobs hand tables on."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def gaps(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(list(GAPS), "d string, known_gap_reason string")
     return rows.select(F.col("d").cast("date").alias("service_date"), "known_gap_reason")
