@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
+    spark.sparkContext.setCheckpointDir(made)
     return made
 
 
