@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import health, lifecycle, quality
+from ..operators import collapse, health, lifecycle, quality
 from ..sources import archive, tables
 from . import standins as v
 from .catalog import query
 from .oracle import with_
+from .queries_stats import ORDER
 
 
 def _diff(spark, sf):
@@ -40,15 +41,15 @@ def _(spark, sf):
 
 @query(
     "a21_verify_counts",
-    with_("visits")
-    + """, mark AS (SELECT max(observed_us) AS w FROM visits WHERE entity_pos % 3 = 0)
-    SELECT 'observations' AS "table", (SELECT count(*) FROM visits, mark WHERE observed_us <= w) AS source_rows,
-      (SELECT count(*) FROM visits WHERE entity_pos % 3 = 0) AS copy_rows, false AS match
+    with_("visits", "collapsed")
+    + """, seen AS (SELECT count(*) AS n FROM visits WHERE observed_us <= (SELECT max(first_seen_us) FROM collapsed))
+    SELECT 'observations' AS "table", n AS source_rows, (SELECT count(*) FROM collapsed) AS copy_rows,
+      n = (SELECT count(*) FROM collapsed) AS match FROM seen
     UNION ALL SELECT 'orders', count(*), count(*), true FROM orders""",
 )
 def _(spark, sf):
     source = v.visits(spark, sf)
-    copy = source.filter("entity_pos % 3 = 0")  # a copy that lost rows
+    copy = collapse.collapse(v.predictions(spark, sf), ORDER)  # one row per visit, not per prediction
     orders = v.table(spark, sf, "orders")
     return quality.verify_counts(
         {"observations": (quality.up_to_watermark(source, copy), copy), "orders": (orders, orders)}
@@ -85,21 +86,20 @@ def _(spark, sf):
 
 @query(
     "a25_verify_archive",
-    """SELECT event_type AS feed, count(*) AS local_records, count(*) FILTER (WHERE event_id % 97 <> 0) AS copy_records,
+    """SELECT event_type AS feed, count(*) AS local_records, count(*) AS copy_records,
       CAST(sum(length(props)) AS BIGINT) AS payload_bytes_verified,
-      count(*) FILTER (WHERE event_id % 97 = 0 ) + 2 * count(*) FILTER (WHERE event_id % 97 = 1) AS differing, false AS verified
+      2 * count(*) FILTER (WHERE value > 200) AS differing, count(*) FILTER (WHERE value > 200) = 0 AS verified
     FROM events GROUP BY 1""",
 )
 def _(spark, sf):
-    """A copy that lost some records and altered others."""
+    """A copy in which some records were altered."""
     events = v.table(spark, sf, "events").withColumn("fetched_at", F.col("ts").cast("timestamp"))
 
-    def side(df, text):
-        return df.select(F.col("event_type").alias("feed"), "fetched_at", text.cast("binary").alias("payload"))
+    def side(text):
+        return events.select(F.col("event_type").alias("feed"), "fetched_at", text.cast("binary").alias("payload"))
 
-    altered = F.when(F.col("event_id") % 97 == 1, F.concat(F.col("props"), F.lit("x"))).otherwise(F.col("props"))
-    copy = side(events.filter("event_id % 97 <> 0"), altered)
-    return archive.verify_archive(side(events, F.col("props")), copy)
+    altered = F.when(F.col("value") > 200, F.concat(F.col("props"), F.lit("x"))).otherwise(F.col("props"))
+    return archive.verify_archive(side(F.col("props")), side(altered))
 
 
 _UPLOAD = "status <> 'ok' AS upload, status = 'ok' AS confirmed"

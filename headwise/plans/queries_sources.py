@@ -149,7 +149,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "serving")
     cells = v.cells(spark, sf)
-    tables.swap(cells.limit(1), path, "v1")
+    tables.swap(cells.withColumn("n", F.lit(-1).cast("long")), path, "v1")
     tables.swap(cells, path, "v2")
     return tables.current(spark, path)
 

@@ -146,15 +146,12 @@ def _(spark, sf):
     rows.write.parquet(f"{out}/predictions")
     stored = spark.readStream.schema(rows.schema).parquet(f"{out}/predictions")
     (
-        polls.live_visits(stored)
+        polls.live_chunks(stored)
         .writeStream.outputMode("update")
         .option("checkpointLocation", f"{out}/_checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{out}/live"))
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/live/batch={n}"))
         .start()
         .awaitTermination()
     )
-    live = spark.read.parquet(f"{out}/live")
-    keys = _LIVE_COLUMNS[:4]
-    newest = F.max(F.struct("poll_count", *_LIVE_COLUMNS[4:-3], *_LIVE_COLUMNS[-2:]))
-    return live.groupBy(*keys).agg(newest.alias("s")).select(*keys, *[F.col(f"s.{c}") for c in _LIVE_COLUMNS[4:]])
+    return polls.live_visits(spark.read.parquet(f"{out}/live"))

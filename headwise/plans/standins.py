@@ -477,8 +477,8 @@ def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.timestamp_seconds(F.lit(1704067200) - (F.col("doc_id") % 200) * 86400).alias("modified_at"),
     )
     i = F.col("key").cast("long")
-    remote = local.filter(i % 11 != 0).select(
-        "key",
+    remote = local.select(
+        F.when(i % 11 == 0, F.concat(F.lit("moved/"), "key")).otherwise(F.col("key")).alias("key"),
         F.when(i % 23 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"),
         F.when(i % 10 == 0, F.lit("0" * 32)).when(i % 17 == 0, F.lit(None)).otherwise(F.upper("md5")).alias("md5"),
     )

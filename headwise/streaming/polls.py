@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -167,19 +167,22 @@ def poll_health(runs: DataFrame, watermark: str = "1 day") -> DataFrame:
 # -- stateful folding -----------------------------------------------------------------
 
 LIVE = (
-    "service_date date, trip_id string, stop_sequence int, is_modified boolean, observed_arrival timestamp, "
-    "min_predicted_arrival timestamp, max_predicted_arrival timestamp, change_count bigint, poll_count bigint, "
-    "first_seen_at timestamp, last_seen_at timestamp"
+    "service_date date, trip_id string, stop_sequence int, is_modified boolean, chunk bigint, "
+    "first_arrival bigint, last_arrival bigint, least bigint, most bigint, changes bigint, polls bigint, "
+    "first_seen bigint, last_seen bigint"
 )
-_STATE = "last bigint, least bigint, most bigint, changes bigint, polls bigint, first_seen bigint, last_seen bigint"
+_FOLD = ("first_arrival", "last_arrival", "least", "most", "changes", "polls", "first_seen", "last_seen")
+_STATE = ", ".join(f"{name} bigint" for name in _FOLD)
 
 
-def live_visits(predictions: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Running fold of each visit, kept in stream state (update mode).
+def live_chunks(predictions: DataFrame, watermark: str = "1 day", chunk_s: int = 3600) -> DataFrame:
+    """Running fold of each visit and hour, kept in stream state (update mode).
 
-    Stricter than re-folding: predictions later than the watermark are dropped, and
-    one that is older than what its visit has already seen can only widen the
-    extremes and the counts. State expires a watermark after a visit's last row.
+    The state is keyed by visit and time chunk, so a visit with very many
+    predictions is spread over its hours. Stricter than re-folding: predictions
+    later than the watermark are dropped, and one older than what its own chunk has
+    seen widens the extremes and the counts but not the changes. State expires a
+    day after a chunk's last row.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -190,48 +193,62 @@ def live_visits(predictions: DataFrame, watermark: str = "1 day") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last, least, most, changes, polls, first_seen, last_seen = state.get if state.exists else (None,) * 7
         rows = pd.concat(list(frames))
-        at = rows["at"].to_numpy()
-        arrival = rows["arrival"].to_numpy()
-        order = np.lexsort((rows["fetched"].to_numpy(), at))
-        at, arrival = at[order], arrival[order]
-        # Rows in order after what was seen count as changes; older ones do not.
-        fresh = arrival if last_seen is None else arrival[at > last_seen]
-        if len(fresh):
-            moved = int((fresh[1:] != fresh[:-1]).sum())
-            moved += int(last is not None and fresh[0] != last)
-            last = int(fresh[-1])
+        order = np.lexsort((rows["fetched"].to_numpy(), rows["at"].to_numpy()))
+        at, arrival = rows["at"].to_numpy()[order], rows["arrival"].to_numpy()[order]
+        if not state.exists:
+            first, last = arrival[0], arrival[-1]
+            least, most, polls = arrival.min(), arrival.max(), 0
+            changes = (arrival[1:] != arrival[:-1]).sum()
+            first_seen, last_seen = at[0], at[-1]
         else:
-            moved = 0
-        least = int(min(arrival.min(), arrival.min() if least is None else least))
-        most = int(max(arrival.max(), arrival.max() if most is None else most))
-        first_seen = int(at[0] if first_seen is None else min(first_seen, at[0]))
-        last_seen = int(at[-1] if last_seen is None else max(last_seen, at[-1]))
-        changes, polls = (changes or 0) + moved, (polls or 0) + len(arrival)
-        state.update((last, least, most, changes, polls, first_seen, last_seen))
-        state.setTimeoutTimestamp(max(last_seen // 1000, state.getCurrentWatermarkMs()) + 86_400_000)
-        stamp = lambda us: pd.Timestamp(us, unit="us", tz="UTC")
-        yield pd.DataFrame(
-            {
-                **{name: [value] for name, value in zip(VISIT_KEY, key, strict=True)},
-                "observed_arrival": [stamp(last)],
-                "min_predicted_arrival": [stamp(least)],
-                "max_predicted_arrival": [stamp(most)],
-                "change_count": [changes],
-                "poll_count": [polls],
-                "first_seen_at": [stamp(first_seen)],
-                "last_seen_at": [stamp(last_seen)],
-            }
-        )
+            first, last, least, most, changes, polls, first_seen, last_seen = state.get
+            fresh = arrival[at > last_seen]
+            if len(fresh):
+                changes += int(fresh[0] != last) + (fresh[1:] != fresh[:-1]).sum()
+                last = fresh[-1]
+            if at[0] < first_seen:
+                first = arrival[0]
+            least, most = min(least, arrival.min()), max(most, arrival.max())
+            first_seen, last_seen = min(first_seen, at[0]), max(last_seen, at[-1])
+        values = tuple(int(x) for x in (first, last, least, most, changes, polls + len(at), first_seen, last_seen))
+        state.update(values)
+        state.setTimeoutTimestamp(max(values[-1] // 1000, state.getCurrentWatermarkMs()) + 86_400_000)
+        row = dict(zip((*VISIT_KEY, "chunk", *_FOLD), (*key, *values), strict=True))
+        yield pd.DataFrame({name: [x] for name, x in row.items()})
 
     slim = predictions.withWatermark("observed_at", watermark).select(
         *VISIT_KEY,
         "observed_at",
+        F.floor(F.unix_seconds("observed_at") / chunk_s).alias("chunk"),
         F.unix_micros("observed_at").alias("at"),
         F.unix_micros("fetched_at").alias("fetched"),
         F.unix_micros("observed_arrival").alias("arrival"),
     )
-    return slim.groupBy(*VISIT_KEY).applyInPandasWithState(
+    return slim.groupBy(*VISIT_KEY, "chunk").applyInPandasWithState(
         fold, LIVE, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def live_visits(chunks: DataFrame) -> DataFrame:
+    """Visits from the chunks written so far: the newest version of each, in time order."""
+    newest = (
+        chunks.groupBy(*VISIT_KEY, "chunk")
+        .agg(F.max(F.struct("polls", *[c for c in _FOLD if c != "polls"])).alias("c"))
+        .select(*VISIT_KEY, "chunk", "c.*")
+    )
+    order = Window.partitionBy(*VISIT_KEY).orderBy("chunk")
+    moved = F.lag("last_arrival").over(order) != F.col("first_arrival")
+    return (
+        newest.withColumn("_boundary", F.coalesce(moved.cast("int"), F.lit(0)))
+        .groupBy(*VISIT_KEY)
+        .agg(
+            F.timestamp_micros(F.max_by("last_arrival", "chunk")).alias("observed_arrival"),
+            F.timestamp_micros(F.min("least")).alias("min_predicted_arrival"),
+            F.timestamp_micros(F.max("most")).alias("max_predicted_arrival"),
+            F.sum(F.col("changes") + F.col("_boundary")).alias("change_count"),
+            F.sum("polls").alias("poll_count"),
+            F.timestamp_micros(F.min("first_seen")).alias("first_seen_at"),
+            F.timestamp_micros(F.max("last_seen")).alias("last_seen_at"),
+        )
+    )
