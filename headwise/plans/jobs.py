@@ -43,7 +43,7 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
     def static(self, name: str, latest: bool = True) -> DataFrame:
-        df = self.read(f"static/{name}")
+        df = gtfs.stored_table(self.spark, self.path("static"), name)
         if latest:
             version = calendar.latest_version(self.versions()).scalar()
             df = df.filter(F.col("feed_version_id") == version)

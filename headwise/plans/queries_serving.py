@@ -408,7 +408,7 @@ WLO, WHI = wilson("wlate", "wn")
       round(c.pct_late_240, 1) AS pct_late, c.p50_delay_approx AS p50, service_days AS days,
       CASE WHEN c.n >= 20 THEN 'confident' WHEN c.n >= 5 THEN 'provisional' ELSE 'sparse' END AS confidence,
       CASE WHEN c.n < 5 THEN scope END AS fb_scope, CASE WHEN c.n < 5 THEN wn END AS fb_n,
-      CASE WHEN c.n < 5 THEN round({WLO}, 1) END AS fb_lo, CASE WHEN c.n < 5 THEN round(wsum / wn::DOUBLE, 1) END AS fb_mean,
+      CASE WHEN c.n < 5 AND scope IS NOT NULL THEN round({WLO}, 1) END AS fb_lo, CASE WHEN c.n < 5 THEN round(wsum / wn::DOUBLE, 1) END AS fb_mean,
       CASE WHEN c.n < 5 THEN array_to_string(whours, ',') END AS fb_hours,
       row_number() OVER (PARTITION BY c.stop_id ORDER BY c.route_id, c.day_type, c.hour_of_day) - 1 AS position
     FROM cells c JOIN wide USING (stop_id, route_id, hour_of_day, day_type))

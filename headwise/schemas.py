@@ -48,6 +48,25 @@ ROLLUP_DIMS = ("route_id", "stop_id", "hour_of_day", "day_type")
 CELL_DIMS = ("stop_id", "route_id", "hour_of_day", "day_type")
 KNOWN_GAPS = "service_date date, known_gap_reason string"
 
+#: Timetable tables as stored, each partitioned by feed_version_id.
+STATIC = {
+    "routes": "route_id string, route_short_name string, route_long_name string, route_type int, route_color string",
+    "stops": "stop_id string, stop_code string, stop_name string, stop_lat double, stop_lon double",
+    "trips": (
+        "trip_id string, route_id string, service_id string, trip_headsign string, direction_id int, "
+        "block_id string, shape_id string"
+    ),
+    "calendar": (
+        "service_id string, monday boolean, tuesday boolean, wednesday boolean, thursday boolean, friday boolean, "
+        "saturday boolean, sunday boolean, start_date date, end_date date"
+    ),
+    "calendar_dates": "service_id string, date date, exception_type int",
+    "stop_times": (
+        "trip_id string, stop_sequence int, stop_id string, arrival_s int, departure_s int, timepoint boolean, "
+        "pickup_type int, drop_off_type int"
+    ),
+}
+
 #: Primary keys of the timetable tables, without the version.
 STATIC_KEYS = {
     "routes": ("route_id",),

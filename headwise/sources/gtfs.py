@@ -159,6 +159,12 @@ def read_table(spark: SparkSession, directory: str, table: str, strict: bool = F
     return first_by_key(df, schemas.STATIC_KEYS[table]) if table in schemas.STATIC_KEYS else df.drop(FILE_ORDER)
 
 
+def stored_table(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """One timetable table of the versioned store, all versions; it may be empty."""
+    ddl = f"{schemas.STATIC[table]}, feed_version_id int"
+    return spark.read.schema(ddl).parquet(f"{store.rstrip('/')}/{table}")
+
+
 # -- versions -----------------------------------------------------------------
 
 
