@@ -120,9 +120,10 @@ def prune_runs(spark: SparkSession, path: str, as_of: Column, days: int) -> None
         if day == boundary:
             kept = runs_to_keep(runs.filter(F.col("run_date") == F.lit(day).cast("date")), as_of, days)
             spare = f"{path.rstrip('/')}/_trim"
-            kept.write.mode("overwrite").parquet(spare)
-            trimmed = spark.read.schema(kept.schema).parquet(spare)
-            replace_partitions(trimmed, path, ["run_date"], emptied=[{"run_date": day}])
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(spare)
+            delete(spark, where)
+            layout = [c for c in ("run_date", "batch") if c in runs.columns]
+            spark.read.schema(kept.schema).parquet(spare).write.mode("append").partitionBy(*layout).parquet(path)
             delete(spark, spare)
         else:
             delete(spark, where)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as k
+from ..functions import times
 from ..operators import collapse, flatten, match
 from ..schemas import VISIT_KEY
 from ..sources import archive, decode, tables
@@ -61,6 +62,12 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, timetable: match
     tables.replace_partitions(metrics, store.path("metrics"), ["batch"], emptied=[{"batch": batch_id}])
 
     refold(spark, store, batch_id)
+    stored_metrics = _batch_of(spark, store, "metrics", batch_id)
+    visits = observations(spark, store) if tables.exists(spark, store.path("observations")) else None
+    runs = poll_runs(fresh, decoded, stored_metrics, visits).withColumn("batch", F.lit(batch_id))
+    tables.replace_partitions(
+        runs.withColumn("run_date", F.to_date("started_at")), store.path("ingest_runs"), ["run_date", "batch"]
+    )
     polls = decoded.select("feed", "fetched_at", F.to_date("fetched_at").alias("poll_date")).withColumn(
         "batch", F.lit(batch_id)
     )
@@ -132,6 +139,49 @@ def poll_metrics(feeds: DataFrame, timetable: match.Timetable, tz: str) -> DataF
     )
 
 
+def poll_runs(
+    polls: DataFrame, decoded: DataFrame, metrics: DataFrame | None, visits: DataFrame | None
+) -> DataFrame:
+    """The operational record of each poll, failed ones included (ingest_runs).
+
+    ``rows_changed`` counts the visits first seen in the poll.
+    """
+    base = polls.select(
+        "feed", "fetched_at", "http_status", F.octet_length("payload").alias("payload_bytes"), "attempts"
+    ).join(
+        decoded.select("poll_id", "feed", "fetched_at", "header_ts", "error"), ["feed", "fetched_at"]
+    )
+    counters = ("entity_total", "trip_updates", "rows_emitted", "skipped_no_data", "skipped_departure_only", "skipped_no_time")
+    if metrics is None:
+        base = base.select("*", *[F.lit(None).cast("bigint").alias(c) for c in counters])
+    else:
+        base = base.join(metrics.select("poll_id", *counters), "poll_id", "left")
+    if visits is None:
+        base = base.withColumn("rows_changed", F.lit(None).cast("bigint"))
+    else:
+        first_seen = visits.groupBy(F.col("first_seen_at").alias("header_ts")).agg(F.count(F.lit(1)).alias("_new"))
+        base = base.join(first_seen, "header_ts", "left").withColumn(
+            "rows_changed", F.when(F.col("error").isNull(), F.coalesce("_new", F.lit(0)))
+        )
+    return base.select(
+        "feed",
+        F.col("fetched_at").alias("started_at"),
+        F.lit(None).cast("int").alias("duration_ms"),
+        F.col("error").isNull().alias("ok"),
+        "http_status",
+        times.feed_age_s(F.col("fetched_at"), F.col("header_ts")).alias("feed_age_s"),
+        F.col("header_ts").alias("feed_timestamp"),
+        "payload_bytes",
+        F.col("entity_total").cast("int").alias("entities_total"),
+        F.col("trip_updates").cast("int").alias("entities_decoded"),
+        F.col("rows_emitted").alias("rows_written"),
+        "rows_changed",
+        (F.col("skipped_no_data") + F.col("skipped_departure_only") + F.col("skipped_no_time")).alias("rows_skipped"),
+        "attempts",
+        "error",
+    )
+
+
 def live_status(metrics: DataFrame, seed_total: int = 0) -> DataFrame:
     """One row: the last poll's rows and vehicles, its time, and the running total.
 

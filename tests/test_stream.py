@@ -42,6 +42,10 @@ def test_stream_equals_batch_and_survives_replay(spark, nested, tmp_path):
     assert spark.read.parquet(store.path("polls")).count() == nested.count()
     status = polls.live_status(spark.read.parquet(store.path("metrics"))).first()
     assert status.total_rows == spark.read.parquet(store.path("predictions")).count()
+    runs = spark.read.parquet(store.path("ingest_runs")).agg(
+        F.count_if("ok").alias("good"), F.sum("rows_written").alias("written"), F.max("feed_age_s").alias("age")
+    ).first()
+    assert (runs.good, runs.written, runs.age) == (nested.count(), status.total_rows, 0)
 
 
 def test_repeating_a_batch_changes_nothing(spark, nested, tmp_path):
@@ -64,6 +68,9 @@ def test_bad_payloads_do_not_stop_the_stream(spark, nested, tmp_path):
     broken = one.withColumn("payload", F.lit(b"\xff\xff")).withColumn("feed", F.lit("broken"))
     polls.ingest_batch(one.unionAll(broken), 0, store, standins.probe_timetable(spark), standins.TZ)
     assert spark.read.parquet(store.path("quarantine")).count() == nested.count()
+    runs = spark.read.parquet(store.path("ingest_runs"))
+    assert {(r.feed, r.ok): r["count"] for r in runs.groupBy("feed", "ok").count().collect()} == {
+        ("trips", True): nested.count(), ("broken", False): nested.count()}
     assert polls.observations(spark, store).count() > 100
 
 
