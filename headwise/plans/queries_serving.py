@@ -226,9 +226,9 @@ def _(spark, sf):
 
 
 def _snapshot(spark, sf):
-    return serving.snapshot_day(
-        v.daily(spark, sf), v.day_coverage(spark, sf), F.lit("2024-01-07").cast("date"), ok_pct=12.0
-    )
+    """The stored daily buckets and their snapshot day."""
+    daily, covered = v.stored(v.daily(spark, sf), "daily"), v.stored(v.day_coverage(spark, sf), "coverage")
+    return daily, serving.snapshot_day(daily, covered, F.lit("2024-01-07").cast("date"), ok_pct=12.0)
 
 
 _DAY = """day AS (SELECT max(service_date) AS d FROM daily WHERE service_date IN
@@ -255,7 +255,7 @@ def _(spark, sf):
     FROM (SELECT service_date, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_late_240) AS BIGINT) AS n_late FROM daily, day WHERE service_date = d GROUP BY 1)""",
 )
 def _(spark, sf):
-    return serving.snapshot(v.daily(spark, sf), _snapshot(spark, sf))
+    return serving.snapshot(*_snapshot(spark, sf))
 
 
 _WORST = f""", {_DAY}, worst AS (SELECT route_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_late_240) AS BIGINT) AS n_late,
@@ -270,7 +270,7 @@ _WORST = f""", {_DAY}, worst AS (SELECT route_id, CAST(sum(n) AS BIGINT) AS n, C
     + " SELECT route_id, n, n_late, round(pct_late, 6) AS pct_late, route_long_name AS route_name FROM worst LEFT JOIN routes USING (route_id)",
 )
 def _(spark, sf):
-    return serving.worst_routes(v.daily(spark, sf), _snapshot(spark, sf), v.routes(spark))
+    return serving.worst_routes(*_snapshot(spark, sf), v.routes(spark))
 
 
 @query(
@@ -338,7 +338,8 @@ _RANKED = """cand AS (SELECT rs.*, seq, max_seq, seq / max_seq::DOUBLE AS x FROM
 
 
 def _parts(spark, sf):
-    return serving.route_stop_totals(v.cells(spark, sf)), calendar.stop_positions(_order(spark, sf))
+    totals = v.stored(serving.route_stop_totals(v.cells(spark, sf)), "totals")
+    return totals, v.stored(calendar.stop_positions(_order(spark, sf)), "positions")
 
 
 @query(

@@ -27,7 +27,7 @@ def test_stream_equals_batch_and_survives_replay(spark, nested, tmp_path):
     timetable = standins.probe_timetable(spark)
 
     def drain():
-        polls.ingest(spark, root, store, timetable, standins.TZ, max_files=3).awaitTermination()
+        polls.ingest(spark, root, store, timetable, standins.TZ, max_files=10).awaitTermination()
 
     # Late half first, then the early half with the late one replayed.
     archive.write_archive(payloads.filter(F.col("fetched_at") >= middle), root)
