@@ -31,12 +31,20 @@ class Timetable:
 
 
 def trip_schedules(timetable: Timetable) -> DataFrame:
-    """Trips that have stop times: service and a map of sequence to seconds."""
+    """Trips that have stop times: a map of sequence to seconds, and their running dates.
+
+    Dates are attached here, on the timetable's side, so that trip updates are
+    joined and shuffled once and never by service, of which a few carry most trips.
+    """
     per_trip = timetable.stop_times.groupBy("feed_version_id", "trip_id").agg(
         F.map_from_entries(F.collect_list(F.struct("stop_sequence", "arrival_s"))).alias("schedule")
     )
-    return timetable.trips.select("feed_version_id", "trip_id", "service_id").join(
-        per_trip, ["feed_version_id", "trip_id"]
+    never = F.array().cast("array<date>")
+    return (
+        timetable.trips.select("feed_version_id", "trip_id", "service_id")
+        .join(calendar.service_calendar(timetable.services), ["feed_version_id", "service_id"], "left")
+        .join(per_trip, ["feed_version_id", "trip_id"])
+        .select("feed_version_id", "trip_id", "schedule", F.coalesce("active_dates", never).alias("active_dates"))
     )
 
 
@@ -48,13 +56,7 @@ def with_version(trips: DataFrame, versions: DataFrame, tz: str) -> DataFrame:
 
 def with_schedule(trips: DataFrame, timetable: Timetable) -> DataFrame:
     """Attach ``schedule`` and ``active_dates``; both null for an unknown trip."""
-    joined = trips.join(trip_schedules(timetable), ["feed_version_id", "trip_id"], "left")
-    active = calendar.service_calendar(timetable.services)
-    dated = joined.join(active, ["feed_version_id", "service_id"], "left")
-    return dated.drop("service_id").withColumn(
-        "active_dates",
-        F.when(F.col("schedule").isNotNull(), F.coalesce("active_dates", F.array().cast("array<date>"))),
-    )
+    return trips.join(trip_schedules(timetable), ["feed_version_id", "trip_id"], "left")
 
 
 def resolve_service_date(arrival_s: Column, seconds: Column, active_dates: Column, tz: str) -> Column:
