@@ -37,20 +37,20 @@ def only_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_R
     return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
 
 
-def with_offsets(counts: DataFrame, by: list[str], order: list[str], fine: Column, coarse: Column) -> DataFrame:
+def with_offsets(counts: DataFrame, by: list[str], order: list[str], coarse: Column) -> DataFrame:
     """Add ``offset``: the sum of ``n`` over earlier rows of the same ``by``, in two levels.
 
-    ``coarse`` groups neighbours in the order, ``fine`` orders within; no task sums more than one
-    coarse group, or one row for each coarse group.
+    ``coarse`` numbers runs of neighbours in that order; no task sums more than one run, or one row
+    for each run.
     """
     from pyspark.sql import Window as W
 
-    rows = counts.withColumn("_coarse", coarse).withColumn("_fine", fine)
+    rows = counts.withColumn("_coarse", coarse)
     before = lambda keys, o: W.partitionBy(*keys).orderBy(*o).rowsBetween(W.unboundedPreceding, -1)
     tops = rows.groupBy(*by, "_coarse").agg(F.sum("n").alias("_n"))
     tops = tops.withColumn("_base", F.coalesce(F.sum("_n").over(before(by, ["_coarse"])), F.lit(0))).drop("_n")
     rows = rows.withColumn("_rest", F.coalesce(F.sum("n").over(before([*by, "_coarse"], order)), F.lit(0)))
-    return rows.join(tops, [*by, "_coarse"]).withColumn("offset", F.col("_base") + F.col("_rest")).drop("_coarse", "_fine", "_base", "_rest")
+    return rows.join(tops, [*by, "_coarse"]).withColumn("offset", F.col("_base") + F.col("_rest")).drop("_coarse", "_base", "_rest")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dups, quality
+from . import line_dedup, mixing, near_dups, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its new text's size and checksum."""
     out = line_dedup.drop_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
+@query("op3_mix_sources")
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.interleaved(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("row.doc_id", "mix_source", "mix_block", "mix_place")
