@@ -1,80 +1,105 @@
-"""Links between nodes in common buckets, and connected components, as Spark joins."""
+"""Links between similar sets in common buckets, and connected components, as Spark joins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on nothing."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+    return odd.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long), root the smallest node reachable.
 
     Alternating large and small stars: each round hangs every node's neighbours on its smallest
-    one, until nothing changes; the number of rounds grows with the logarithm of a component.
-    Each round is written to the shared folder. No group of neighbours is ever gathered: a round
-    takes a minimum for each node and joins it back.
+    one, until each node hangs on a root; the number of rounds grows with the logarithm of a
+    component. Each round is written to the shared folder. No group of neighbours is ever
+    gathered: a round takes a minimum for each node and joins it back.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _mark(edges)
-    while seen[0]:
+    while not _settled(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.union(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct(), "edges")
-        was, seen = seen, _mark(edges)
-        if was == seen:
-            break
+        edges = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have ``den * |A & B| >= num * |A | B|``."""
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    some = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    # The smaller set must reach the share of the larger one by itself.
+    some = some.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return some.join(left, "a").join(right, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b")
+
+
+def _least_common(x: Column, y: Column, num: int, den: int) -> Column:
+    """Common elements that sets of these sizes need."""
+    return F.ceil((x + y) * num / (num + den))
+
+
+def _by_rare_shingles(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) with different roots that can be similar, by the exact prefix filter.
+
+    With each set's shingles from the rarest to the commonest, two similar sets share one among
+    the first ``n - ceil(n * num / den) + 1`` of both, and from the first that they share enough
+    must be left in both.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    seen = each.groupBy("shingle").agg(F.count("*").alias("seen"))
+    # A shingle of one set alone finds nothing, but takes its place in the order.
+    ranked = each.join(seen, "shingle").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("seen", "shingle")))
+    head = ranked.where((F.col("seen") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1))
+    head = head.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    x = head.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "root")))
+    y = head.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "root")))
+    left = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    able = (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (left >= _least_common(F.col("x_n"), F.col("y_n"), num, den))
+    return x.join(y, "shingle").where(able).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
+def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """(node, root) of the components that confirmed links make; nodes without a link are absent.
 
-    members: (bucket, node), both long. In each bucket the smallest node is the centre of a star,
-    so a bucket of n nodes gives n - 1 candidate pairs. ``verify`` keeps the pairs (a, b) that are
-    links. A bucket whose nodes then lie in several components may hold a link that no star
-    touched: it goes on with new centres, from its smaller components first, against the nodes of
-    its other components only, and with twice as many centres in each round, until each pair of
-    nodes in a common bucket is in one component or was compared.
+    members: (bucket, node), both long. ``sets_of`` gives (node, shingles) of the nodes in a stored
+    one-column table. In each bucket the smallest node is the centre of a star, so a bucket of n
+    nodes gives n - 1 candidate pairs. A bucket whose nodes then lie in several components may hold
+    a link that its star did not touch: the nodes of such buckets are compared again, exactly,
+    where the prefix filter leaves it open and their components differ.
     """
     w = W.partitionBy("bucket")
-    shared = members.select("bucket", "node", F.min("node").over(w).alias("centre"), F.max("node").over(w).alias("last")).where("centre <> last")
-    shared = stored(shared.select("bucket", "node", "centre"), "buckets")
+    shared = members.select("bucket", "node", F.min("node").over(w).alias("centre"), F.max("node").over(w).alias("last"))
+    shared = stored(shared.where("centre <> last").select("bucket", "node", "centre"), "buckets")
     tried = stored(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = stored(verify(tried), "links")
-    roots = components(links)
-    at, step = 0, 1
-    while True:
-        own = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        own = own.withColumn("size", F.count("*").over(W.partitionBy("bucket", "root")))
-        own = own.withColumn("most", F.max("size").over(w)).withColumn("n", F.count("*").over(w))
-        # Two nodes were compared in the first round, and so were all with the smallest one.
-        own = own.where("n > 2 and size < n").withColumn("rank", F.row_number().over(w.orderBy("size", "root", "node")))
-        own = stored(own.where(F.col("n") - F.col("most") > at), "open")
-        if own.isEmpty():
-            return roots
-        centres = own.where((F.col("rank") > at) & (F.col("rank") <= at + step)).select("bucket", F.col("node").alias("c"), F.col("root").alias("r"))
-        pairs = centres.join(own.select("bucket", "node", "root"), "bucket").where("root <> r")
-        pairs = pairs.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = stored(verify(pairs), "links")
-        tried = tried.union(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = components(links)
-            at, step = 0, 2 * step
-        else:
-            at, step = at + step, 2 * step
+    nodes = stored(shared.select("node").distinct(), "nodes")
+    sets = stored(sets_of(nodes), "sets")
+    roots = components(similar(tried, sets, num, den))
+    held = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
+    open_ = stored(shared.join(mixed.select("bucket"), "bucket", "left_semi").select("node").distinct(), "open")
+    pairs = _by_rare_shingles(sets.join(open_, "node", "left_semi"), roots, num, den).join(tried, ["a", "b"], "left_anti")
+    more = similar(stored(pairs, "pairs"), sets, num, den)
+    # New links join components as wholes.
+    ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    ends = stored(ends.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "links")
+    if ends.isEmpty():
+        return roots
+    joint = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = roots.union(ends.select(F.col("a").alias("node"), F.col("ra").alias("root"))).union(ends.select("b", "rb")).distinct()
+    return every.join(joint, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
