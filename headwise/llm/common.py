@@ -27,14 +27,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the stored one-column ``keys``.
+def only_keys(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the stored one-column ``keys``; with "left_anti" the others.
 
     The keys are counted first: up to ``limit`` they go to every executor, so that ``df`` is
     filtered where it is read; more are joined by shuffle. The rows are the same either way.
     """
     small = keys.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
+    return df.join(F.broadcast(keys) if small else keys, key, how)
 
 
 def with_offsets(counts: DataFrame, by: list[str], order: list[str], coarse: Column) -> DataFrame:

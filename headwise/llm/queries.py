@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dups, quality
+from . import line_dedup, mixing, near_dups, pieces, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.interleaved(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return out.select("row.doc_id", "mix_source", "mix_block", "mix_place")
+
+
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary file, where the workers have it too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_sentencepiece_samples")
+def op2_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct segmentations of every document, as sizes and checksums of their ids."""
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
