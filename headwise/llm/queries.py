@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dups, pieces, quality
+from headwise.session import scratch_path
+
+from . import line_dedup, mixing, near_dups, pieces, quality, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,10 @@ def tokenizer_file(name: str) -> str:
 def op2_sentencepiece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct segmentations of every document, as sizes and checksums of their ids."""
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
+@query("op1_token_store")
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path)
+    return token_store.read(spark, path)
