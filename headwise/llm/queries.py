@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headwise.session import scratch_path
 
-from . import line_dedup, mixing, near_dups, pieces, quality, token_store
+from . import html_text, language_id, line_dedup, mixing, near_dups, pieces, quality, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,16 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_store.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), path)
     return token_store.read(spark, path)
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_html_text")
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
