@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
+
+#: Gives the distinct shingle hashes, ascending, of each text of a column.
+Shingler = Callable[[pa.Array], list[np.ndarray]]
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -37,16 +42,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
-def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have ``den * |A & B| >= num * |A | B|``."""
-    sizes = sets.select("node", F.size("shingles").alias("n"))
-    some = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    # The smaller set must reach the share of the larger one by itself.
-    some = some.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return some.join(left, "a").join(right, "b").where(both * den >= (F.size("x") + F.size("y") - both) * num).select("a", "b")
+def similar(pairs: DataFrame, texts: DataFrame, shingler: Shingler, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have ``den * |A & B| >= num * |A | B|``.
+
+    Texts travel to their pairs, being smaller than their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x"):
+            keep = []
+            for x, y in zip(shingler(batch.column("x")), shingler(batch.column("y"))):
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * den >= max(len(x), len(y)) * num else 0
+                keep.append(both * den >= (len(x) + len(y) - both) * num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _least_common(x: Column, y: Column, num: int, den: int) -> Column:
@@ -54,14 +65,22 @@ def _least_common(x: Column, y: Column, num: int, den: int) -> Column:
     return F.ceil((x + y) * num / (num + den))
 
 
-def _by_rare_shingles(sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _by_rare_shingles(texts: DataFrame, roots: DataFrame, shingler: Shingler, num: int, den: int) -> DataFrame:
     """Pairs (a, b) with different roots that can be similar, by the exact prefix filter.
 
     With each set's shingles from the rarest to the commonest, two similar sets share one among
     the first ``n - ceil(n * num / den) + 1`` of both, and from the first that they share enough
     must be left in both.
     """
-    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingler(batch.column("text"))
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            node = np.asarray(batch.column("node"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "n", "shingle"])
+
+    each = texts.select("node", "text").mapInArrow(run, "node long, n long, shingle long")
     seen = each.groupBy("shingle").agg(F.count("*").alias("seen"))
     # A shingle of one set alone finds nothing, but takes its place in the order.
     ranked = each.join(seen, "shingle").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("seen", "shingle")))
@@ -74,10 +93,10 @@ def _by_rare_shingles(sets: DataFrame, roots: DataFrame, num: int, den: int) ->
     return x.join(y, "shingle").where(able).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
-def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Shingler, num: int, den: int) -> DataFrame:
     """(node, root) of the components that confirmed links make; nodes without a link are absent.
 
-    members: (bucket, node), both long. ``sets_of`` gives (node, shingles) of the nodes in a stored
+    members: (bucket, node), both long. ``texts_of`` gives (node, text) of the nodes in a stored
     one-column table. In each bucket the smallest node is the centre of a star, so a bucket of n
     nodes gives n - 1 candidate pairs. A bucket whose nodes then lie in several components may hold
     a link that its star did not touch: the nodes of such buckets are compared again, exactly,
@@ -88,13 +107,13 @@ def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: i
     shared = stored(shared.where("centre <> last").select("bucket", "node", "centre"), "buckets")
     tried = stored(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = stored(shared.select("node").distinct(), "nodes")
-    sets = stored(sets_of(nodes), "sets")
-    roots = components(similar(tried, sets, num, den))
+    texts = stored(texts_of(nodes), "texts")
+    roots = components(similar(tried, texts, shingler, num, den))
     held = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
     open_ = stored(shared.join(mixed.select("bucket"), "bucket", "left_semi").select("node").distinct(), "open")
-    pairs = _by_rare_shingles(sets.join(open_, "node", "left_semi"), roots, num, den).join(tried, ["a", "b"], "left_anti")
-    more = similar(stored(pairs, "pairs"), sets, num, den)
+    pairs = _by_rare_shingles(texts.join(open_, "node", "left_semi"), roots, shingler, num, den).join(tried, ["a", "b"], "left_anti")
+    more = similar(stored(pairs, "pairs"), texts, shingler, num, den)
     # New links join components as wholes.
     ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
     ends = stored(ends.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "links")

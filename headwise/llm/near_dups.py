@@ -64,11 +64,10 @@ def bucket_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 def _sketches(words: int, lower: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = _orders(BINS)
+        sets = shingler(words, lower)
         for batch in slices(batches, "text"):
-            hashes, first = word_hashes(batch.column("text"), lower)
             n, hi, lo, keys = [], [], [], []
-            for a, b in zip(first[:-1], first[1:]):
-                own = np.unique(windows(hashes[a:b], words))
+            for own in sets(batch.column("text")):
                 n.append(len(own))
                 hi.append(mix(own ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
                 lo.append(mix(own ^ U(0x14057B7EF767814F)).sum(dtype=U))
@@ -83,15 +82,12 @@ def _sketches(words: int, lower: bool):
     return run
 
 
-def _sets(words: int, lower: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            hashes, first = word_hashes(batch.column("text"), lower)
-            sets = [np.unique(windows(hashes[a:b], words)).view(np.int64) for a, b in zip(first[:-1], first[1:])]
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+def shingler(words: int, lower: bool) -> graph.Shingler:
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        hashes, first = word_hashes(texts, lower)
+        return [np.unique(windows(hashes[a:b], words)) for a, b in zip(first[:-1], first[1:])]
 
-    return run
+    return sets
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, lower: bool = True) -> DataFrame:
@@ -111,11 +107,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = heads.where((n * den >= (n + 1) * num) | ((n - 1) * den >= n * num))
     members = members.select(F.explode("keys").alias("bucket"), F.col("id").alias("node"))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def texts_of(nodes: DataFrame) -> DataFrame:
         own = only_keys(texts, nodes.withColumnRenamed("node", "id"), "id")
-        return own.mapInArrow(_sets(words, lower), "node long, shingles array<long>").dropDuplicates(["node"])
+        return own.groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text"))
 
-    roots = graph.linked(members, sets_of, num, den)
+    roots = graph.linked(members, texts_of, shingler(words, lower), num, den)
     classes = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
     ids = rows.select("id", "n_shingles", "hi", "lo")
     linked = ids.where("id is not null and n_shingles > 0").join(classes, ["hi", "lo"])
