@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headwise.session import scratch_path
 
-from . import html_text, language_id, line_dedup, mixing, near_dups, pieces, quality, token_store
+from . import html_text, language_id, line_dedup, mixing, near_dups, neighbours, pieces, quality, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
