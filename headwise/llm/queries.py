@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headwise.session import scratch_path
 
-from . import html_text, language_id, line_dedup, mixing, near_dups, neighbours, pieces, quality, token_store
+from . import html_text, language_id, licenses, line_dedup, mixing, near_dups, neighbours, pieces, quality, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,18 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_nearest_neighbours")
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a source's tree, their places derived from their ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 2000), F.floor(F.col("doc_id") / 100) % 20)
+    # Every tenth document is the license file of its directory, or of one above.
+    place = (
+        F.when(F.col("doc_id") % 70 == 0, F.concat_ws("/", "source", F.lit("LICENSE")))
+        .when(F.col("doc_id") % 30 == 0, F.concat_ws("/", "source", F.floor(F.col("doc_id") / 2000), F.lit("COPYING")))
+        .when(F.col("doc_id") % 10 == 0, F.concat_ws("/", folder, F.lit("LICENSE.txt")))
+        .otherwise(F.concat_ws("/", folder, F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt"))))
+    )
+    return licenses.scan(docs.withColumn("path", place))
