@@ -53,7 +53,7 @@ def with_offsets(counts: DataFrame, by: list[str], order: list[str], coarse: Col
     return rows.join(tops, [*by, "_coarse"]).withColumn("offset", F.col("_base") + F.col("_rest")).drop("_coarse", "_base", "_rest")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds at most ``limit`` bytes, or one row."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -65,26 +65,54 @@ def _least_common(x: Column, y: Column, num: int, den: int) -> Column:
     return F.ceil((x + y) * num / (num + den))
 
 
-def _by_rare_shingles(texts: DataFrame, roots: DataFrame, shingler: Shingler, num: int, den: int) -> DataFrame:
+def _common_shingles(texts: DataFrame, shingler: Shingler, limit: int) -> dict[int, int]:
+    """Counts of the shingles of many texts; where they are too many, of the commonest among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found, n = np.unique(np.concatenate(shingler(batch.column("text"))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > 16)
+    counts = stored(counts, "common")
+    # Powers of two from 16 on: the least above which at most ``limit`` shingles stay.
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("size")).count().orderBy(F.desc("size")).collect()
+    least, total = 62, 0
+    for size, n in sizes:
+        total += n
+        if total > limit:
+            break
+        least = size
+    return {r["shingle"]: r["n"] for r in counts.where(F.col("n") >= 2 ** int(least)).collect()}
+
+
+def _by_rare_shingles(texts: DataFrame, roots: DataFrame, shingler: Shingler, num: int, den: int, limit: int = 200_000) -> DataFrame:
     """Pairs (a, b) with different roots that can be similar, by the exact prefix filter.
 
-    With each set's shingles from the rarest to the commonest, two similar sets share one among
-    the first ``n - ceil(n * num / den) + 1`` of both, and from the first that they share enough
-    must be left in both.
+    With all sets' shingles in one order, two similar sets share one among the first
+    ``n - ceil(n * num / den) + 1`` of both, and from the first that they share enough must be left
+    in both. Any order gives the same pairs in the end; the one used puts common shingles last, by the
+    counts of at most ``limit`` of them.
     """
+    common = _common_shingles(texts, shingler, limit)
+    names = np.array(sorted(common), dtype=np.int64)
+    weights = np.array([common[k] for k in names.tolist()], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = shingler(batch.column("text"))
-            size = np.array([len(x) for x in sets], dtype=np.int64)
-            node = np.asarray(batch.column("node"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "n", "shingle"])
-
-    each = texts.select("node", "text").mapInArrow(run, "node long, n long, shingle long")
-    seen = each.groupBy("shingle").agg(F.count("*").alias("seen"))
-    # A shingle of one set alone finds nothing, but takes its place in the order.
-    ranked = each.join(seen, "shingle").withColumn("at", F.row_number().over(W.partitionBy("node").orderBy("seen", "shingle")))
-    head = ranked.where((F.col("seen") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1))
+            out: list[tuple] = []
+            for node, own in zip(batch.column("node").to_pylist(), shingler(batch.column("text"))):
+                own = own.view(np.int64)
+                n = len(own)
+                count = np.zeros(n, dtype=np.int64)
+                if len(names):
+                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                    count = np.where(names[at] == own, weights[at], 0)
+                head = np.lexsort((own, count))[: n - -(-n * num // den) + 1]
+                out.append((np.full(len(head), node), np.full(len(head), n), own[head], np.arange(1, len(head) + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["node", "n", "shingle", "at"])
+
+    head = texts.select("node", "text").mapInArrow(run, "node long, n long, shingle long, at long")
     head = head.join(roots, "node", "left").select("shingle", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     x = head.select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "root")))
     y = head.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "root")))
@@ -112,7 +140,8 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shing
     held = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
     open_ = stored(shared.join(mixed.select("bucket"), "bucket", "left_semi").select("node").distinct(), "open")
-    pairs = _by_rare_shingles(texts.join(open_, "node", "left_semi"), roots, shingler, num, den).join(tried, ["a", "b"], "left_anti")
+    rest = stored(texts.join(open_, "node", "left_semi"), "rest")
+    pairs = _by_rare_shingles(rest, roots, shingler, num, den).join(tried, ["a", "b"], "left_anti")
     more = similar(stored(pairs, "pairs"), texts, shingler, num, den)
     # New links join components as wholes.
     ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
