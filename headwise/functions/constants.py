@@ -46,7 +46,6 @@ HEARTBEAT_S = 10 * 60
 NO_HEARTBEAT_AGE = 999999
 RUNS_KEPT_DAYS = 30
 STATUS_PUSH_S = 120
-CHECKSUM_ROWS = 5000
 
 # Day windows offered to riders: name -> local hours.
 DAY_WINDOWS = {"morning": (7, 8, 9), "evening": (16, 17, 18)}

@@ -34,10 +34,3 @@ def distance_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     dy = lat2 - lat1
     return F.sqrt(dx * dx + dy * dy)
 
-
-def payload_digest(payload: Column) -> Column:
-    return F.md5(payload)
-
-
-def row_hash(*cols: Column) -> Column:
-    return F.xxhash64(*cols)

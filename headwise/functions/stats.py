@@ -86,9 +86,9 @@ def delay_phrase(seconds: Column) -> Column:
 
 def coverage_class(pct: Column, reason: Column, ok_pct: float = k.COVERAGE_OK_PCT) -> Column:
     return (
-        F.when(reason.isNotNull(), F.lit("gap-known"))
-        .when(pct < ok_pct, F.lit("gap-unexplained"))
-        .otherwise(F.lit("gap-none"))
+        F.when(reason.isNotNull(), F.lit("known_gap"))
+        .when(pct < ok_pct, F.lit("unexplained"))
+        .otherwise(F.lit("none"))
     )
 
 

@@ -115,6 +115,3 @@ def scheduled_events(services: DataFrame, trips: DataFrame, stop_times: DataFram
         .select(F.col("date").alias("service_date"), "trip_id", "stop_sequence")
     )
 
-
-def of_version(df: DataFrame, version: Column) -> DataFrame:
-    return df.filter(F.col("feed_version_id") == version)

@@ -75,7 +75,7 @@ def rebuild_coverage(store: Tables, today: date) -> DataFrame:
         store.gaps(),
         F.lit(today),
     )
-    result.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+    result.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
         store.path("day_coverage")
     )  # one row per day
     return store.read("day_coverage")
@@ -87,7 +87,7 @@ def rollup_job(store: Tables, dates: list[date], month: str | None, today: date)
     tables.write_period(
         rollup.rollup_daily(observations, dates), store.path("rollup_daily"), "service_date", [str(d) for d in dates]
     )
-    alerts = coverage.coverage_alerts(rebuild_coverage(store, today), F.lit(dates[-1])).collect()  # one day
+    alerts = coverage.coverage_alerts(rebuild_coverage(store, today), F.lit(max(dates))).collect()  # one day
     for alert in alerts:
         print(f"coverage {alert.coverage_pct}% on {alert.service_date} with no diagnosed cause", file=sys.stderr)
     if month is not None:

@@ -38,7 +38,7 @@ def _(spark, sf):
 @query(
     "d2_bad_payloads",
     with_("updates")
-    + f"""SELECT DISTINCT poll_id, CASE WHEN ({POLL_US}) % 5 = 1 THEN 'feed header is missing a timestamp' ELSE 'could not decode' END AS error
+    + f"""SELECT DISTINCT poll_id, CASE WHEN ({POLL_US}) % 5 = 1 THEN 'no_header_time' ELSE 'unreadable_payload' END AS error
     FROM updates WHERE ({POLL_US}) % 5 < 2""",
 )
 def _(spark, sf):
@@ -50,9 +50,7 @@ def _(spark, sf):
         .when(kind == 1, F.unhex(F.lit("0A050A03322E30")))
         .otherwise(F.col("payload")),
     )
-    bad = decode.quarantine(decode.decode_polls(broken))
-    short = F.when(F.col("error").startswith("could not decode"), F.lit("could not decode")).otherwise(F.col("error"))
-    return bad.select("poll_id", short.alias("error"))
+    return decode.quarantine(decode.decode_polls(broken)).select("poll_id", "error")
 
 
 @query(

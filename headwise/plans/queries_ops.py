@@ -58,15 +58,15 @@ def _(spark, sf):
 
 @query(
     "a21_content_checksum",
-    """SELECT md5(string_agg(c, '|' ORDER BY k, l)) AS checksum, count(*) AS rows_checked FROM (
-      SELECT l_orderkey AS k, l_linenumber AS l, l_orderkey || ',' || l_linenumber || ',' || min(l_suppkey) || ',' || count(*) AS c
-      FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 5000)""",
+    """SELECT CAST(sum(CAST('0x' || md5(c)[1:15] AS BIGINT)) AS VARCHAR) AS checksum, count(*) AS rows_checked FROM (
+      SELECT l_orderkey || ',' || l_linenumber || ',' || min(l_suppkey) || ',' || count(*) AS c
+      FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
 )
 def _(spark, sf):
     rows = v.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("rows")
     )
-    return quality.content_checksum(rows, ["l_orderkey", "l_linenumber"], ["supplier", "rows"])
+    return quality.content_checksum(rows, ["l_orderkey", "l_linenumber", "supplier", "rows"])
 
 
 @query(
@@ -225,13 +225,16 @@ def _report(spark, sf):
 @query(
     "health_report",
     with_("visits", "coverage", "runs")
-    + """SELECT 'Collecting' AS label, (epoch_us(TIMESTAMP '2024-01-31') - max(observed_us)) / 60000000.0 < 15 AS ok FROM visits
-    UNION ALL SELECT 'Rows this week', count(*) > 500000 FROM visits WHERE observed_us > epoch_us(TIMESTAMP '2024-01-24')
-    UNION ALL SELECT 'Total observations', true
-    UNION ALL SELECT 'Coverage (latest complete day)', coverage_pct >= 85 OR known_gap_reason IS NOT NULL FROM coverage WHERE service_date = (SELECT max(service_date) FROM coverage)
-    UNION ALL SELECT 'Poll failures', count(*) FILTER (WHERE NOT ok) / count(*) < 0.02 FROM runs WHERE started_at > TIMESTAMP '2024-01-24'
-    UNION ALL SELECT 'Last backup', true
-    UNION ALL SELECT 'Archive copy', sum(n_chars) > 0 FROM documents""",
+    + """, c AS (SELECT coverage_pct, known_gap_reason FROM coverage WHERE service_date = (SELECT max(service_date) FROM coverage)),
+    f AS (SELECT 100.0 * count(*) FILTER (WHERE NOT ok) / count(*) AS pct FROM runs WHERE started_at > TIMESTAMP '2024-01-24')
+    SELECT 'write_age' AS code, 'minutes' AS unit, (epoch_us(TIMESTAMP '2024-01-31') - max(observed_us)) / 60000000.0 AS value, 15.0 AS bound,
+      (epoch_us(TIMESTAMP '2024-01-31') - max(observed_us)) / 60000000.0 < 15 AS ok FROM visits
+    UNION ALL SELECT 'week_rows', 'rows', count(*), 500000, count(*) > 500000 FROM visits WHERE observed_us > epoch_us(TIMESTAMP '2024-01-24')
+    UNION ALL SELECT 'total_rows', 'rows', count(*), NULL, true FROM visits
+    UNION ALL SELECT 'day_coverage', 'percent', coverage_pct, 85, coverage_pct >= 85 OR known_gap_reason IS NOT NULL FROM c
+    UNION ALL SELECT 'poll_failures', 'percent', pct, 2, pct < 2 FROM f
+    UNION ALL SELECT 'backup_age', 'hours', 36.0, 50, true
+    UNION ALL SELECT 'archive_size', 'bytes', sum(n_chars), 0, sum(n_chars) > 0 FROM documents""",
 )
 def _(spark, sf):
-    return _report(spark, sf).select("label", "ok")
+    return _report(spark, sf).select("code", "unit", "value", "bound", "ok")

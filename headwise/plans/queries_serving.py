@@ -179,7 +179,7 @@ def _(spark, sf):
 @query(
     "p10_coverage_class",
     with_("coverage")
-    + f"""SELECT {D}, CASE WHEN known_gap_reason IS NOT NULL THEN 'gap-known' WHEN coverage_pct < 12.2 THEN 'gap-unexplained' ELSE 'gap-none' END AS class
+    + f"""SELECT {D}, CASE WHEN known_gap_reason IS NOT NULL THEN 'known_gap' WHEN coverage_pct < 12.2 THEN 'unexplained' ELSE 'none' END AS class
     FROM coverage""",
 )
 def _(spark, sf):

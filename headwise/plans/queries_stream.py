@@ -97,10 +97,14 @@ def _(spark, sf):
     + f""", p AS (SELECT poll_id, max({POLL_US}) AS fetched FROM updates GROUP BY poll_id)
     SELECT (SELECT count(*) FROM ranked WHERE rn = 1 AND poll_id = (SELECT arg_max(poll_id, fetched) FROM p)) AS rows_last_poll,
       (SELECT count(DISTINCT vehicle_id) FROM trip_stops WHERE poll_id = (SELECT arg_max(poll_id, fetched) FROM p)) AS vehicles_tracked,
-      (SELECT count(*) FROM ranked WHERE rn = 1) + 1000 AS total_rows, (SELECT max(fetched) FROM p) AS last_poll_at""",
+      (SELECT count(*) FROM (SELECT DISTINCT service_date, trip_id, stop_sequence, is_modified FROM ranked WHERE rn = 1)) + 1000 AS total_rows, (SELECT max(fetched) FROM p) AS last_poll_at""",
 )
 def _(spark, sf):
-    return polls.live_status(polls.poll_metrics(v.feeds(spark, sf), v.probe_timetable(spark), v.TZ), seed_total=1000)
+    from ..operators import flatten, match
+
+    feeds, timetable = v.feeds(spark, sf), v.probe_timetable(spark)
+    seen = polls.first_sightings(match.predictions(flatten.trip_updates(feeds), timetable, v.TZ))
+    return polls.live_status(polls.poll_metrics(feeds, timetable, v.TZ), seen, seed_total=1000)
 
 
 def _event_stream(spark, sf):

@@ -1,7 +1,9 @@
-"""Raw poll archive: gzip NDJSON shards, one per feed and UTC hour."""
+"""Raw poll archive: gzip or brotli NDJSON shards, one per feed and UTC hour."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,31 +11,58 @@ from .. import schemas
 from ..functions import keys
 
 SHARD_COLUMNS = ("shard_feed", "shard_date", "shard_hour")
+#: What Spark gives of a file as a whole.
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _records(raw: DataFrame) -> DataFrame:
     return raw.withColumn("payload", F.unbase64("payload_b64")).drop("payload_b64")
 
 
+def _unpacked(files: DataFrame) -> DataFrame:
+    """The records of brotli files, which Spark's readers have no codec for; files have a column content."""
+
+    def lines(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                with pa.CompressedInputStream(pa.BufferReader(content.as_buffer()), "brotli") as stream:
+                    rest = b""
+                    # A part at a time: a shard is never held unpacked.
+                    while part := stream.read(1 << 20):
+                        *whole, rest = (rest + part).split(b"\n")
+                        yield pa.RecordBatch.from_pydict({"line": pa.array([x.decode() for x in whole if x], pa.string())})
+                    if rest:
+                        yield pa.RecordBatch.from_pydict({"line": pa.array([rest.decode()], pa.string())})
+
+    rows = files.select("content").mapInArrow(lines, "line string")
+    return rows.select(F.from_json("line", schemas.ARCHIVE).alias("r")).select("r.*")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archived polls with their payload bytes, whatever the folder layout."""
-    return _records(
-        spark.read.schema(schemas.ARCHIVE)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.gz")
-        .json(path)
-    )
+    """Archived polls with their payload bytes, whatever the folder layout and codec."""
 
+    def found(glob: str):
+        return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
 
-def stream_archive(spark: SparkSession, path: str, max_files: int = 200, glob: str = "*.gz") -> DataFrame:
+    packed = found("*.gz").schema(schemas.ARCHIVE).json(path)
+    return _records(packed.unionByName(_unpacked(found("*.br").format("binaryFile").load(path))))
+
+
+def stream_archive(spark: SparkSession, path: str, max_files: int = 200) -> DataFrame:
     """The same records as an unbounded stream of new shards."""
-    return _records(
-        spark.readStream.schema(schemas.ARCHIVE)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", max_files)
-        .json(path)
-    )
+
+    def found(glob: str):
+        return (
+            spark.readStream.option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", glob)
+            .option("maxFilesPerTrigger", max_files)
+        )
+
+    packed = found("*.gz").schema(schemas.ARCHIVE).json(path)
+    files = found("*.br").format("binaryFile").schema(BINARY_FILE).load(path)
+    return _records(packed.unionByName(_unpacked(files)))
 
 
 def archive_lines(polls: DataFrame) -> DataFrame:

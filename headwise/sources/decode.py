@@ -145,12 +145,12 @@ def decode_payload(payload: bytes | None) -> dict:
         feed.ParseFromString(payload or b"")
     except RuntimeError:
         raise
-    except Exception as cause:  # the parser's error class differs between builds
-        return {**failed, "error": f"could not decode FeedMessage ({len(payload or b'')} bytes): {cause}"}
+    except Exception:  # the parser's error class differs between builds
+        return {**failed, "error": "unreadable_payload"}
     header = _get(feed, "header")
     stamp = _get(header, "timestamp")
     if stamp is None:
-        return {**failed, "error": "feed header is missing a timestamp"}
+        return {**failed, "error": "no_header_time"}
     return {
         "header_ts": stamp * 1_000_000,
         "version": _get(header, "gtfs_realtime_version"),
@@ -180,12 +180,12 @@ def decode_polls(polls: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(wanted)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A record batch for each poll: no more than one decoded feed is held at a time.
         for batch in batches:
-            rows = [
-                {"poll_id": r["poll_id"], "feed": r["feed"], "fetched_at": r["fetched_at"], **decode_payload(r["payload"])}
-                for r in batch.to_pylist()
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            for n in range(batch.num_rows):
+                (poll,) = batch.slice(n, 1).to_pylist()
+                row = {c: poll[c] for c in ("poll_id", "feed", "fetched_at")} | decode_payload(poll["payload"])
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     keyed = polls.select(
         F.concat_ws("@", "feed", F.unix_micros("fetched_at").cast("string")).alias("poll_id"),

@@ -119,11 +119,14 @@ def prune_runs(spark: SparkSession, path: str, as_of: Column, days: int) -> None
         where = f"{path.rstrip('/')}/run_date={day}"
         if day == boundary:
             kept = runs_to_keep(runs.filter(F.col("run_date") == F.lit(day).cast("date")), as_of, days)
+            # The kept rows are put aside, then overwrite their partitions in one commit. A run that
+            # ends in between leaves the day whole or trimmed, and the next one begins anew.
             spare = f"{path.rstrip('/')}/_trim"
             kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(spare)
-            delete(spark, where)
             layout = [c for c in ("run_date", "batch") if c in runs.columns]
-            spark.read.schema(kept.schema).parquet(spare).write.mode("append").partitionBy(*layout).parquet(path)
+            aside = spark.read.schema(kept.schema).parquet(spare)
+            gone = runs.filter(F.col("run_date") == F.lit(day).cast("date")).select(*layout).distinct()
+            replace_partitions(aside, path, layout, emptied=[r.asDict() for r in gone.collect()])  # one for each batch of a day
             delete(spark, spare)
         else:
             delete(spark, where)

@@ -7,13 +7,14 @@ Polls seen in an earlier batch (a replayed shard) are dropped by an anti-join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import constants as k
+from .. import schemas
 from ..functions import times
 from ..operators import collapse, flatten, match
 from ..schemas import VISIT_KEY
@@ -36,20 +37,35 @@ def new_polls(batch: DataFrame, store: Store, batch_id: int) -> DataFrame:
     once = batch.dropDuplicates(["feed", "fetched_at"]).withColumn("poll_date", F.to_date("fetched_at"))
     if not tables.exists(spark, store.path("polls")):
         return once
-    known = spark.read.parquet(store.path("polls")).filter(F.col("batch") < batch_id)
+    # Only the days of the batch are read: a few values, one for each day that it holds.
+    days = [row.poll_date for row in once.select("poll_date").distinct().collect()]
+    known = spark.read.parquet(store.path("polls")).filter(F.col("poll_date").isin(days) & (F.col("batch") < batch_id))
     return once.join(known.select("poll_date", "feed", "fetched_at"), ["poll_date", "feed", "fetched_at"], "left_anti")
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, store: Store, timetable: match.Timetable, tz: str) -> None:
-    """Decode, match and store one micro-batch, then re-fold the dates it touched."""
+def ingest_batch(
+    batch: DataFrame,
+    batch_id: int,
+    store: Store,
+    timetable: match.Timetable | Callable[[], match.Timetable],
+    tz: str,
+    feeds_decoded: tuple[str, ...] = ("trips",),
+) -> None:
+    """Decode, match and store one micro-batch, then re-fold the dates it touched.
+
+    Polls of other feeds are recorded as fetched and not decoded. A timetable given as a function
+    is asked for in each batch, so a version loaded meanwhile is seen.
+    """
     spark = batch.sparkSession
+    timetable = timetable() if callable(timetable) else timetable
     fresh = new_polls(batch, store, batch_id)
     # Decoded once into a table: everything below reads it, and a lost executor costs no re-decoding.
-    stamped = decode.decode_polls(fresh).withColumn("batch", F.lit(batch_id))
+    wanted = fresh.filter(F.col("feed").isin(*feeds_decoded))
+    stamped = decode.decode_polls(wanted).withColumn("batch", F.lit(batch_id))
     tables.replace_partitions(stamped, store.path("decoded"), ["batch"], emptied=[{"batch": batch_id}])
     decoded = _batch_of(spark, store, "decoded", batch_id)
     if decoded is None:
-        return
+        decoded = spark.createDataFrame([], schemas.DECODED)
 
     feeds = decode.good_feeds(decoded)
     bad = decode.quarantine(decoded).withColumn("batch", F.lit(batch_id))
@@ -61,17 +77,17 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: Store, timetable: match
     metrics = poll_metrics(feeds, timetable, tz).withColumn("batch", F.lit(batch_id))
     tables.replace_partitions(metrics, store.path("metrics"), ["batch"], emptied=[{"batch": batch_id}])
 
+    new = new_visits(spark, store, batch_id)
+    if new is not None:
+        tables.replace_partitions(new.withColumn("batch", F.lit(batch_id)), store.path("sightings"), ["batch"], emptied=[{"batch": batch_id}])
     refold(spark, store, batch_id)
     stored_metrics = _batch_of(spark, store, "metrics", batch_id)
-    visits = observations(spark, store) if tables.exists(spark, store.path("observations")) else None
-    runs = poll_runs(fresh, decoded, stored_metrics, visits).withColumn("batch", F.lit(batch_id))
+    runs = poll_runs(fresh, decoded, stored_metrics, _batch_of(spark, store, "sightings", batch_id)).withColumn("batch", F.lit(batch_id))
     tables.replace_partitions(
         runs.withColumn("run_date", F.to_date("started_at")), store.path("ingest_runs"), ["run_date", "batch"]
     )
-    polls = decoded.select("feed", "fetched_at", F.to_date("fetched_at").alias("poll_date")).withColumn(
-        "batch", F.lit(batch_id)
-    )
-    tables.replace_partitions(polls, store.path("polls"), ["batch"])
+    polls = fresh.select("feed", "fetched_at", "poll_date").withColumn("batch", F.lit(batch_id))
+    tables.replace_partitions(polls, store.path("polls"), ["poll_date", "batch"])
 
 
 def _batch_of(spark: SparkSession, store: Store, name: str, batch_id: int) -> DataFrame | None:
@@ -81,6 +97,28 @@ def _batch_of(spark: SparkSession, store: Store, name: str, batch_id: int) -> Da
     return spark.read.parquet(where)
 
 
+def first_sightings(predictions: DataFrame) -> DataFrame:
+    """(poll_id, rows_changed): how many visits each poll was the first to predict."""
+    first = F.min(F.struct("observed_at", "fetched_at", "poll_id")).alias("first")
+    firsts = predictions.groupBy(*VISIT_KEY).agg(first)
+    return firsts.groupBy(F.col("first.poll_id").alias("poll_id")).agg(F.count(F.lit(1)).alias("rows_changed"))
+
+
+def _touched(stored: DataFrame, batch_id: int) -> list:
+    """One value for each service date that a batch predicted."""
+    return [r.service_date for r in stored.filter(F.col("batch") == batch_id).select("service_date").distinct().collect()]
+
+
+def new_visits(spark: SparkSession, store: Store, batch_id: int) -> DataFrame | None:
+    """First sightings in a batch of visits that no earlier batch has predicted."""
+    if not tables.exists(spark, store.path("predictions")):
+        return None
+    stored = spark.read.parquet(store.path("predictions"))
+    of_dates = stored.filter(F.col("service_date").isin(_touched(stored, batch_id)))
+    earlier = of_dates.filter(F.col("batch") < batch_id).select(*VISIT_KEY)
+    return first_sightings(of_dates.filter(F.col("batch") == batch_id).join(earlier, list(VISIT_KEY), "left_anti"))
+
+
 def refold(spark: SparkSession, store: Store, batch_id: int) -> None:
     """Fold the service dates a batch touched again, over all their predictions.
 
@@ -90,10 +128,7 @@ def refold(spark: SparkSession, store: Store, batch_id: int) -> None:
     if not tables.exists(spark, store.path("predictions")):
         return
     stored = spark.read.parquet(store.path("predictions"))
-    touched = [
-        row.service_date  # one value per service date in the batch
-        for row in stored.filter(F.col("batch") == batch_id).select("service_date").distinct().collect()
-    ]
+    touched = _touched(stored, batch_id)
     if not touched:
         return
     rows = stored.filter(F.col("service_date").isin(touched)).drop("batch")
@@ -104,7 +139,7 @@ def ingest(
     spark: SparkSession,
     archive_path: str,
     store: Store,
-    timetable: match.Timetable,
+    timetable: match.Timetable | Callable[[], match.Timetable],
     tz: str,
     *,
     max_files: int = 200,
@@ -140,29 +175,29 @@ def poll_metrics(feeds: DataFrame, timetable: match.Timetable, tz: str) -> DataF
 
 
 def poll_runs(
-    polls: DataFrame, decoded: DataFrame, metrics: DataFrame | None, visits: DataFrame | None
+    polls: DataFrame, decoded: DataFrame, metrics: DataFrame | None, sightings: DataFrame | None
 ) -> DataFrame:
-    """The operational record of each poll, failed ones included (ingest_runs).
+    """The operational record of each poll, failed and undecoded ones included (ingest_runs).
 
-    ``rows_changed`` counts the visits first seen in the poll.
+    ``rows_changed`` counts the visits first seen in the poll; ``duration_ms`` is null, as the
+    archive does not record how long a poll took.
     """
     base = polls.select(
         "feed", "fetched_at", "http_status", F.octet_length("payload").alias("payload_bytes"), "attempts"
     ).join(
-        decoded.select("poll_id", "feed", "fetched_at", "header_ts", "error"), ["feed", "fetched_at"]
+        decoded.select("poll_id", "feed", "fetched_at", "header_ts", "error"), ["feed", "fetched_at"], "left"
     )
     counters = ("entity_total", "trip_updates", "rows_emitted", "skipped_no_data", "skipped_departure_only", "skipped_no_time")
     if metrics is None:
         base = base.select("*", *[F.lit(None).cast("bigint").alias(c) for c in counters])
     else:
         base = base.join(metrics.select("poll_id", *counters), "poll_id", "left")
-    if visits is None:
+    if sightings is None:
         base = base.withColumn("rows_changed", F.lit(None).cast("bigint"))
     else:
-        first_seen = visits.groupBy(F.col("first_seen_at").alias("header_ts")).agg(F.count(F.lit(1)).alias("_new"))
-        base = base.join(first_seen, "header_ts", "left").withColumn(
-            "rows_changed", F.when(F.col("error").isNull(), F.coalesce("_new", F.lit(0)))
-        )
+        base = base.join(sightings.select("poll_id", "rows_changed"), "poll_id", "left")
+    read = F.col("poll_id").isNotNull() & F.col("error").isNull()
+    base = base.withColumn("rows_changed", F.when(read, F.coalesce("rows_changed", F.lit(0))))
     return base.select(
         "feed",
         F.col("fetched_at").alias("started_at"),
@@ -182,14 +217,15 @@ def poll_runs(
     )
 
 
-def live_status(metrics: DataFrame, seed_total: int = 0) -> DataFrame:
-    """One row: the last poll's rows and vehicles, its time, and the running total.
+def live_status(metrics: DataFrame, sightings: DataFrame, seed_total: int = 0) -> DataFrame:
+    """One row: the last poll's rows and vehicles, its time, and the running total of visits.
 
-    Push it from a stream triggered no oftener than every two minutes
-    (:data:`STATUS_INTERVAL`).
+    Push it from a stream triggered no oftener than every ``constants.STATUS_PUSH_S`` seconds.
     """
     last = F.max(F.struct("fetched_at", "rows_emitted", "vehicles_tracked"))
-    return metrics.agg(last.alias("last"), (F.sum("rows_emitted") + seed_total).alias("total_rows")).select(
+    polls = metrics.join(sightings.select("poll_id", "rows_changed"), "poll_id", "left")
+    total = F.coalesce(F.sum("rows_changed"), F.lit(0)) + seed_total
+    return polls.agg(last.alias("last"), total.alias("total_rows")).select(
         F.col("last.rows_emitted").alias("rows_last_poll"),
         F.col("last.vehicles_tracked").alias("vehicles_tracked"),
         "total_rows",
@@ -197,9 +233,6 @@ def live_status(metrics: DataFrame, seed_total: int = 0) -> DataFrame:
     )
 
 
-STATUS_INTERVAL = f"{k.STATUS_PUSH_S} seconds"
-
-
 def poll_health(runs: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Polls, failures and bytes per feed and hour; works on a stream or a table."""
     return (

@@ -34,9 +34,9 @@ def widened(spark, hour, *groups):
 
 
 def test_widening_scopes(spark):
-    assert widened(spark, 8, cells(spark, [(7, 6), (8, 5), (9, 6)])).scope == "exact"
-    band = widened(spark, 8, cells(spark, [(7, 6), (8, 3), (9, 6)]))
-    assert (band.scope, band.n, list(band.hours), band.n_late) == ("band", 15, [7, 8, 9], 7)
+    assert widened(spark, 8, cells(spark, [(7, 4), (8, 11), (9, 2)])).scope == "exact"
+    band = widened(spark, 8, cells(spark, [(7, 8), (8, 4), (9, 2)]))
+    assert (band.scope, band.n, list(band.hours)) == ("band", 14, [7, 8, 9])
     day = widened(spark, 8, cells(spark, [(8, 2), (12, 2), (20, 1)]))
     assert (day.scope, day.n, list(day.hours)) == ("allday", 5, [8, 12, 20])
     assert widened(spark, 8, cells(spark, [(8, 2), (12, 2)])) is None
@@ -49,8 +49,8 @@ def test_widening_stays_within_its_group(spark):
 
 
 def test_widening_does_not_wrap_midnight(spark):
-    late = widened(spark, 0, cells(spark, [(0, 3), (1, 3), (23, 40)]))
-    assert (late.scope, late.n, list(late.hours)) == ("band", 6, [0, 1])
+    late = widened(spark, 0, cells(spark, [(0, 4), (1, 5), (23, 70)]))
+    assert (late.scope, late.n, list(late.hours)) == ("band", 9, [0, 1])
 
 
 def observation(delay, day=1, hour=8, stop="S", source=1, rel=0, kind=0):
@@ -273,10 +273,11 @@ def test_diff_rules(spark):
 
 def test_checksum(spark):
     df = spark.createDataFrame([(i, i * 2) for i in range(100)], "k int, v int")
-    one = quality.content_checksum(df, ["k"], ["v"], rows=50).first()
-    assert one == quality.content_checksum(df.orderBy(F.desc("k")), ["k"], ["v"], rows=50).first() and one.rows_checked == 50
-    assert one.checksum != quality.content_checksum(df.withColumn("v", F.col("v") + 1), ["k"], ["v"], rows=50).first().checksum
-    assert quality.content_checksum(df.filter("false"), ["k"], ["v"]).first().checksum == "empty"
+    one = quality.content_checksum(df, ["k", "v"]).first()
+    assert one == quality.content_checksum(df.orderBy(F.desc("k")), ["k", "v"]).first() and one.rows_checked == 100
+    last = df.withColumn("v", F.when(F.col("k") == 99, 0).otherwise(F.col("v")))
+    assert one.checksum != quality.content_checksum(last, ["k", "v"]).first().checksum
+    assert quality.content_checksum(df.filter("false"), ["k", "v"]).first().checksum == "empty"
     assert quality.table_fingerprint(df, ["k", "v"]).first() != quality.table_fingerprint(df.unionAll(df.limit(1)), ["k", "v"]).first()
 
 
@@ -317,14 +318,13 @@ def test_health_report(spark):
     dumps = spark.createDataFrame([("a.dump", datetime(2026, 9, 13, 12, 0))], "name string, modified_at timestamp")
     shards = spark.createDataFrame([("a", 5)], "key string, bytes bigint")
     report = health.health_report(obs, cov, runs, dumps, shards, as_of)
-    got = {r.label: r for r in report.collect()}
-    assert {label: r.ok for label, r in got.items()} == {
-        "Collecting": True, "Rows this week": False, "Total observations": True, "Coverage (latest complete day)": False,
-        "Poll failures": True, "Last backup": False, "Archive copy": True}
-    assert got["Poll failures"].value == "1 of 100" and got["Last backup"].value == "72.0h ago"
+    got = {r.code: r for r in report.collect()}
+    assert {code: (r.value, r.ok) for code, r in got.items()} == {
+        "write_age": (10.0, True), "week_rows": (1.0, False), "total_rows": (1.0, True), "day_coverage": (50.0, False),
+        "poll_failures": (1.0, True), "backup_age": (72.0, False), "archive_size": (5.0, True)}
     assert health.verdict(report).first().failing == 3
     empty = health.health_report(obs.filter("false"), cov.filter("false"), runs.filter("false"), dumps.filter("false"), shards.filter("false"), as_of)
-    assert {r.label: r.ok for r in empty.collect() if r.ok} == {"Total observations": True, "Coverage (latest complete day)": True}
+    assert {r.code for r in empty.collect() if r.ok} == {"total_rows", "day_coverage"}
     beat = health.heartbeat(obs.filter("false"), as_of).first()
     assert (beat.recent_rows, beat.age_minutes, beat.ok) == (0, 999999, False)
 

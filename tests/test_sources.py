@@ -4,6 +4,7 @@ import gzip
 import json
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -118,8 +119,21 @@ def test_foreign_shards_are_read(spark, tmp_path):
     with gzip.open(folder / "2026-09-15T11.ndjson.gz", "wt") as f:
         f.write(json.dumps(record) + "\n")
     (folder / "2026-09-15T12.ndjson.gz.partial").write_bytes(b"\x1f\x8b broken")
+    # A collector may have switched codec in the middle of the day.
+    later = [record | {"fetched_at": f"2026-09-15T13:{m:02}:00Z"} for m in range(50)]
+    with pa.CompressedOutputStream(str(folder / "2026-09-15T13.ndjson.br"), "brotli") as f:
+        f.write("\n".join(map(json.dumps, later)).encode())
+    want = [datetime(2026, 9, 15, 11, 0, 0, 250000), *(datetime(2026, 9, 15, 13, m) for m in range(50))]
     rows = archive.read_archive(spark, str(tmp_path)).collect()
-    assert [(r.fetched_at, bytes(r.payload)) for r in rows] == [(datetime(2026, 9, 15, 11, 0, 0, 250000), b"\x00\xfe")]
+    assert sorted((r.fetched_at, bytes(r.payload)) for r in rows) == [(t, b"\x00\xfe") for t in want]
+    out = str(tmp_path / "out")
+    stream = archive.stream_archive(spark, str(tmp_path / "trips")).writeStream.option("checkpointLocation", f"{out}/_c")
+    stream.trigger(availableNow=True).format("parquet").start(f"{out}/polls").awaitTermination()
+    assert sorted(r.fetched_at for r in spark.read.parquet(f"{out}/polls").collect()) == want
+    whole = archive.read_archive(spark, str(tmp_path / "trips"))
+    assert [tuple(r) for r in archive.verify_archive(whole, whole).collect()] == [("trips", 51, 51, 102, 0, True)]
+    (r,) = archive.verify_archive(whole, whole.filter("minute(fetched_at) <> 49")).collect()
+    assert (r.local_records, r.copy_records, r.verified) == (51, 50, False)
 
 
 def test_manifest_of_files(spark, tmp_path):
@@ -180,9 +194,10 @@ def test_prune_runs(spark, tmp_path):
 class FakeSession:
     """Only what the folder lookup asks of a session."""
 
-    def __init__(self, named=None):
+    def __init__(self, named=None, master="local[2]"):
         self.named, self.made = named, None
         self.conf = self.sparkContext = self
+        self.master = master
 
     def get(self, key, default):
         assert key == "spark.checkpoint.dir"
@@ -201,3 +216,5 @@ def test_shared_dir_follows_the_session():
     assert scratch_path(named, "x").startswith("/shared/work/x-")
     unset = FakeSession()
     assert shared_dir(unset) == unset.made == shared_dir(unset)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(FakeSession(master="spark://host:7077"))

@@ -63,9 +63,9 @@ def test_delay_phrase(spark, seconds, phrase):
 
 def test_coverage_class(spark):
     none = F.lit(None).cast("string")
-    assert value(spark, stats.coverage_class(F.lit(84.9), none)) == "gap-unexplained"
-    assert value(spark, stats.coverage_class(F.lit(85.0), none)) == "gap-none"
-    assert value(spark, stats.coverage_class(F.lit(10.0), F.lit("storm"))) == "gap-known"
+    assert value(spark, stats.coverage_class(F.lit(84.9), none)) == "unexplained"
+    assert value(spark, stats.coverage_class(F.lit(85.0), none)) == "none"
+    assert value(spark, stats.coverage_class(F.lit(10.0), F.lit("storm"))) == "known_gap"
 
 
 def test_mean_band(spark):

@@ -40,12 +40,13 @@ def test_stream_equals_batch_and_survives_replay(spark, nested, tmp_path):
     assert got.count() == expected.count() > 100
     assert got.exceptAll(expected).count() == 0
     assert spark.read.parquet(store.path("polls")).count() == nested.count()
-    status = polls.live_status(spark.read.parquet(store.path("metrics"))).first()
-    assert status.total_rows == spark.read.parquet(store.path("predictions")).count()
+    status = polls.live_status(spark.read.parquet(store.path("metrics")), spark.read.parquet(store.path("sightings"))).first()
+    assert status.total_rows == expected.count()
     runs = spark.read.parquet(store.path("ingest_runs")).agg(
-        F.count_if("ok").alias("good"), F.sum("rows_written").alias("written"), F.max("feed_age_s").alias("age")
+        F.count_if("ok").alias("good"), F.sum("rows_written").alias("written"), F.sum("rows_changed").alias("changed"), F.max("feed_age_s").alias("age")
     ).first()
-    assert (runs.good, runs.written, runs.age) == (nested.count(), status.total_rows, 0)
+    assert (runs.good, runs.changed, runs.age) == (nested.count(), status.total_rows, 0)
+    assert runs.written == spark.read.parquet(store.path("predictions")).count()
 
 
 def test_repeating_a_batch_changes_nothing(spark, nested, tmp_path):
@@ -65,12 +66,16 @@ def test_repeating_a_batch_changes_nothing(spark, nested, tmp_path):
 def test_bad_payloads_do_not_stop_the_stream(spark, nested, tmp_path):
     store = polls.Store(str(tmp_path / "store"))
     one = standins.encode_feeds(nested)
-    broken = one.withColumn("payload", F.lit(b"\xff\xff")).withColumn("feed", F.lit("broken"))
-    polls.ingest_batch(one.unionAll(broken), 0, store, standins.probe_timetable(spark), standins.TZ)
+    broken = one.withColumn("payload", F.lit(b"\xff\xff")).withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 millisecond"))
+    # Other feeds are recorded and left undecoded, whatever their payload and header time.
+    alerts = one.withColumn("feed", F.lit("alerts"))
+    polls.ingest_batch(one.unionAll(broken).unionAll(alerts), 0, store, lambda: standins.probe_timetable(spark), standins.TZ)
     assert spark.read.parquet(store.path("quarantine")).count() == nested.count()
     runs = spark.read.parquet(store.path("ingest_runs"))
     assert {(r.feed, r.ok): r["count"] for r in runs.groupBy("feed", "ok").count().collect()} == {
-        ("trips", True): nested.count(), ("broken", False): nested.count()}
+        ("trips", True): nested.count(), ("trips", False): nested.count(), ("alerts", True): nested.count()}
+    changed = {r.feed: r.n for r in runs.groupBy("feed").agg(F.sum("rows_changed").alias("n")).collect()}
+    assert changed == {"trips": polls.observations(spark, store).count(), "alerts": None}
     assert polls.observations(spark, store).count() > 100
 
 
