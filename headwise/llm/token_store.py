@@ -40,7 +40,7 @@ RANK = 512
 #: Tokens in a segment, but for its last document.
 SEGMENT = 1 << 22
 #: Words whose ids a worker keeps; then those not met among the last as many go.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 600_000
 
 
 def packed(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
@@ -127,35 +127,95 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # The special token's string in a text is text.
         self.tokenizer.encode_special_tokens = True
+        # Every byte of a text is one character of its tokens' names.
+        names = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, i in names.items():
+            self.size[i] = len(name)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text; those that begin with a space and a letter go in as one long text.
+
+        Byte-level tokens spell their text out, so their lengths tell where each part ends."""
+        joint = [t for t in texts if t[0] == " " and t[1:2].isalpha()]
+        out = {}
+        for at in range(0, len(joint), 2000):
+            part = joint[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(t.encode()) for t in part])) + 1
+            cuts = [0, *ends.tolist()]
+            out.update((t, ids[a:b].tobytes()) for t, a, b in zip(part, cuts, cuts[1:]))
+        rest = [t for t in texts if t not in out]
+        out.update((t, np.array(e.ids, dtype="<u4").tobytes()) for t, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return [out[t] for t in texts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        parts = [_pieces(t) if t else [] for t in texts]
         if len(self.known) > KEEP_WORDS:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = {p for own in parts for p in own if p not in known}
+        heads, parts = [], []
+        for text in texts:
+            head, *rest = _pieces(text) if text else ("",)
+            heads.append(head)
+            parts.append(rest)
+        # Known words go by their name without the space in front.
+        found = [list(map(known.get, own)) for own in parts]
+        lack, out = [], []
+        for k, ids in enumerate(found):
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word that is not known yet
+                lack.append(k)
+                out.append(b"")
+        new = {p for k in lack for p, ids in zip(parts[k], found[k]) if ids is None}
         known.update({p: old[p] for p in new if p in old})
-        new = [p for p in new if p not in known]
-        known.update(zip(new, self._plain(new)))
-        return [b"".join(map(known.__getitem__, own)) for own in parts]
+        atoms = {p: _atoms(" " + p) for p in new if p not in known}
+        wanted = {a for own in atoms.values() for a in own} | {h for h in heads if h}
+        ids_of = {a: known[a[1:]] for a in wanted if a[0] == " " and a[1:] in known}
+        fresh = [a for a in wanted if a not in ids_of]
+        ids_of.update(zip(fresh, self._plain(fresh)))
+        for p, own in atoms.items():
+            known[p] = ids_of[own[0]] if len(own) == 1 else b"".join([ids_of[a] for a in own])
+            if len(own) > 1 and own[0][0] == " ":
+                known[own[0][1:]] = ids_of[own[0]]
+        for k in lack:
+            out[k] = b"".join(map(known.__getitem__, parts[k]))
+        return [ids_of[h] + ids if h else ids for h, ids in zip(heads, out)]
 
 
 _blank = re.compile(r" [\s\x1c-\x1f]| $")
+_cut = re.compile(r" (?=[^\s\x1c-\x1f])")
 
 
 def _pieces(text: str) -> list[str]:
-    """The text cut before each space that a visible character follows."""
-    if _blank.search(text):
-        return [p for p in re.split(r"(?= [^\s\x1c-\x1f])", text) if p]
-    first, *rest = text.split(" ")
-    rest = [" " + p for p in rest]
-    return [first, *rest] if first else rest
+    """The text cut at each space that a visible character follows, without that space."""
+    return _cut.split(text) if _blank.search(text) else text.split(" ")
+
+
+#: ASCII marks that never join a word before them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+
+
+def _atoms(piece: str) -> tuple[str, ...]:
+    """A piece cut around a single line break, and its words from the marks after them.
+
+    The tokenizer always cuts there. Any other piece stays whole."""
+    head, line, tail = piece.partition("\n")
+    if not line:
+        return _word(piece)
+    if not head or not tail or "\n" in tail or head[-1].isspace() or tail[0].isspace():
+        return (piece,)
+    return (*_word(head), line, *_word(tail))
+
+
+def _word(word: str) -> tuple[str, ...]:
+    stem = word.rstrip(MARKS)
+    if len(stem) < len(word) and stem.lstrip(" ").isalpha():
+        return stem, word[len(stem) :]
+    return (word,)
 
 
 _encoders: dict[str, Encoder] = {}
