@@ -6,6 +6,10 @@
     python -m headwise.plans.jobs diff        --store A --other B [--date D] [--tolerance S] [--settled-mins M]
     python -m headwise.plans.jobs summary     --store S
     python -m headwise.plans.jobs prune       --store S [--keep-days N]
+    python -m headwise.plans.jobs evict       --store S --keep-days N
+    python -m headwise.plans.jobs seed-gaps   --store S --gaps CSV
+    python -m headwise.plans.jobs ingest      --store S --archive DIR --tz ZONE [--interval "2 minutes"]
+    python -m headwise.plans.jobs live-status --store S
 
 ``--as-of`` (UTC, default now) stands for the present in all of them.
 """
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import constants as k
-from ..operators import calendar, coverage, health, match, quality, rollup, serving
+from ..operators import calendar, coverage, health, lifecycle, match, quality, rollup, serving
 from ..session import build_session
 from ..sources import gtfs, tables
+from ..streaming import polls
 from . import documents
 
 
@@ -148,15 +153,55 @@ def summary_job(store: Tables, as_of: Column) -> DataFrame:
     )
 
 
+def evict_job(store: Tables, today: date, keep_days: int) -> list[str]:
+    """Drop the days of weeks past retention whose days are all rolled up. Returns those weeks.
+
+    Each day is a partition of its own, so a run that ends early leaves whole days, and the next one
+    finds the rest of the week.
+    """
+    observations = store.read("observations")
+    plan = lifecycle.eviction_plan(
+        observations, store.read("rollup_daily"), F.lit(today), keep_days, store.read("rollup_monthly", "month date")
+    )
+    weeks = [r.week_start for r in plan.filter("droppable").select("week_start").orderBy("week_start").collect()]
+    for week in weeks:
+        for n in range(7):
+            tables.delete(store.spark, f"{store.path('observations')}/service_date={week + timedelta(days=n)}")
+    return [str(week) for week in weeks]
+
+
+def seed_gaps_job(store: Tables, path: str) -> None:
+    """Add the known gaps of a CSV file (service_date, known_gap_reason) to those that are set."""
+    seed = store.spark.read.schema(schemas.KNOWN_GAPS).option("header", "true").csv(path)
+    merged = coverage.merge_gaps(store.gaps(), seed)
+    tables.swap(merged.withColumn("stop_id", F.lit("")), store.path("known_gaps_versions"), f"v{datetime.now(UTC):%Y%m%d%H%M%S%f}")
+    # The merged rows are complete under another name before the table is replaced.
+    whole = tables.current(store.spark, store.path("known_gaps_versions")).drop("stop_id")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store.path("known_gaps"))
+
+
+def ingest_job(store: Tables, archive: str, tz: str, interval: str | None) -> None:
+    """Follow an archive: to its present end, or for ever every ``interval``."""
+    polls.ingest(store.spark, archive, polls.Store(store.root), store.timetable, tz, interval=interval).awaitTermination()
+
+
+def live_status_job(store: Tables) -> DataFrame:
+    """The last poll and the running total, from what the stream has stored."""
+    return polls.live_status(store.read("metrics"), store.read("sightings", "poll_id string, rows_changed bigint"))
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="headwise", description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
-    parser.add_argument("job", choices=["load-static", "rollup", "export", "diff", "summary", "prune"])
+    parser.add_argument("job", choices=["load-static", "rollup", "export", "diff", "summary", "prune", "evict", "seed-gaps", "ingest", "live-status"])
     parser.add_argument("--store", required=True)
     parser.add_argument("--other")
     parser.add_argument("--gtfs")
     parser.add_argument("--force", action="store_true")
     parser.add_argument("--strict", action="store_true")
     parser.add_argument("--out")
+    parser.add_argument("--gaps")
+    parser.add_argument("--archive")
+    parser.add_argument("--interval")
     parser.add_argument("--date", type=date.fromisoformat)
     parser.add_argument("--backfill", type=int, default=0)
     parser.add_argument("--monthly", nargs="?", const="current")
@@ -164,7 +209,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--tolerance", type=int, default=k.DIFF_TOLERANCE_S)
     parser.add_argument("--settled-mins", type=int, default=k.SETTLED_S // 60)
     parser.add_argument("--keep-days", type=int, default=k.RUNS_KEPT_DAYS)
-    parser.add_argument("--tz", default="America/Chicago")
+    parser.add_argument("--tz", default="UTC", help="the agency's zone")
     parser.add_argument("--as-of", type=datetime.fromisoformat)
     args = parser.parse_args(argv)
 
@@ -191,6 +236,14 @@ def main(argv: list[str] | None = None) -> int:
         return 1 if health.verdict(report).first().failing else 0
     elif args.job == "prune":
         tables.prune_runs(spark, store.path("ingest_runs"), as_of, args.keep_days)
+    elif args.job == "evict":
+        print(*evict_job(store, today, args.keep_days))
+    elif args.job == "seed-gaps":
+        seed_gaps_job(store, args.gaps)
+    elif args.job == "ingest":
+        ingest_job(store, args.archive, args.tz, args.interval)
+    elif args.job == "live-status":
+        live_status_job(store).show(truncate=False)
     return 0
 
 

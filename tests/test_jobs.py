@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import shutil
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 
 from headwise import schemas
 from headwise.operators import match
 from headwise.plans import jobs, standins
-from headwise.sources import archive
+from headwise.sources import archive, tables
 from headwise.streaming import polls
 
 TZ = "America/Chicago"
@@ -109,4 +109,28 @@ def test_low_coverage_fails_the_rollup(spark, store, tmp_path, capsys):
 
 def test_summary_reports_problems(store, capsys):
     assert jobs.main(["summary", "--store", store, "--as-of", "2026-09-16T15:00:00"]) == 1
-    assert "collector may be down" in capsys.readouterr().out
+    assert "write_age" in capsys.readouterr().out
+
+
+def test_evict_drops_only_weeks_that_are_rolled_up(spark, tmp_path):
+    store = jobs.Tables(spark, str(tmp_path / "s"))
+    days = [date(2026, 1, 5) + timedelta(days=i) for i in range(21)]
+    rows = spark.createDataFrame([(d, "80", "S") for d in days], "service_date date, route_id string, stop_id string")
+    tables.write_observations(rows, store.path("observations"))
+    daily = rows.filter("service_date <> date'2026-01-14'")
+    daily.write.parquet(store.path("rollup_daily"))
+    spark.createDataFrame([(date(2026, 1, 1),)], "month date").write.parquet(store.path("rollup_monthly"))
+    assert jobs.evict_job(store, date(2026, 3, 1), 30) == ["2026-01-05"]
+    assert sorted(r.service_date for r in store.read("observations").collect()) == days[7:]
+    assert jobs.evict_job(store, date(2026, 3, 1), 30) == []
+
+
+def test_seeded_gaps_keep_what_is_set(spark, tmp_path):
+    store = jobs.Tables(spark, str(tmp_path / "s"))
+    seed = tmp_path / "gaps.csv"
+    seed.write_text("service_date,known_gap_reason\n2026-01-01,holiday\n2026-01-02,storm\n")
+    jobs.seed_gaps_job(store, str(seed))
+    seed.write_text("service_date,known_gap_reason\n2026-01-02,other\n2026-01-03,outage\n")
+    jobs.seed_gaps_job(store, str(seed))
+    assert sorted(tuple(r) for r in store.gaps().collect()) == [
+        (date(2026, 1, 1), "holiday"), (date(2026, 1, 2), "storm"), (date(2026, 1, 3), "outage")]
