@@ -120,8 +120,8 @@ def test_evict_drops_only_weeks_that_are_rolled_up(spark, tmp_path):
     daily = rows.filter("service_date <> date'2026-01-14'")
     daily.write.parquet(store.path("rollup_daily"))
     spark.createDataFrame([(date(2026, 1, 1),)], "month date").write.parquet(store.path("rollup_monthly"))
-    assert jobs.evict_job(store, date(2026, 3, 1), 30) == ["2026-01-05"]
-    assert sorted(r.service_date for r in store.read("observations").collect()) == days[7:]
+    assert jobs.evict_job(store, date(2026, 3, 1), 30) == ["2026-01-05", "2026-01-19"]
+    assert sorted(r.service_date for r in store.read("observations").collect()) == days[7:14]
     assert jobs.evict_job(store, date(2026, 3, 1), 30) == []
 
 
