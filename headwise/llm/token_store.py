@@ -40,7 +40,7 @@ RANK = 512
 #: Tokens in a segment, but for its last document.
 SEGMENT = 1 << 22
 #: Words whose ids a worker keeps; then those not met among the last as many go.
-KEEP_WORDS = 600_000
+KEEP_WORDS = 800_000
 
 
 def packed(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
@@ -163,14 +163,8 @@ class Encoder:
             parts.append(rest)
         # Known words go by their name without the space in front.
         found = [list(map(known.get, own)) for own in parts]
-        lack, out = [], []
-        for k, ids in enumerate(found):
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # a word that is not known yet
-                lack.append(k)
-                out.append(b"")
-        new = {p for k in lack for p, ids in zip(parts[k], found[k]) if ids is None}
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in found]
+        new = {own[i] for own, at in zip(parts, gaps) for i in at}
         known.update({p: old[p] for p in new if p in old})
         atoms = {p: _atoms(" " + p) for p in new if p not in known}
         wanted = {a for own in atoms.values() for a in own} | {h for h in heads if h}
@@ -181,9 +175,10 @@ class Encoder:
             known[p] = ids_of[own[0]] if len(own) == 1 else b"".join([ids_of[a] for a in own])
             if len(own) > 1 and own[0][0] == " ":
                 known[own[0][1:]] = ids_of[own[0]]
-        for k in lack:
-            out[k] = b"".join(map(known.__getitem__, parts[k]))
-        return [ids_of[h] + ids if h else ids for h, ids in zip(heads, out)]
+        for own, row, at in zip(parts, found, gaps):
+            for i in at:
+                row[i] = known[own[i]]
+        return [(ids_of[h] if h else b"") + b"".join(row) for h, row in zip(heads, found)]
 
 
 _blank = re.compile(r" [\s\x1c-\x1f]| $")
