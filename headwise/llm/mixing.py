@@ -1,119 +1,142 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in a seeded random order, make blocks of ``block`` documents. A source with
-``a`` of ``D`` shares has block k released at ``floor(k D / a)`` and due at ``ceil((k + 1) D / a)``;
-in each slot the released block with the earliest deadline runs. After t slots a source has had its
-share of t to within less than one block.
-
-The schedule repeats every ``D`` slots, so one such period is laid out on the driver (its size is
-bounded by the shares, not by the data) and every block's slot follows from its number. When a
-source has given all its blocks, the others go on with their shares among themselves: a new phase
-with a period of its own. Every row gets one place; none is dropped or repeated.
+A source's documents, in a seeded random order, make blocks of ``block`` documents. In an ideal mix
+all sources that still have blocks give them at once, at rates in proportion to their weights; there
+block k of a source begins and ends at known times. It is released in the slot in which it begins
+and due by the end of the slot in which it ends; in each slot the released block with the earliest
+deadline runs. As the ideal mix fills each slot, all deadlines are met: after any number of slots
+each source has had what the ideal mix gives it to within less than one block, also when sources
+have ended and the others go on with their weights among themselves.
+
+Times are exact: weights are taken as the fractions that their floats stand for, and all is reckoned
+in whole numbers. One task lays out the slots from the sources' weights and numbers of blocks. It
+holds a few numbers for each source and writes a row for each block as it goes, in time that grows
+with the number of blocks; the documents themselves are never gathered.
 
 Weights are given by source, or by default grow as the source's number of rows to the power
-``ALPHA``. The sources past the ``MAX_SOURCES`` largest, or not named in the weights, make up one
-group; null counts as a source. Rows that repeat an id and a source take neighbouring places in any
-order. An empty table gives no rows; other columns are passed through.
+``ALPHA``; null counts as a source. Sources not named in given weights make up one group with the
+smallest of them; those of weight 0 come after all others. Every row gets one place; none is dropped
+or repeated. Rows that repeat an id and a source take neighbouring places in any order. An empty
+table gives no rows; other columns are passed through.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import with_offsets
+from .common import stored, with_offsets
 
 ALPHA = 0.7
 BLOCK = 16
-SHARES = 256
-MAX_SOURCES = 255
 #: Rows of one source that are ranked together.
 RUN = 256
 
 
-def shares(weights: Mapping[str, float], total: int = SHARES) -> dict[str, int]:
-    """Whole shares in proportion to the weights, at least one each."""
-    whole = sum(weights.values())
-    return {k: max(1, round(total * w / whole)) for k, w in weights.items()}
+def shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    whole = {k: Fraction(w) for k, w in weights.items()}
+    if any(w < 0 for w in whole.values()):
+        raise ValueError("a weight is negative")
+    unit = math.lcm(*(w.denominator for w in whole.values()))
+    return {k: w.numerator * (unit // w.denominator) for k, w in whole.items()}
+
+
+def slots(share: Mapping[str, int], count: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block number) of each slot until all sources have given their ``count`` of blocks."""
+    later = {k: 1 for k in share if not share[k] and count[k]}
+    names = sorted(k for k in share if share[k] and count[k])
+    # The order in which sources end in the ideal mix; after p of them have, ``gone[p]`` blocks are
+    # theirs and ``rate[p]`` shares are left.
+    ends = sorted(((count[k], share[k]) for k in names), key=lambda e: Fraction(*e))
+    gone, rate = [0], [sum(share[k] for k in names)]
+    for n, a in ends:
+        gone.append(gone[-1] + n)
+        rate.append(rate[-1] - a)
+    at = dict.fromkeys(names, 0)
+
+    def before(k: str, n: int) -> tuple[int, int]:
+        """Slots of the ideal mix until source k has given n blocks, rounded down and up."""
+        a, p = share[k], at[k]
+        if p < len(ends) and ends[p][0] * a < n * ends[p][1]:
+            low, high = p + 1, len(ends)
+            while low < high:
+                mid = (low + high) // 2
+                if ends[mid][0] * a < n * ends[mid][1]:
+                    low = mid + 1
+                else:
+                    high = mid
+            p = at[k] = low
+        whole, part = divmod(n * rate[p], a)
+        return gone[p] + whole, gone[p] + whole + (part > 0)
+
+    waiting = [(0, k, 0, before(k, 1)) for k in names]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    for slot in range(gone[-1]):
+        while waiting and waiting[0][0] <= slot:
+            _, k, n, (begin, due) = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, k, n, begin))
+        _, k, n, begin = heapq.heappop(ready)
+        yield k, n
+        if n + 1 < count[k]:
+            # A block begins where the one before it ends.
+            heapq.heappush(waiting, (begin, k, n + 1, before(k, n + 2)))
+    if later:
+        yield from slots(later, count)
 
 
 def period(share: Mapping[str, int]) -> list[tuple[str, int]]:
-    """(source, block number within the period) of each slot of one period."""
-    total = sum(share.values())
-    waiting = [(0, k, 0) for k in sorted(share)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, k, n = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(n + 1) * total // share[k]), k, n))
-        _, k, n = heapq.heappop(ready)
-        out.append((k, n))
-        if n + 1 < share[k]:
-            heapq.heappush(waiting, ((n + 1) * total // share[k], k, n + 1))
-    return out
-
-
-def timetable(rows: Mapping[str, int], share: Mapping[str, int], block: int) -> tuple[list[int], list[tuple[str, int, int, int, int]]]:
-    """Starts of the phases, in periods, and (source, phase, number, slot, step) of their blocks.
-
-    A block with that number in period q of the phase that starts with period p has the slot
-    ``slot + (q - p) * step``.
-    """
-    last = {k: -(-(-(-n // block)) // share[k]) for k, n in rows.items() if n}
-    starts, table, base = [0], [], 0
-    for stop in sorted(set(last.values())):
-        active = {k: share[k] for k in last if last[k] > starts[-1]}
-        step = sum(active.values())
-        table += [(k, len(starts) - 1, n, base + slot, step) for slot, (k, n) in enumerate(period(active))]
-        base += step * (stop - starts[-1])
-        starts.append(stop)
-    return starts, table
+    """The slots after which each source has given as many blocks as it has shares."""
+    return list(slots(share, share))
+
+
+def layout(held: DataFrame, weights: Mapping[str, float] | None, block: int) -> DataFrame:
+    """(mix_source, mix_block, slot) of each block of sources with ``n`` rows each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {k: n for b in batches for k, n in zip(b.column("mix_source").to_pylist(), b.column("n").to_pylist())}
+        wanted = {k: n**ALPHA if weights is None else weights.get(k, min(weights.values(), default=1)) for k, n in rows.items()}
+        order = enumerate(slots(shares(wanted), {k: -(-n // block) for k, n in rows.items()}))
+        while part := [(k, n, slot) for slot, (k, n) in itertools.islice(order, 1 << 16)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.int64(), pa.int64()))], ["mix_source", "mix_block", "slot"])
+
+    # A row for each source.
+    return held.select("mix_source", "n").coalesce(1).mapInArrow(run, "mix_source string, mix_block long, slot long")
 
 
 def interleaved(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Mapping[str, float] | None = None, block: int = BLOCK, seed: int = 3) -> DataFrame:
     """(row, mix_source, mix_block, mix_place): the rows of ``docs`` as structs, their source's group,
     its block number, and the place in the mix by which to sort."""
-    spark = docs.sparkSession
     # No name begins with a control character: null and the group of the rest can't clash with one.
     group = F.coalesce(docs[source_col].cast("string"), F.lit("\x01null"))
-    counts = docs.groupBy(group.alias("g")).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), group.alias("_group"), docs[id_col].alias("_id"))
+    total = docs.count()
     if weights is None:
-        named = [r["g"] for r in counts.orderBy(F.desc("count"), "g").limit(MAX_SOURCES).collect()]
+        rows = rows.withColumn("mix_source", F.col("_group"))
     else:
-        named = list(weights)
-    names = spark.createDataFrame([(k, k) for k in named], "_g string, _name string")
-    # At most MAX_SOURCES rows, or as many as the weights name.
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), group.alias("_group"), docs[id_col].alias("_id"))
-    rows = rows.join(F.broadcast(names), F.col("_group") == F.col("_g"), "left").withColumn("mix_source", F.coalesce("_name", F.lit("\x01rest"))).drop("_g", "_name")
+        names = docs.sparkSession.createDataFrame([(k, k) for k in weights], "_g string, _name string")
+        # As many rows as the weights name.
+        rows = rows.join(F.broadcast(names), F.col("_group") == F.col("_g"), "left").withColumn("mix_source", F.coalesce("_name", F.lit("\x01rest"))).drop("_g", "_name")
     runs = max(1, -(-total // RUN))
     order = F.xxhash64(F.lit(seed), "_id", "_group")
     rows = rows.withColumn("_order", order).withColumn("_run", F.pmod("_order", F.lit(runs)))
     size = rows.groupBy("mix_source", "_run").agg(F.count("*").alias("n"))
-    size = with_offsets(size, ["mix_source"], ["_run"], F.floor(F.col("_run") / 1024))
-    held = {r[0]: r[1] for r in size.groupBy("mix_source").agg(F.sum("n")).collect()}
-    wanted = {k: (weights or {}).get(k) or n**ALPHA for k, n in held.items()} if weights is None else {k: weights.get(k, min(weights.values(), default=1)) for k in held}
-    share = shares(wanted) if wanted else {}
-    starts, table = timetable(held, share, block)
-    plan = spark.createDataFrame(table, "mix_source string, _phase int, _number long, _slot long, _step long")
-    parts = spark.createDataFrame(list(share.items()), "mix_source string, _share long")
+    size = stored(with_offsets(size, ["mix_source"], ["_run"], F.floor(F.col("_run") / 1024)), "runs")
+    plan = stored(layout(size.groupBy("mix_source").agg(F.sum("n").alias("n")), weights, block), "slots")
     within = F.row_number().over(W.partitionBy("mix_source", "_run").orderBy("_order", "_id")) - 1
-    rows = rows.withColumn("_within", within).join(size.select("mix_source", "_run", "offset"), ["mix_source", "_run"]).join(F.broadcast(parts), "mix_source")
-    rank = F.col("offset") + F.col("_within")
-    rows = rows.withColumn("_rank", rank).withColumn("mix_block", F.floor(rank / block)).withColumn("_period", F.floor(F.col("mix_block") / F.col("_share")))
-    rows = rows.withColumn("_number", F.col("mix_block") % F.col("_share"))
-    begun = F.filter(F.array(*(F.lit(x) for x in starts)), lambda x: x <= F.col("_period"))
-    rows = rows.withColumn("_phase", F.size(begun) - 1).withColumn("_start", F.array_max(begun))
-    # The plan has a row for each share and phase: at most MAX_SOURCES phases of twice SHARES slots.
-    rows = rows.join(F.broadcast(plan), ["mix_source", "_phase", "_number"])
-    slot = F.col("_slot") + (F.col("_period") - F.col("_start")) * F.col("_step")
-    rows = rows.withColumn("mix_place", slot * block + F.col("_rank") % block)
+    rows = rows.withColumn("_within", within).join(size.select("mix_source", "_run", "offset"), ["mix_source", "_run"])
+    rows = rows.withColumn("_rank", F.col("offset") + F.col("_within")).withColumn("mix_block", F.floor(F.col("_rank") / block))
+    # A slot for each ``block`` rows.
+    rows = rows.join(plan, ["mix_source", "mix_block"]).withColumn("mix_place", F.col("slot") * block + F.col("_rank") % block)
     return rows.select("row", "mix_source", "mix_block", "mix_place")
 
 

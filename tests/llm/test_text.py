@@ -161,3 +161,33 @@ def test_mixing(spark):
     assert mixed.columns == df.columns and len(CLASHES) + 3 == len(df.columns)
     assert [r.doc_id for r in mixed.collect()] == [r.row.doc_id for r in out]
     assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_mixing_keeps_to_tiny_weights():
+    weights = {"big": 0.9, **{f"s{i}": 0.001 for i in range(100)}, "tiny": 1e-7}
+    share, given = mixing.shares(weights), dict.fromkeys(weights, 0)
+    count = {k: 4000 if k == "big" else 4 for k in weights}
+    whole = sum(weights.values())
+    for slot, (source, number) in enumerate(mixing.slots(share, count), 1):
+        assert number == given[source]
+        given[source] += 1
+        if slot < 3500:
+            assert all(abs(given[k] - slot * weights[k] / whole) < 1 + 1e-9 for k in weights)
+    assert given == count
+    # Sources that ended leave the others their shares; one of weight 0 comes last.
+    order = [k for k, _ in mixing.slots(mixing.shares({"a": 3, "b": 1, "c": 1, "z": 0}), {"a": 3, "b": 50, "c": 50, "z": 2})]
+    assert order[-2:] == ["z", "z"]
+    assert all(abs(order[:n].count("b") - (n - 3) / 2) < 1 for n in range(5, 103))
+
+
+def test_mixing_gives_every_source_its_own_weight(spark):
+    rows = [(i, "big" if i < 2000 else f"s{i % 300}") for i in range(8000)]
+    out = mixing.interleaved(spark.createDataFrame(rows, "doc_id long, source string"), block=1).orderBy("mix_place").collect()
+    sizes = {k: sum(r.mix_source == k for r in out) for k in {r.mix_source for r in out}}
+    assert len(out) == 8000 and len(sizes) == 301 and [r.mix_place for r in out] == list(range(8000))
+    weights = {k: n**mixing.ALPHA for k, n in sizes.items()}
+    whole, given = sum(weights.values()), dict.fromkeys(sizes, 0)
+    for n, r in enumerate(out, 1):
+        given[r.mix_source] += 1
+        if n < 5000:
+            assert abs(given[r.mix_source] - n * weights[r.mix_source] / whole) < 1 + 1e-9
