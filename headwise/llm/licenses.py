@@ -1,10 +1,12 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
 Texts are cut into segments: each line, and each run of lines without a blank one between them. A
-segment's words (runs of ASCII letters, digits and other non-ASCII characters, in lower case) are
+statement within a longer line or among other lines is met by windows: as many words as a template
+has, slid over the whole text from each of the template's words and up to each of them. A segment's words (runs of ASCII letters, digits and other non-ASCII characters, in lower case) are
 hashed to ``DIM`` features; a feature's weight is its count times its inverse document frequency over
 all documents. The segment nearest to a template by cosine, if at ``threshold`` or more, gives the
-document's own license; ties go to the template that stands first, then to the earlier segment.
+document's own license; ties go to the template that stands first, then to the earlier segment. As
+other licenses also reserve rights, "proprietary" counts only where nothing else is near enough.
 
 A file whose name says that it states a license passes its license on to its directory and those
 below, unless a nearer directory has one of its own: each directory is joined with all its ancestors
@@ -55,6 +57,8 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("proprietary", "All rights reserved."),
 ]
+#: What a text says that grants nothing.
+OWNED = "proprietary"
 #: File names that state a directory's license.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
@@ -107,6 +111,14 @@ def _segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(starts), np.concatenate(ends)
 
 
+def _windows(features: np.ndarray, row: np.ndarray, edges: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) words of the windows of ``length`` that begin or end with a word marked in
+    ``own``, cut at the edges of their row."""
+    at = np.flatnonzero(own)
+    first = np.unique(np.concatenate((at, np.maximum(at - length + 1, edges[row[at]]))))
+    return first, np.minimum(first + length, edges[row[first] + 1])
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Documents with each feature, and all documents."""
 
@@ -129,8 +141,10 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return seen[:DIM], int(seen[DIM])
 
 
-def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, path, license, score): each row's own license and cosine, null where none is near enough."""
+def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+    """(id, path, license, score): each row's own license and cosine, null where none is near enough.
+
+    Without ``windows`` only whole lines and runs of lines are scored."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     seen, total = document_frequencies(texts.select("text"))
     idf = np.log((1 + total) / (1 + seen)) + 1
@@ -138,9 +152,12 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = np.zeros((DIM, len(TEMPLATES)))
+        lengths = []
         for k, (_, text) in enumerate(TEMPLATES):
-            found, weight = _vector(_words(*raw(pa.array([text])))[0], idf)
+            own = _words(*raw(pa.array([text])))[0]
+            found, weight = _vector(own, idf)
             forms[found, k] = weight
+            lengths.append(len(own))
         known = forms.any(axis=1)
         for batch in slices(batches, "text"):
             data, bounds = raw(batch.column("text"))
@@ -155,17 +172,35 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             f, l = np.searchsorted(at, first), np.searchsorted(at, last)
             bound = (part[l] - part[f]).max(axis=1)
             near = np.flatnonzero((last > first) & (bound >= threshold * np.sqrt(square[last] - square[first]) - 1e-6))
-            best: dict[int, tuple[float, int, int]] = {}
+            best: dict[int, tuple[bool, float, int, int]] = {}
             rows = np.searchsorted(bounds, a[near], "right") - 1
             for s, row in zip(near.tolist(), rows.tolist()):
                 found, weight = _vector(features[first[s] : last[s]], idf)
                 score = weight @ forms[found]
                 k = int(score.argmax())
                 if score[k] >= threshold:
-                    best[row] = max(best.get(row, (0.0, 0, 0)), (round(float(score[k]), 9), -k, -s))
+                    best[row] = max(best.get(row, (False, 0.0, 0, 0)), (names[k] != OWNED, round(float(score[k]), 9), -k, -int(first[s])))
+            if windows:
+                row = np.searchsorted(bounds, starts, "right") - 1
+                edges = np.searchsorted(starts, bounds)
+                for k, length in enumerate(lengths):
+                    first, last = _windows(features, row, edges, forms[features, k] > 0, length)
+                    f, l = np.searchsorted(at, first), np.searchsorted(at, last)
+                    bound = (part[l, k] - part[f, k]) / np.sqrt(np.maximum(square[last] - square[first], 1e-12))
+                    near = np.flatnonzero(bound >= threshold - 1e-6)
+                    # The most promising windows of a row first: the others can't be nearer.
+                    for w in near[np.argsort(-bound[near], kind="stable")].tolist():
+                        r, a, b = int(row[first[w]]), int(first[w]), int(last[w])
+                        held = best.get(r, (False, 0.0, 0, 0))
+                        if (names[k] != OWNED, bound[w] + 1e-6) < held[:2]:
+                            continue
+                        found, weight = _vector(features[a:b], idf)
+                        score = round(float(weight @ forms[found, k]), 9)
+                        if score >= threshold:
+                            best[r] = max(held, (names[k] != OWNED, score, -k, -a))
             hit = [best.get(r) for r in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("path"), pa.array([h and names[-h[1]] for h in hit], pa.string()), pa.array([h and h[0] for h in hit], pa.float64())], ["id", "path", "license", "score"]
+                [batch.column("id"), batch.column("path"), pa.array([h and names[-h[2]] for h in hit], pa.string()), pa.array([h and h[1] for h in hit], pa.float64())], ["id", "path", "license", "score"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -175,7 +210,7 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, path, own_license, score, license, license_dir): what holds for each row, and the
     directory that it is inherited from, null if the license is its own or there is none."""
-    files = own_licenses(docs, id_col, text_col, path_col, threshold)
+    files = own_licenses(docs, id_col, text_col, path_col, threshold, windows=True)
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/+", "/")
     files = stored(files.withColumn("dir", F.when(F.col("path").isNotNull(), folder)), "files")
     stated = files.where(F.col("license").isNotNull() & F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE))

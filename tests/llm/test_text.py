@@ -126,6 +126,26 @@ def test_license_scores_equal_brute_force(spark, words):
             assert got[i] == (None, None)
 
 
+def found_licenses(spark, words, texts):
+    """Own licenses of texts among others of prose, by their numbers."""
+    rng = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, prose(rng, words, 40) + " the license of this work and version is under a public file") for i in range(60)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("path", F.lit("x"))
+    got = {r.doc_id: r.own_license for r in licenses.scan(df).collect()}
+    assert not any(got[i] for i in got if i >= 1000)
+    return [got[i] for i in range(len(texts))]
+
+
+def test_licenses_within_longer_lines(spark, words):
+    rng = random.Random(2)
+    more = lambda: prose(rng, words, 15)
+    mit = next(t for k, t in licenses.TEMPLATES if k == "MIT" and len(t) > 200).split()
+    wrapped = "\n".join("// " + " ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    texts = ["Copyright (c) 2021 Example Corp. All rights reserved.", f"{more()} Released under the MIT License. {more()}", f"{more()}\n{wrapped}\n" + "\n".join(more() for _ in range(20)), f"{more()} All rights reserved. {more()} Licensed under the Apache License, Version 2.0. {more()}"]
+    texts.append("This project is released under the MIT License, see COPYING for details.")
+    assert found_licenses(spark, words, texts) == ["proprietary", "MIT", "MIT", "Apache-2.0", "MIT"]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_period_keeps_within_a_block(seed):
     rng = random.Random(seed)
