@@ -7,6 +7,10 @@ hashed to ``DIM`` features; a feature's weight is its count times its inverse do
 all documents. The segment nearest to a template by cosine, if at ``threshold`` or more, gives the
 document's own license; ties go to the template that stands first, then to the earlier segment. As
 other licenses also reserve rights, "proprietary" counts only where nothing else is near enough.
+Among the GNU, Creative Commons and BSD licenses the version and variant words of the matched text
+itself decide; GNU and CC texts without a version get the family's name alone. The BSD opening is
+three-clause unless a list of conditions without that on names follows. An SPDX tag outranks all
+wordings. Licenses beyond ``TEMPLATES``, or in other words than theirs, are met by their tag only.
 
 A file whose name says that it states a license passes its license on to its directory and those
 below, unless a nearer directory has one of its own: each directory is joined with all its ancestors
@@ -19,6 +23,7 @@ returned. Whole texts are scanned; other columns play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +55,48 @@ TEMPLATES = [
         "GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("ISC", "Released under the ISC License."),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
     ("proprietary", "All rights reserved."),
 ]
 #: What a text says that grants nothing.
@@ -62,6 +104,47 @@ OWNED = "proprietary"
 #: File names that state a directory's license.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 
+#: A tag that names a license by its identifier.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)")
+VERSION = re.compile(r"(?:\bversions?|\bv|\bl?a?gpl)[\s.,:v-]*(\d+(?:\.\d+)?)")
+
+
+def variant(kind: str, words: str, after: str) -> str:
+    """The kind that a text near a template of ``kind`` states by its own words.
+
+    ``after`` is what follows the matched ``words``. In a family a wording is shared by several
+    versions and variants: those words decide that the text has, whichever template is nearest."""
+    words = words.lower()
+    if kind.startswith(("GPL", "LGPL", "AGPL")):
+        name = "AGPL" if "affero" in words or "agpl" in words else "LGPL" if re.search(r"\b(lesser|library|lgpl)\b", words) else "GPL"
+        found = VERSION.search(words) or VERSION.match(after.lower().lstrip(" ,;:.(\n#*/"))
+        if not found:
+            return name
+        number = found[1] if "." in found[1] else found[1] + ".0"
+        return f"{name}-{number}"
+    if kind.startswith("CC-BY"):
+        tokens = set(re.findall(r"[a-z]+", words))
+        name = "CC-BY"
+        for part, names in (("NC", {"nc", "noncommercial"}), ("SA", {"sa", "sharealike"}), ("ND", {"nd", "noderivatives", "noderivs"})):
+            spelt = {"NC": "non-?commercial", "SA": "share-?alike", "ND": "no-?deriv"}[part]
+            if names & tokens or re.search(spelt, words):
+                name += f"-{part}"
+        found = re.search(r"\b(\d\.\d)\b", words)
+        return f"{name}-{found[1]}" if found else name
+    if kind == "BSD-3-Clause" and "redistribution" in words:
+        # The opening sentence is shared; the third clause is about names.
+        rest = " ".join(re.findall(r"[a-z]+", after[:4000].lower()))
+        if "list of conditions" in rest and not re.search(r"neither the names?|endorse or promote", rest):
+            return "BSD-2-Clause"
+    return kind
+
+
+def tagged(text: str | None) -> str | None:
+    """The license of the first SPDX tag, without the suffixes of its GNU identifiers."""
+    found = SPDX.search(text) if text else None
+    return found and re.sub(r"(GPL-\d\.\d)(-only|-or-later|\+)", r"\1", " ".join(found[1].split()))
+
+
 #: Bytes that stand between words.
 BETWEEN = np.array([not (chr(c).isalnum() if c < 128 else True) for c in range(256)])
 
@@ -172,14 +255,14 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             f, l = np.searchsorted(at, first), np.searchsorted(at, last)
             bound = (part[l] - part[f]).max(axis=1)
             near = np.flatnonzero((last > first) & (bound >= threshold * np.sqrt(square[last] - square[first]) - 1e-6))
-            best: dict[int, tuple[bool, float, int, int]] = {}
+            best: dict[int, tuple[bool, float, int, int, int]] = {}
             rows = np.searchsorted(bounds, a[near], "right") - 1
             for s, row in zip(near.tolist(), rows.tolist()):
                 found, weight = _vector(features[first[s] : last[s]], idf)
                 score = weight @ forms[found]
                 k = int(score.argmax())
                 if score[k] >= threshold:
-                    best[row] = max(best.get(row, (False, 0.0, 0, 0)), (names[k] != OWNED, round(float(score[k]), 9), -k, -int(first[s])))
+                    best[row] = max(best.get(row, (False, 0.0, 0, 0, 0)), (names[k] != OWNED, round(float(score[k]), 9), -k, -int(first[s]), int(last[s])))
             if windows:
                 row = np.searchsorted(bounds, starts, "right") - 1
                 edges = np.searchsorted(starts, bounds)
@@ -191,16 +274,25 @@ def own_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     # The most promising windows of a row first: the others can't be nearer.
                     for w in near[np.argsort(-bound[near], kind="stable")].tolist():
                         r, a, b = int(row[first[w]]), int(first[w]), int(last[w])
-                        held = best.get(r, (False, 0.0, 0, 0))
+                        held = best.get(r, (False, 0.0, 0, 0, 0))
                         if (names[k] != OWNED, bound[w] + 1e-6) < held[:2]:
                             continue
                         found, weight = _vector(features[a:b], idf)
                         score = round(float(weight @ forms[found, k]), 9)
                         if score >= threshold:
-                            best[r] = max(held, (names[k] != OWNED, score, -k, -a))
-            hit = [best.get(r) for r in range(batch.num_rows)]
+                            best[r] = max(held, (names[k] != OWNED, score, -k, -a, b))
+            stated: list[str | None] = [None] * batch.num_rows
+            scores: list[float | None] = [None] * batch.num_rows
+            for r, (_, score, k, a, b) in best.items():
+                begin, end = starts[-a], starts[b] if b < len(starts) and starts[b] < bounds[r + 1] else bounds[r + 1]
+                text = [data[i:j].tobytes().decode("utf-8", "replace") for i, j in ((begin, end), (end, bounds[r + 1]))]
+                stated[r], scores[r] = variant(names[-k], *text), score
+            if windows:
+                for r, text in enumerate(batch.column("text").to_pylist()):
+                    if tag := tagged(text):
+                        stated[r], scores[r] = tag, 1.0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("path"), pa.array([h and names[-h[2]] for h in hit], pa.string()), pa.array([h and h[1] for h in hit], pa.float64())], ["id", "path", "license", "score"]
+                [batch.column("id"), batch.column("path"), pa.array(stated, pa.string()), pa.array(scores, pa.float64())], ["id", "path", "license", "score"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -146,6 +146,38 @@ def test_licenses_within_longer_lines(spark, words):
     assert found_licenses(spark, words, texts) == ["proprietary", "MIT", "MIT", "Apache-2.0", "MIT"]
 
 
+def test_licenses_of_confusable_families(spark, words):
+    rng = random.Random(3)
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation; either version %s of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
+    cc = "This work is licensed under a Creative Commons Attribution%s %s International License."
+    pairs = [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        (header % ("", "2"), "GPL-2.0"),
+        (header % ("", "3"), "GPL-3.0"),
+        (header % ("Lesser ", "2.1"), "LGPL-2.1"),
+        (header % ("Lesser ", "3"), "LGPL-3.0"),
+        (header % ("Affero ", "3"), "AGPL-3.0"),
+        (cc % ("", "4.0"), "CC-BY-4.0"),
+        (cc % ("-ShareAlike", "4.0"), "CC-BY-SA-4.0"),
+        (cc % ("-ShareAlike", "3.0"), "CC-BY-SA-3.0"),
+        (cc % ("-NonCommercial-NoDerivatives", "4.0"), "CC-BY-NC-ND-4.0"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        (bsd, "BSD-2-Clause"),
+        (bsd + "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products.", "BSD-3-Clause"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Linux-syscall-note */", "GPL-2.0 WITH Linux-syscall-note"),
+    ]
+    assert found_licenses(spark, words, [t for t, _ in pairs]) == [k for _, k in pairs]
+    within = [prose(rng, words, 12) + " " + t + " " + prose(rng, words, 12) for t, _ in pairs[:13]]
+    assert found_licenses(spark, words, within) == [k for _, k in pairs[:13]]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_period_keeps_within_a_block(seed):
     rng = random.Random(seed)
