@@ -116,7 +116,8 @@ class Encoder:
     """A byte-level tokenizer with the ids of words it has met.
 
     The tokenizer never joins a space that a letter or other visible character follows to what
-    stands before it, so a text is encoded piece by piece between such spaces.
+    stands before it, so a text is encoded piece by piece between such spaces. The ids are those that the
+    tokenizer gives to the whole text, with added tokens (``<|endoftext|>``) as it reads them.
     """
 
     def __init__(self, path: str):
@@ -125,8 +126,10 @@ class Encoder:
         # One thread in each worker: Spark's tasks already fill the cores.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        # The special token's string in a text is text.
-        self.tokenizer.encode_special_tokens = True
+        # A text that holds an added token's string may hold that token: it is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # Words joined by their spaces can't make up one without a space.
+        self.apart = not any(c.isspace() for t in self.added for c in t)
         # Every byte of a text is one character of its tokens' names.
         names = self.tokenizer.get_vocab()
         self.size = np.zeros(max(names.values()) + 1, dtype=np.int64)
@@ -139,7 +142,7 @@ class Encoder:
         """Ids of each text; those that begin with a space and a letter go in as one long text.
 
         Byte-level tokens spell their text out, so their lengths tell where each part ends."""
-        joint = [t for t in texts if t[0] == " " and t[1:2].isalpha()]
+        joint = [t for t in texts if t[0] == " " and t[1:2].isalpha()] if self.apart else []
         out = {}
         for at in range(0, len(joint), 2000):
             part = joint[at : at + 2000]
@@ -157,8 +160,10 @@ class Encoder:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
         heads, parts = [], []
+        whole = {t for t in texts if t and any(a in t for a in self.added)}
+        ids_whole = {t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in whole}
         for text in texts:
-            head, *rest = _pieces(text) if text else ("",)
+            head, *rest = _pieces(text) if text and text not in whole else ("",)
             heads.append(head)
             parts.append(rest)
         # Known words go by their name without the space in front.
@@ -178,7 +183,7 @@ class Encoder:
         for own, row, at in zip(parts, found, gaps):
             for i in at:
                 row[i] = known[own[i]]
-        return [(ids_of[h] if h else b"") + b"".join(row) for h, row in zip(heads, found)]
+        return [ids_whole[t] if t in ids_whole else (ids_of[h] if h else b"") + b"".join(row) for t, h, row in zip(texts, heads, found)]
 
 
 _blank = re.compile(r" [\s\x1c-\x1f]| $")

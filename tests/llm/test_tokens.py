@@ -44,6 +44,14 @@ def test_word_by_word_encoding_equals_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
+def test_added_tokens_have_the_ids_of_the_plain_tokenizer():
+    tokenizer = Tokenizer.from_file(BPE)
+    texts = ["before <|endoftext|> after", "<|endoftext|>", " a<|endoftext|>b <|endoftext", "no token", " word  <|endoftext|>  word ", "<|endoftext|" + ">" * 3, None, ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_store.Encoder(BPE).encode(texts * 2)]
+    assert got[0] == [19052, 220, 50256, 706]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts * 2]
+
+
 def test_token_store(spark, tmp_path, words, monkeypatch):
     rng = random.Random(8)
     rows = [(rng.randint(0, 10**6), " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for _ in range(200)]
