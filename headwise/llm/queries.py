@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headwise.session import scratch_path
 
-from . import html_text, language_id, licenses, line_dedup, mixing, near_dups, neighbours, pieces, quality, token_store
+from . import collocations, html_text, language_id, licenses, line_dedup, mixing, near_dups, neighbours, pieces, quality, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat_ws("/", folder, F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".txt"))))
     )
     return licenses.scan(docs.withColumn("path", place))
+
+
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, k, unnest([array_to_string(ws[i : i + k - 1], ' ') FOR i IN generate_series(1, len(ws) - k + 1)]) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+g AS (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, k, phrase, a, i, array_to_string(ws[1 : i], ' ') AS head, array_to_string(ws[i + 1 :], ' ') AS tail
+      FROM (SELECT *, unnest(generate_series(1, k - 1)) AS i FROM c)),
+s AS (SELECT x.*, u.f AS l, v.f AS r, ((1000000::HUGEINT * a * a) // (u.f::HUGEINT * v.f))::BIGINT AS score
+      FROM x JOIN g u ON u.lang = x.lang AND u.phrase = head JOIN g v ON v.lang = x.lang AND v.phrase = tail),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+d AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL)
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, encode(m.phrase)) AS rank, m.phrase, a, l, r, n, score
+FROM m JOIN t USING (lang) LEFT JOIN d ON d.lang = m.lang AND d.phrase = m.phrase AND m.k = 2
+WHERE coalesce(100 * most < 50 * a, true)
+QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
