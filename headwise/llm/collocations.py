@@ -43,9 +43,9 @@ VOCABULARY = (1 << 21) - 1
 #: Phrase occurrences that a range of keys holds on average.
 RANGE_ROWS = 1_000_000
 #: Phrase occurrences that a task gathers before it writes its filters.
-GATHERED = 4_000_000
+GATHERED = 1_500_000
 #: Words that a task gathers before it writes its counts.
-GATHERED_WORDS = 1_000_000
+GATHERED_WORDS = 500_000
 
 #: Bytes that end a piece and bytes that end a word.
 PIECE_END = np.zeros(256, dtype=bool)
