@@ -164,17 +164,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPEATS_SQL = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n_bytes, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT k, i, md5_number(h[2 * i + 1 : 2 * i + 800]) AS w FROM (SELECT k, h, unnest(generate_series(0, n_bytes - 400)) AS i FROM d)),
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, encode(coalesce(text, '')) AS b, octet_length(b) AS n_bytes FROM documents),
+p AS (SELECT k, i, md5_number(array_slice(b, i + 1, i + 400)) AS w FROM (SELECT k, b, unnest(generate_series(0, n_bytes - 400)) AS i FROM d)),
 r AS (SELECT w FROM p GROUP BY w HAVING count(*) > 1),
 m AS (SELECT k, i FROM p SEMI JOIN r USING (w)),
 g AS (SELECT k, i, coalesce(i > lag(i) OVER (PARTITION BY k ORDER BY i) + 400, true) AS fresh FROM m),
 s AS (SELECT k, i, sum(fresh::INT) OVER (PARTITION BY k ORDER BY i) AS run FROM g),
 b AS (SELECT k, run, min(i) AS a, max(i) + 400 AS z FROM s GROUP BY ALL),
 e AS (SELECT k, a, z, coalesce(lag(z) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM b),
-c AS (SELECT k, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(h[2 * before + 1 : 2 * a], '' ORDER BY a) AS kept FROM e JOIN d USING (k) GROUP BY k)
+c AS (SELECT k, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(hex(array_slice(b, before + 1, a)), '' ORDER BY a) AS kept FROM e JOIN d USING (k) GROUP BY k)
 SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1 :])) AS kept_sha256
+       sha256(unhex(coalesce(kept, '') || hex(array_slice(b, coalesce(last, 0) + 1, n_bytes)))) AS kept_sha256
 FROM d LEFT JOIN c USING (k)
 """
 
