@@ -10,7 +10,8 @@ least ``length + 1 - WINDOW`` bytes from that anchor on (the reach) are part of
 1. **Ranks.** An anchor's first rank is that of the string up to the next anchor. Then the ranks of
    anchor ``i`` and of anchor ``i + 1, i + 2, i + 4 ...`` of the same text make pairs; Spark counts and sorts the
    distinct pairs, and their place is the next rank. An anchor whose rank stands once, in the whole
-   table, is out; one whose next pair would pass the reach keeps its rank.
+   table, is out; one whose next pair would pass the reach is ranked once more with what is left of the
+   bytes that all long strings at its starts have in common (the core).
 2. **Blocks.** The starts that belong to an anchor, with ``length`` bytes from the last one, make a block.
    Blocks of the same rank and content are repeated as a whole.
 3. **Rims.** Where blocks of one rank differ, the long strings at each of their starts are hashed and
@@ -39,9 +40,10 @@ from .common import slices, stored
 from .hashing import INVERSE, U, mix, powers, prefix_sums, raw, spans_hash
 
 LENGTH = 400
+#: Window at most 128: a start's number in its block is kept in seven bits.
 WINDOW, GRAM = 96, 12
 
-ANCHORS = "hi long, lo long, idx int, place int, s int, e int, parts int, phrase long, block long"
+ANCHORS = "hi long, lo long, idx int, place int, s int, e int, parts int, phrase long, core long, block long"
 DOC = ["hi", "lo"]
 
 
@@ -59,11 +61,12 @@ def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int):
-    """(row, idx, place, s, e, parts, phrase, block) of the anchors of all rows of a column.
+    """(row, idx, place, s, e, parts, phrase, core, block) of the anchors of all rows of a column.
 
     place: byte of the anchor in its row; s to e: the starts that belong to it (e < s: none); parts:
     how many phrases (strings from one anchor to the next) the reach determines; phrase: hash of the
-    first (0: none); block: hash of the bytes from s to the end of the last long string.
+    first (0: none); core and block: hashes of the bytes in all of its long strings, as far as the reach
+    goes, and of the bytes in any of them.
     """
     n = len(data)
     sums = prefix_sums(data)
@@ -74,7 +77,8 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int):
     chosen = (least[at] & U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(chosen, prepend=-1))
     place, s, own = chosen[first], at[first], row[chosen[first]]
-    e = np.minimum(at[np.append(first[1:], len(at)) - 1] if len(first) else first, bounds[own + 1] - length)
+    last_window = at[np.append(first[1:], len(at)) - 1] if len(first) else first
+    e = np.minimum(last_window, bounds[own + 1] - length)
     follows = np.append(own[1:] == own[:-1], False) if len(own) else np.zeros(0, bool)
     phrase = np.zeros(len(own), dtype=U)
     i = np.flatnonzero(follows)
@@ -86,22 +90,24 @@ def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int):
     tail = np.searchsorted(own, np.arange(len(bounds) - 1), "right") - 1
     # Anchor ``last`` is determined from here; so is the string up to it, and one phrase in any case.
     parts = np.maximum(1, np.minimum(last, tail[own]) - np.arange(len(own)))
-    block = np.zeros(len(own), dtype=U)
+    core, block = np.zeros(len(own), dtype=U), np.zeros(len(own), dtype=U)
     i = np.flatnonzero(e >= s)
+    # The last window is determined by what follows, the end of the row is not: the core begins there.
+    core[i] = spans_hash(sums, last_window[i], place[i] + reach)
     block[i] = spans_hash(sums, s[i], e[i] + length)
     base = bounds[own]
-    return own, np.arange(len(own)) - head[own], place - base, s - base, e - base, parts, phrase, block
+    return own, np.arange(len(own)) - head[own], place - base, s - base, e - base, parts, phrase, core, block
 
 
 def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, bounds = raw(batch.column("text"))
-            row, *numbers, phrase, block = anchors_of(data, bounds, length)
+            row, *numbers, phrase, core, block = anchors_of(data, bounds, length)
             keys = [batch.column(c).take(pa.array(row)) for c in DOC]
             yield pa.RecordBatch.from_arrays(
-                [*keys, *(pa.array(x.astype(np.int32)) for x in numbers), pa.array(phrase.view(np.int64)), pa.array(block.view(np.int64))],
-                ["hi", "lo", "idx", "place", "s", "e", "parts", "phrase", "block"],
+                [*keys, *(pa.array(x.astype(np.int32)) for x in numbers), *(pa.array(x.view(np.int64)) for x in (phrase, core, block))],
+                ["hi", "lo", "idx", "place", "s", "e", "parts", "phrase", "core", "block"],
             )
 
     return texts.select(*DOC, "text").mapInArrow(run, ANCHORS)
@@ -115,17 +121,17 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repeated_anchors(anchors: DataFrame) -> DataFrame:
-    """(hi, lo, place, s, e, block, step, rank): anchors with starts, by equal strings within the reach.
+    """(hi, lo, place, s, e, block, rank): anchors with starts, by equal strings within the reach.
 
     Prefix doubling: ``rank`` orders the strings of ``step`` phrases. Anchors that are alone are left out
     as soon as that shows.
     """
     rows = stored(_ranked(anchors.where("phrase <> 0"), ["phrase"]), "anchors")
     step, done = 1, []
-    owns = "hi lo place s e block".split()
+    owns = "hi lo place s e core block".split()
     while True:
         far = F.col("parts") >= 2 * step
-        done.append(rows.where(~far & (F.col("s") <= F.col("e"))).select(*owns, F.lit(step).alias("step"), "rank"))
+        done.append(rows.where(~far & (F.col("s") <= F.col("e"))).select(*owns, F.lit(step).alias("step"), F.col("rank").alias("level")))
         going = rows.where(far)
         if going.isEmpty():
             break
@@ -138,11 +144,14 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out
+    return _ranked(stored(out, "levels"), ["step", "level", "core"])
 
 
 def _starts(blocks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(step, rank, off, h, hi, lo, at, open): each start of the blocks with the hash of its long string."""
+    """(rank, h, ref): each start of the blocks with the hash of its long string and its distance from the anchor.
+
+    ref: of an open block its id and the start's number in it, ``id * 128 + number``; else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -150,40 +159,42 @@ def _starts(blocks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             sums = prefix_sums(data)
             rows = batch.column("rows")
             owner = np.repeat(np.arange(batch.num_rows), np.diff(rows.offsets))
-            field = {f.name: rows.flatten().field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(rows.type.value_type)}
-            size = (field["e"] - field["s"] + 1).astype(np.int64)
+            flat = rows.flatten()
+            id_, rank, place, s, e = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            open_ = flat.field(5).to_numpy(zero_copy_only=False)
+            size = e - s + 1
             of = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + field["s"][of]
+            number = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             for a in range(0, len(of), 1 << 18):
-                part, here = of[a : a + (1 << 18)], at[a : a + (1 << 18)]
-                begin = here + bounds[owner[part]]
-                h = spans_hash(sums, begin, begin + length).view(np.int64)
-                keys = [batch.column(c).take(pa.array(owner[part])) for c in DOC]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(field["step"][part]), pa.array(field["rank"][part]), pa.array((field["place"][part] - here).astype(np.int32)), pa.array(h), *keys, pa.array(here.astype(np.int32)), pa.array(field["open"][part])],
-                    ["step", "rank", "off", "h", "hi", "lo", "at", "open"],
-                )
+                part, n = of[a : a + (1 << 18)], number[a : a + (1 << 18)]
+                begin = s[part] + n + bounds[owner[part]]
+                h = mix(spans_hash(sums, begin, begin + length) + (place[part] - s[part] - n).astype(U))
+                ref = pa.array(id_[part] * 128 + n, mask=~open_[part])
+                yield pa.RecordBatch.from_arrays([pa.array(rank[part]), pa.array(h.view(np.int64)), ref], ["rank", "h", "ref"])
 
-    lists = blocks.groupBy(*DOC).agg(F.collect_list(F.struct("step", "rank", "place", "s", "e", "open")).alias("rows"))
-    return texts.select(*DOC, "text").join(lists, DOC).mapInArrow(run, "step int, rank long, off int, h long, hi long, lo long, at int, open boolean")
+    lists = blocks.groupBy(*DOC).agg(F.collect_list(F.struct("id", "rank", "place", "s", "e", "open")).alias("rows"))
+    return texts.select(*DOC, "text").join(lists, DOC).mapInArrow(run, "rank long, h long, ref long")
 
 
 def _repeated_starts(texts: DataFrame, length: int) -> DataFrame:
-    """(hi, lo, s, e): runs of starts of repeated long strings."""
+    """(hi, lo, runs): runs of starts of repeated long strings, an array of (s, e), several rows a text."""
     anchors = stored(repeated_anchors(stored(_anchors(texts, length), "anchors")), "repeated")
-    kind = ["step", "rank", "ahead", "block"]
+    kind = ["rank", "ahead", "block"]
     anchors = anchors.withColumn("ahead", F.col("place") - F.col("s"))
     blocks = anchors.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "place", "s", "e")).alias("one"))
     blocks = stored(blocks, "blocks")
-    whole = anchors.join(blocks.where("n > 1").select(*kind), kind).select(*DOC, "s", "e")
+    whole = anchors.join(blocks.where("n > 1").select(*kind), kind).select(*DOC, F.array(F.struct("s", "e")).alias("runs"))
     # Blocks of a rank that has other blocks beside them.
-    mixed = blocks.groupBy("step", "rank").count().where("count > 1").select("step", "rank")
-    rims = blocks.join(mixed, ["step", "rank"]).select("step", "rank", "one.*", (F.col("n") == 1).alias("open"))
-    starts = stored(_starts(stored(rims, "rims"), texts, length), "starts")
-    key = ["step", "rank", "off", "h"]
-    again = starts.groupBy(*key).count().where("count > 1").select(*key)
-    single = starts.where("open").join(again, key).select(*DOC, F.col("at").alias("s"), F.col("at").alias("e"))
-    return whole.union(single)
+    mixed = blocks.groupBy("rank").count().where("count > 1").select("rank")
+    rims = blocks.join(mixed, "rank").select(F.monotonically_increasing_id().alias("id"), "rank", "one.*", (F.col("n") == 1).alias("open"))
+    rims = stored(rims, "rims")
+    starts = stored(_starts(rims, texts, length), "starts")
+    again = starts.groupBy("rank", "h").count().where("count > 1").select("rank", "h")
+    found = starts.where("ref is not null").join(again, ["rank", "h"])
+    found = found.groupBy(F.shiftright("ref", 7).alias("id")).agg(F.collect_list((F.col("ref") % 128).cast("int")).alias("numbers"))
+    single = found.join(rims.select("id", *DOC, F.col("s").alias("first")), "id")
+    one = lambda n: F.struct((F.col("first") + n).alias("s"), (F.col("first") + n).alias("e"))
+    return whole.union(single.select(*DOC, F.transform("numbers", one).alias("runs")))
 
 
 def _hashes(text: Column) -> list[Column]:
@@ -204,7 +215,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twins = long.groupBy(*DOC).agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     twins = stored(twins.select(*DOC, "first"), "twins").withColumn("twin", F.lit(True))
     texts = long.join(twins, DOC, "left").where(F.col("twin").isNull() | F.col("id").eqNullSafe(F.col("first"))).select(*DOC, "text")
-    found = _repeated_starts(texts, length).groupBy(*DOC).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    found = _repeated_starts(texts, length).groupBy(*DOC).agg(F.flatten(F.collect_list("runs")).alias("runs"))
     state = found.join(twins.select(*DOC, "twin"), DOC, "full_outer").select(*DOC, "runs", F.coalesce("twin", F.lit(False)).alias("twin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
