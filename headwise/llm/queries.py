@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headwise.session import scratch_path
 
-from . import collocations, html_text, language_id, licenses, line_dedup, mixing, near_dups, neighbours, pieces, quality, repeats, token_store
+from . import collocations, html_text, language_id, licenses, line_dedup, mixing, near_dups, neighbours, pieces, quality, repeats, token_store, turn_trie
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,30 @@ def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+TRIE_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(4294967295::BIGINT, list_reduce(list_transform(generate_series(1, length(conv_id::VARCHAR)), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+        lambda c, b: list_reduce([0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT)) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, 0 AS own, o.i, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.i <= c.h
+      UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+l AS (SELECT c.conv_id, coalesce(t, []) AS turns FROM c LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY own, i) AS t FROM r GROUP BY conv_id) USING (conv_id)),
+n AS (SELECT turns[1 : d] AS k, d, count(*) AS n_convs, min(conv_id) AS conv_id FROM (SELECT *, unnest(generate_series(0, len(turns))) AS d FROM l) GROUP BY ALL),
+b AS (SELECT k[1 : d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(k[d].text) ELSE 0 END AS own FROM n LEFT JOIN b USING (k)),
+s AS (SELECT k[1 : a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM m) GROUP BY ALL),
+e AS (SELECT turns AS k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM l GROUP BY turns)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM m JOIN s ON s.k = m.k LEFT JOIN e ON e.k = m.k LEFT JOIN n p ON m.d > 0 AND p.d = m.d - 1 AND p.k = m.k[1 : m.d - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose first turns come from one of a hundred."""
+    turns = turn_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    shared = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return turn_trie.prefix_trie(*turn_trie.with_heads_of(turns, F.col("conv") - F.col("conv") % 100, shared, 5))
