@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwise.session import scratch_path
+from headwise.sources.tables import delete
 
 #: Rows of one long column that may be sent to every executor (8 MB).
 BROADCAST_ROWS = 1_000_000
@@ -27,6 +28,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove tables made by ``stored`` that nothing reads any more, what came of them being written itself."""
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            delete(df.sparkSession, folder)
+
+
 def only_keys(df: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in the stored one-column ``keys``; with "left_anti" the others.
 

@@ -36,15 +36,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import discard, slices, stored
 from .hashing import INVERSE, U, mix, powers, prefix_sums, raw, spans_hash
 
 LENGTH = 400
-#: Window at most 128: a start's number in its block is kept in seven bits.
-WINDOW, GRAM = 96, 12
+#: At most 128: places of starts relative to their anchor are kept in seven bits.
+WINDOW, GRAM = 128, 12
+#: Phrases counted for an anchor; those beyond only save ranks.
+MOST_PARTS = 127
 
-ANCHORS = "hi long, lo long, idx int, place int, s int, e int, parts int, phrase long, core long, block long"
 DOC = ["hi", "lo"]
+#: where: place, places from the first start to the anchor (7 bits), number of starts (8), parts (7).
+ANCHORS = "doc long, hi long, lo long, idx int, where long, phrase long, core int, block long"
+
+
+def _part(shift: int, bits: int) -> Column:
+    return F.shiftright("where", shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+#: Of ``where``: shift and bits.
+AHEAD, STARTS, PARTS = (15, 7), (7, 8), (0, 7)
 
 
 def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
@@ -103,48 +114,57 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, bounds = raw(batch.column("text"))
-            row, *numbers, phrase, core, block = anchors_of(data, bounds, length)
-            keys = [batch.column(c).take(pa.array(row)) for c in DOC]
+            row, idx, place, s, e, parts, phrase, core, block = anchors_of(data, bounds, length)
+            starts = np.maximum(e - s + 1, 0)
+            where = place << 22 | np.where(starts > 0, place - s, 0) << 15 | starts << 7 | np.minimum(parts, MOST_PARTS)
+            keys = [batch.column(c).take(pa.array(row)) for c in ("doc", *DOC)]
+            core = pa.array((core >> U(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*keys, *(pa.array(x.astype(np.int32)) for x in numbers), *(pa.array(x.view(np.int64)) for x in (phrase, core, block))],
-                ["hi", "lo", "idx", "place", "s", "e", "parts", "phrase", "core", "block"],
+                [*keys, pa.array(idx.astype(np.int32)), pa.array(where), pa.array(phrase.view(np.int64)), core, pa.array(block.view(np.int64))],
+                ["doc", "hi", "lo", "idx", "where", "phrase", "core", "block"],
             )
 
-    return texts.select(*DOC, "text").mapInArrow(run, ANCHORS)
+    return texts.select(F.monotonically_increasing_id().alias("doc"), *DOC, "text").mapInArrow(run, ANCHORS)
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key stands more than once, with ``rank``, the place of the key among those in order."""
+def _ranked(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Stored: the rows whose key stands more than once, with ``rank``, the place of the key among those in order."""
     repeated = rows.groupBy(*keys).count().where("count > 1").select(*keys)
     places = stored(repeated.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
-    return rows.join(places, keys).drop(*keys)
+    out = stored(rows.join(places, keys).drop(*keys), label)
+    discard(places)
+    return out
 
 
 def repeated_anchors(anchors: DataFrame) -> DataFrame:
-    """(hi, lo, place, s, e, block, rank): anchors with starts, by equal strings within the reach.
+    """Stored (doc, where, block, rank): anchors with starts, by equal strings within the reach.
 
-    Prefix doubling: ``rank`` orders the strings of ``step`` phrases. Anchors that are alone are left out
-    as soon as that shows.
+    anchors: stored (doc, idx, where, phrase, core, block). Prefix doubling: ``rank`` orders the strings of ``step``
+    phrases. Anchors that are alone are left out as soon as that shows.
     """
-    rows = stored(_ranked(anchors.where("phrase <> 0"), ["phrase"]), "anchors")
-    step, done = 1, []
-    owns = "hi lo place s e core block".split()
+    keep = anchors.select("doc", "idx", "where", "phrase", "core", "block").where("phrase <> 0")
+    rows = _ranked(keep, ["phrase"], "step1")
+    step, done, used = 1, [], []
     while True:
-        far = F.col("parts") >= 2 * step
-        done.append(rows.where(~far & (F.col("s") <= F.col("e"))).select(*owns, F.lit(step).alias("step"), F.col("rank").alias("level")))
+        far = _part(*PARTS) >= 2 * step
+        done.append(rows.where(~far & (_part(*STARTS) > 0)).select("doc", "where", "core", "block", F.lit(step).alias("step"), F.col("rank").alias("level")))
+        used.append(rows)
         going = rows.where(far)
-        if going.isEmpty():
+        if 2 * step > MOST_PARTS or going.isEmpty():
             break
-        ahead = rows.select(*DOC, (F.col("idx") - step).alias("idx"), F.col("rank").alias("after"))
+        ahead = rows.select("doc", (F.col("idx") - step).alias("idx"), F.col("rank").alias("after"))
         # Where the later part is alone, so is the whole. A later anchor sees further than an earlier
         # one, so the one looked up has come as far.
-        pairs = going.withColumnRenamed("rank", "before").join(ahead, [*DOC, "idx"])
-        rows = stored(_ranked(stored(pairs, "pairs"), ["before", "after"]), "anchors")
+        pairs = stored(going.withColumnRenamed("rank", "before").join(ahead, ["doc", "idx"]), "pairs")
+        rows = _ranked(pairs, ["before", "after"], f"step{2 * step}")
+        discard(pairs)
         step *= 2
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return _ranked(stored(out, "levels"), ["step", "level", "core"])
+    out = _ranked(out, ["step", "level", "core"], "repeated")
+    discard(*used)
+    return out
 
 
 def _starts(blocks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -160,41 +180,48 @@ def _starts(blocks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             rows = batch.column("rows")
             owner = np.repeat(np.arange(batch.num_rows), np.diff(rows.offsets))
             flat = rows.flatten()
-            id_, rank, place, s, e = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-            open_ = flat.field(5).to_numpy(zero_copy_only=False)
-            size = e - s + 1
+            id_, rank, where = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            open_ = flat.field(3).to_numpy(zero_copy_only=False)
+            ahead, size = where >> 15 & 127, where >> 7 & 255
             of = np.repeat(np.arange(len(size)), size)
             number = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
             for a in range(0, len(of), 1 << 18):
                 part, n = of[a : a + (1 << 18)], number[a : a + (1 << 18)]
-                begin = s[part] + n + bounds[owner[part]]
-                h = mix(spans_hash(sums, begin, begin + length) + (place[part] - s[part] - n).astype(U))
+                begin = (where[part] >> 22) - ahead[part] + n + bounds[owner[part]]
+                h = mix(spans_hash(sums, begin, begin + length) + (ahead[part] - n).astype(U))
                 ref = pa.array(id_[part] * 128 + n, mask=~open_[part])
                 yield pa.RecordBatch.from_arrays([pa.array(rank[part]), pa.array(h.view(np.int64)), ref], ["rank", "h", "ref"])
 
-    lists = blocks.groupBy(*DOC).agg(F.collect_list(F.struct("id", "rank", "place", "s", "e", "open")).alias("rows"))
+    lists = blocks.groupBy(*DOC).agg(F.collect_list(F.struct("id", "rank", "where", "open")).alias("rows"))
     return texts.select(*DOC, "text").join(lists, DOC).mapInArrow(run, "rank long, h long, ref long")
 
 
 def _repeated_starts(texts: DataFrame, length: int) -> DataFrame:
-    """(hi, lo, runs): runs of starts of repeated long strings, an array of (s, e), several rows a text."""
-    anchors = stored(repeated_anchors(stored(_anchors(texts, length), "anchors")), "repeated")
+    """Stored (hi, lo, runs): runs of starts of repeated long strings, an array of (s, e), a row a text."""
+    anchors = stored(_anchors(texts, length), "anchors")
+    heads = stored(anchors.where("idx = 0").select("doc", *DOC), "heads")
+    repeated = repeated_anchors(anchors)
+    discard(anchors)
     kind = ["rank", "ahead", "block"]
-    anchors = anchors.withColumn("ahead", F.col("place") - F.col("s"))
-    blocks = anchors.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "place", "s", "e")).alias("one"))
-    blocks = stored(blocks, "blocks")
-    whole = anchors.join(blocks.where("n > 1").select(*kind), kind).select(*DOC, F.array(F.struct("s", "e")).alias("runs"))
+    rows = repeated.withColumn("ahead", _part(*AHEAD))
+    blocks = stored(rows.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc", "where")).alias("one")), "blocks")
+    first = F.shiftright("where", 22) - _part(*AHEAD)
+    run = F.struct(first.cast("int").alias("s"), (first + _part(*STARTS) - 1).cast("int").alias("e"))
+    whole = rows.join(blocks.where("n > 1").select(*kind), kind).select("doc", F.array(run).alias("runs"))
     # Blocks of a rank that has other blocks beside them.
     mixed = blocks.groupBy("rank").count().where("count > 1").select("rank")
     rims = blocks.join(mixed, "rank").select(F.monotonically_increasing_id().alias("id"), "rank", "one.*", (F.col("n") == 1).alias("open"))
     rims = stored(rims, "rims")
-    starts = stored(_starts(rims, texts, length), "starts")
+    starts = stored(_starts(rims.join(heads, "doc"), texts, length), "starts")
     again = starts.groupBy("rank", "h").count().where("count > 1").select("rank", "h")
     found = starts.where("ref is not null").join(again, ["rank", "h"])
     found = found.groupBy(F.shiftright("ref", 7).alias("id")).agg(F.collect_list((F.col("ref") % 128).cast("int")).alias("numbers"))
-    single = found.join(rims.select("id", *DOC, F.col("s").alias("first")), "id")
+    single = found.join(rims.select("id", "doc", first.cast("int").alias("first")), "id")
     one = lambda n: F.struct((F.col("first") + n).alias("s"), (F.col("first") + n).alias("e"))
-    return whole.union(single.select(*DOC, F.transform("numbers", one).alias("runs")))
+    every = whole.union(single.select("doc", F.transform("numbers", one).alias("runs")))
+    out = stored(every.groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs")).join(heads, "doc").select(*DOC, "runs"), "runs")
+    discard(repeated, blocks, rims, starts)
+    return out
 
 
 def _hashes(text: Column) -> list[Column]:
@@ -214,8 +241,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = rows.where(F.octet_length("text") >= length)
     twins = long.groupBy(*DOC).agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     twins = stored(twins.select(*DOC, "first"), "twins").withColumn("twin", F.lit(True))
-    texts = long.join(twins, DOC, "left").where(F.col("twin").isNull() | F.col("id").eqNullSafe(F.col("first"))).select(*DOC, "text")
-    found = _repeated_starts(texts, length).groupBy(*DOC).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # Of equal texts one is read; a row that is there several times over is left once.
+    own = long.join(twins.select(*DOC), DOC, "left_anti").select(*DOC, "text")
+    shared = long.join(twins, DOC).where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(DOC).select(*DOC, "text")
+    found = _repeated_starts(own.union(shared), length)
     state = found.join(twins.select(*DOC, "twin"), DOC, "full_outer").select(*DOC, "runs", F.coalesce("twin", F.lit(False)).alias("twin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
