@@ -6,6 +6,12 @@ is cut into time chunks; a chunk is folded to one partial row (one shuffle and
 sort, shared by the window and the aggregation). The few partial rows of a visit
 are then folded in chunk order, comparing the last arrival of a chunk with the
 first of the next. No task ever sees a whole visit's predictions.
+
+Where predictions come in batches of any order, each batch is folded to mergeable
+states (:func:`states`): as a partial row, but with the list of its polls in place
+of a count of changes, since a poll that comes later may fall between two earlier
+ones. Lists of one visit and hour are joined and put in order when they are read
+(:func:`merged`, :func:`visits`); a list holds at most the polls of an hour.
 """
 
 from __future__ import annotations
@@ -56,7 +62,12 @@ def collapse(
         )
     )
 
-    visits = Window.partitionBy(*VISIT_KEY).orderBy("_chunk")
+    return _visits(partial, "_chunk", order[0])
+
+
+def _visits(partial: DataFrame, chunk: str, event_time: str) -> DataFrame:
+    """Observations from one partial row for each visit and chunk."""
+    visits = Window.partitionBy(*VISIT_KEY).orderBy(chunk)
     boundary = F.lag(F.col("last.observed_arrival")).over(visits) != F.col("first.observed_arrival")
     folded = (
         partial.withColumn("_boundary", F.coalesce(boundary.cast("int"), F.lit(0)))
@@ -72,7 +83,6 @@ def collapse(
             F.max("s_source").alias("s_source"),
         )
     )
-    event_time = order[0]
     return folded.select(
         *VISIT_KEY,
         F.col("first.route_id").alias("route_id"),
@@ -94,6 +104,48 @@ def collapse(
     )
 
 
+ORDER = ("observed_at", "fetched_at")
+STATE_KEY = (*VISIT_KEY, "chunk")
+
+
+def states(predictions: DataFrame, chunk_s: int = 3600) -> DataFrame:
+    """One mergeable row for each visit and chunk: ``STATE_KEY``, extremes, latest values, polls in order.
+
+    A poll counts once, however often its rows stand here or in other states.
+    """
+    at = F.struct(*ORDER)
+    chunk = F.floor(F.unix_seconds("observed_at") / chunk_s).alias("chunk")
+    return predictions.groupBy(*VISIT_KEY, chunk).agg(
+        F.min(F.struct(at.alias("at"), "observed_arrival", "route_id", "stop_id", "scheduled_source")).alias("first"),
+        F.max(F.struct(at.alias("at"), "observed_arrival", "schedule_relationship")).alias("last"),
+        F.min("observed_arrival").alias("min_predicted_arrival"),
+        F.max("observed_arrival").alias("max_predicted_arrival"),
+        *[_latest(F.col(c), at).alias(f"s_{c}") for c in STICKY],
+        _latest(F.when(F.col("scheduled_arrival").isNotNull(), F.col("scheduled_source")), at).alias("s_source"),
+        F.array_sort(F.collect_set(F.struct(*ORDER, "poll_id", "observed_arrival"))).alias("seen"),
+    )
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """States of any batches, one row left for each visit and chunk; in any order and any grouping the same."""
+    return rows.groupBy(*STATE_KEY).agg(
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.min("min_predicted_arrival").alias("min_predicted_arrival"),
+        F.max("max_predicted_arrival").alias("max_predicted_arrival"),
+        *[F.max(f"s_{c}").alias(f"s_{c}") for c in (*STICKY, "source")],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"),
+    )
+
+
+def visits(rows: DataFrame) -> DataFrame:
+    """Observations from states of any batches, as :func:`collapse` gives them from all predictions."""
+    n = F.size("seen")
+    steps = F.zip_with(F.slice("seen", 1, n - 1), F.slice("seen", 2, n - 1), lambda a, b: a["observed_arrival"] != b["observed_arrival"])
+    partial = merged(rows).withColumn("moved", F.size(F.filter(steps, lambda x: x)).cast("long")).withColumn("polls", n.cast("long"))
+    return _visits(partial, "chunk", "observed_at")
+
+
 def _latest(value: Column, at: Column) -> Column:
     """Latest non-null value with its position, so that partial results merge."""
     return F.max(F.when(value.isNotNull(), F.struct(at.alias("at"), value.alias("value"))))

@@ -18,15 +18,25 @@ def with_header_defaults(feeds: DataFrame) -> DataFrame:
     )
 
 
-def entity_census(feeds: DataFrame) -> DataFrame:
-    """Per poll: how many entities carry each payload kind, and how many in all."""
+def _census() -> list[Column]:
     kinds = F.flatten(F.transform("entities", lambda e: e["kinds"]))
     names = F.array_sort(F.array_distinct(kinds))
     counts = F.transform(names, lambda n: F.size(F.filter(kinds, lambda x: x == n)).cast("long"))
+    return [F.map_from_arrays(names, counts).alias("entity_counts"), F.size("entities").alias("entity_total")]
+
+
+def entity_census(feeds: DataFrame) -> DataFrame:
+    """Per poll: how many entities carry each payload kind, and how many in all."""
+    return feeds.select("poll_id", *_census())
+
+
+def poll_counters(feeds: DataFrame) -> DataFrame:
+    """Per poll, in one projection of its row: entities, trip updates without a trip, distinct vehicles."""
+    named = F.filter("entities", lambda e: e["trip_update"].isNotNull() & _identified(e["trip_update"]))
+    vehicles = F.filter(F.transform(named, lambda e: e["trip_update"]["vehicle_id"]), lambda v: v.isNotNull())
     return feeds.select(
-        "poll_id",
-        F.map_from_arrays(names, counts).alias("entity_counts"),
-        F.size("entities").alias("entity_total"),
+        "poll_id", "feed", "fetched_at", "header_ts", *_census(), F.size(_nameless()).alias("unidentifiable_trips"),
+        F.size(F.array_distinct(vehicles)).cast("long").alias("vehicles_tracked"),
     )
 
 
@@ -40,8 +50,11 @@ def _identified(update: Column) -> Column:
 
 def unidentified_trips(feeds: DataFrame) -> DataFrame:
     """Per poll: trip updates that name no trip at all."""
-    nameless = F.filter("entities", lambda e: e["trip_update"].isNotNull() & ~_identified(e["trip_update"]))
-    return feeds.select("poll_id", F.size(nameless).alias("unidentifiable_trips"))
+    return feeds.select("poll_id", F.size(_nameless()).alias("unidentifiable_trips"))
+
+
+def _nameless() -> Column:
+    return F.filter("entities", lambda e: e["trip_update"].isNotNull() & ~_identified(e["trip_update"]))
 
 
 def _clean_stops(updates: Column) -> Column:

@@ -23,6 +23,21 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(jpath, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right below a folder; none if it is absent."""
+    fs, jpath = _hadoop_path(spark, path)
+    return [status.getPath().getName() for status in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, the folders above its new name being made; never over another."""
+    fs, old = _hadoop_path(spark, source)
+    _, new = _hadoop_path(spark, target)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise FileExistsError(target)
+
+
 def _partition_dir(path: str, values: Mapping[str, object]) -> str:
     return "/".join([path.rstrip("/"), *(f"{name}={value}" for name, value in values.items())])
 
@@ -74,25 +89,38 @@ def write_period(df: DataFrame, path: str, period: str, periods: Iterable[object
     replace_partitions(df, path, [period], emptied=[{period: p} for p in periods], sort=["stop_id", "route_id"])
 
 
-def swap(df: DataFrame, path: str, name: str) -> str:
-    """Write ``df`` under a new name, then make it the current one.
+def _swaps(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(sequence, folder) of the complete versions of a swapped table, oldest first."""
+    found = [n for n in names(spark, root) if n[:8].isdigit() and exists(spark, f"{root}/{n}/_SUCCESS")]
+    return sorted((int(n[:8]), n) for n in found)
+
 
-    Readers resolve the pointer with :func:`current`, so they see the old table
-    until the new one is complete.
+def swap(df: DataFrame, path: str, name: str, *, sort: Sequence[str] = ("stop_id",), keep: int = 2) -> str:
+    """Write ``df`` as the next version of a table, which makes it the current one.
+
+    Versions are numbered; the one with the highest number that Spark has marked complete is current,
+    so readers see the old table until the new one is whole, and the clock decides nothing. All but the
+    last ``keep`` versions are removed, so a reader of the version before may go on reading. One
+    writer at a time.
     """
-    spark = df.sparkSession
-    target = f"{path.rstrip('/')}/{name}"
-    df.sortWithinPartitions("stop_id").write.mode("overwrite").parquet(target)
-    pointer = spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at"))
-    pointer.coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/_pointer")
+    spark, root = df.sparkSession, path.rstrip("/")
+    taken = [int(n[:8]) for n in names(spark, root) if n[:8].isdigit()]
+    target = f"{root}/{max(taken, default=0) + 1:08d}-{name}"
+    (df.sortWithinPartitions(*sort) if sort else df).write.mode("error").parquet(target)
+    done = _swaps(spark, root)
+    for number, folder in done[: -max(1, keep)]:
+        delete(spark, f"{root}/{folder}")
+    # What a writer that died has left behind, too.
+    for folder in names(spark, root):
+        if folder[:8].isdigit() and int(folder[:8]) < done[-1][0] and int(folder[:8]) not in dict(done):
+            delete(spark, f"{root}/{folder}")
     return target
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table last made current by :func:`swap`."""
     root = path.rstrip("/")
-    name = spark.read.parquet(f"{root}/_pointer").agg(F.max_by("name", "at")).first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/{_swaps(spark, root)[-1][1]}")
 
 
 def write_documents(df: DataFrame, path: str, key: str) -> None:
