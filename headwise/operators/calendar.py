@@ -61,11 +61,6 @@ def service_dates(calendar: DataFrame, calendar_dates: DataFrame) -> DataFrame:
     return pattern.join(removed, key, "left_anti").union(added).distinct()
 
 
-def service_calendar(services: DataFrame) -> DataFrame:
-    """The dates of each service as one array; at most one entry per feed day."""
-    return services.groupBy("feed_version_id", "service_id").agg(F.array_sort(F.collect_set("date")).alias("active_dates"))
-
-
 def trip_lengths(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
     sizes = stop_times.groupBy("feed_version_id", "trip_id").agg(F.count(F.lit(1)).alias("n_stops"))
     return trips.join(sizes, ["feed_version_id", "trip_id"])
@@ -102,16 +97,72 @@ def stop_positions(order: DataFrame) -> DataFrame:
     )
 
 
-def scheduled_events(services: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
-    """Every scheduled stop event: (date, trip_id, stop_sequence).
+# -- running days as bits -----------------------------------------------------------
+#
+# A set of days is kept as 64-bit words: ``word`` numbers 64 days at a time, counted from 1970, and bit
+# i of ``bits`` stands for the day ``64 * word + i``. A year takes six or seven words.
+
+
+def day_word(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / 64).cast("int")
+
+
+def day_bit(day: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.unix_date(day), F.lit(64)).cast("int"))
+
+
+def day_words(rows: DataFrame, by: list[str], day: str) -> DataFrame:
+    """(by, word, bits): the days of each group; a day counts once however often it stands."""
+    return rows.groupBy(*by, day_word(F.col(day)).alias("word")).agg(F.bit_or(day_bit(F.col(day))).alias("bits"))
+
+
+def service_days(services: DataFrame) -> DataFrame:
+    """(feed_version_id, service_id, days): the running days of a service as a map of word to bits."""
+    key = ["feed_version_id", "service_id"]
+    words = day_words(services, key, "date")
+    return words.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("days"))
 
-    This is one row per day and stop; counting does not need it, see
-    :func:`headwise.operators.coverage.day_coverage`.
+
+def runs_on(days: Column, day: Column) -> Column:
+    """Whether ``day`` is among ``days`` (:func:`service_days`); false for no days at all."""
+    held = F.try_element_at(days, day_word(day)).bitwiseAND(day_bit(day))
+    return F.coalesce(held != 0, F.lit(False))
+
+
+def counts_per_day(words: DataFrame, weights: dict[str, Column]) -> DataFrame:
+    """(service_date, one sum for each name): weights of (bits, weight) summed by day, zero days left out.
+
+    weights: name -> (column of bits, weight of a row). The sums are taken over the 64 bit columns of a
+    word, so rows are never multiplied by days.
     """
+    bit = lambda bits, i: F.shiftrightunsigned(bits, i).bitwiseAND(F.lit(1).cast("bigint"))
+    sums = {name: F.array(*[F.sum(bit(bits, i) * weight) for i in range(64)]) for name, (bits, weight) in weights.items()}
+    per_word = words.groupBy("word").agg(*[c.alias(name) for name, c in sums.items()])
+    # One row for each word: 64 rows each from here on.
+    per_day = per_word.select("word", F.posexplode(F.arrays_zip(*sums)).alias("i", "n"))
+    day = F.date_from_unix_date((F.col("word") * 64 + F.col("i")).cast("int"))
+    out = per_day.select(day.alias("service_date"), *[F.col(f"n.{name}").alias(name) for name in sums])
+    return out.filter(" or ".join(f"{name} > 0" for name in sums))
+
+
+def event_words(services: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Scheduled stop events, one row for each event and word of running days:
+    (feed_version_id, trip_id, stop_sequence, word, bits)."""
+    version = "feed_version_id"
+    days = day_words(services, [version, "service_id"], "date")
+    return (
+        stop_times.select(version, "trip_id", "stop_sequence")
+        .join(trips.select(version, "trip_id", "service_id").join(days, [version, "service_id"]), [version, "trip_id"])
+        .select(version, "trip_id", "stop_sequence", "word", "bits")
+    )
+
+
+def scheduled_events(services: DataFrame, trips: DataFrame, stop_times: DataFrame, day: Column) -> DataFrame:
+    """The scheduled stop events of one day: (service_date, trip_id, stop_sequence)."""
+    on_day = services.filter(F.col("date") == day)
     version = "feed_version_id"
     return (
-        services.join(trips.select(version, "trip_id", "service_id"), [version, "service_id"])
+        on_day.join(trips.select(version, "trip_id", "service_id"), [version, "service_id"])
         .join(stop_times.select(version, "trip_id", "stop_sequence"), [version, "trip_id"])
         .select(F.col("date").alias("service_date"), "trip_id", "stop_sequence")
     )
-

@@ -11,12 +11,6 @@ from . import calendar
 VERSION = "feed_version_id"
 
 
-def observed_events(observations: DataFrame) -> DataFrame:
-    """Distinct (service_date, trip_id, stop_sequence); a trip and its modified
-    twin count once."""
-    return observations.select("service_date", "trip_id", "stop_sequence").distinct()
-
-
 def bind_days(days: DataFrame, versions: DataFrame, policy: str = "latest") -> DataFrame:
     """(service_date, feed_version_id): the newest version, or the one in effect."""
     if policy == "in_effect":
@@ -27,11 +21,38 @@ def bind_days(days: DataFrame, versions: DataFrame, policy: str = "latest") -> D
     return days.select("service_date", latest.alias(VERSION)).filter(F.col(VERSION).isNotNull())
 
 
-def match_events(scheduled: DataFrame, observed: DataFrame) -> DataFrame:
-    """Every scheduled event with a flag telling whether it was observed."""
-    keys = ["service_date", "trip_id", "stop_sequence"]
-    seen = observed.select(*keys).distinct().withColumn("observed", F.lit(True))
-    return scheduled.join(seen, keys, "left").fillna(False, ["observed"])
+def match_words(scheduled: DataFrame, observed: DataFrame) -> DataFrame:
+    """Every scheduled event and word with ``seen``, the days among ``bits`` on which it was observed.
+
+    scheduled: :func:`headwise.operators.calendar.event_words`; observed: :func:`observed_words`. One row for an event and 64 days.
+    """
+    keys = [*([VERSION] if VERSION in observed.columns else []), "trip_id", "stop_sequence", "word"]
+    joined = scheduled.join(observed.withColumnRenamed("bits", "_seen"), keys, "left")
+    return joined.withColumn("seen", F.coalesce(F.col("bits").bitwiseAND(F.col("_seen")), F.lit(0))).drop("_seen")
+
+
+def observed_words(observations: DataFrame, version: Column | None = None) -> DataFrame:
+    """Days on which each stop event was observed; a trip and its modified twin count once.
+
+    One exchange, on the event: neither the day nor the service deals the rows out.
+    """
+    keys = ["trip_id", "stop_sequence"]
+    if version is not None:
+        observations, keys = observations.withColumn(VERSION, version), [VERSION, *keys]
+    return calendar.day_words(observations, keys, "service_date")
+
+
+def _version_on(bound: DataFrame) -> Column:
+    """The version of a row's ``service_date`` from (service_date, feed_version_id), a row for each day.
+
+    The days go along as one array by number, so rows need no join to learn theirs.
+    """
+    by_day = F.map_from_entries(F.collect_list(F.struct("service_date", VERSION)))
+    first, last = F.min("service_date"), F.max("service_date")
+    one = bound.agg(first.alias("first"), F.transform(F.sequence(first, last), lambda d: F.try_element_at(by_day, d)).alias("versions")).select(
+        F.struct("first", "versions").alias("days")
+    ).scalar()
+    return F.get(one["versions"], F.date_diff("service_date", one["first"]))
 
 
 def day_coverage(
@@ -46,41 +67,46 @@ def day_coverage(
 ) -> DataFrame:
     """Coverage of every completed day that has observations.
 
-    Scheduled events are counted per service and summed over the services of a
-    day, so the timetable is never multiplied by the number of days; observed
-    events are those whose (trip, sequence) exists and whose service runs.
+    Days are bits. Observations are gathered to words of days by event, once, and keep the days on
+    which their trip's service runs; scheduled events are counted per service. Both are summed over
+    bit columns, so the timetable is never multiplied by days.
     """
     finished = observations.filter(F.col("service_date") < as_of)
-    observed = observed_events(finished)
     days = bind_days(finished.select("service_date").distinct(), versions, policy)
-    running = days.join(services.withColumnRenamed("date", "service_date"), [VERSION, "service_date"])
+    # The observed days that each version applies to.
+    applies = calendar.day_words(days, [VERSION], "service_date").withColumnRenamed("bits", "_applies")
+    running = calendar.day_words(services, [VERSION, "service_id"], "date").join(applies, [VERSION, "word"])
+    running = running.select(VERSION, "service_id", "word", F.col("bits").bitwiseAND(F.col("_applies")).alias("bits"))
 
     sized = calendar.trip_lengths(trips.select(VERSION, "trip_id", "service_id"), stop_times)
     per_service = sized.groupBy(VERSION, "service_id").agg(F.sum("n_stops").alias("events"))
-    scheduled = (
-        running.join(per_service, [VERSION, "service_id"])
-        .groupBy("service_date")
-        .agg(F.sum("events").alias("scheduled_stop_events"))
+    scheduled = calendar.counts_per_day(
+        running.join(per_service, [VERSION, "service_id"]), {"scheduled_stop_events": (F.col("bits"), F.col("events"))}
     )
 
-    timetable = stop_times.select(VERSION, "trip_id", "stop_sequence")
+    of_trips = trips.select(VERSION, "trip_id", "service_id").join(running, [VERSION, "service_id"]).drop("service_id")
     hits = (
-        observed.join(days, "service_date")
-        .join(trips.select(VERSION, "trip_id", "service_id"), [VERSION, "trip_id"])
-        .join(running, ["service_date", VERSION, "service_id"], "left_semi")
-        .join(timetable, [VERSION, "trip_id", "stop_sequence"], "left_semi")
-        .groupBy("service_date")
-        .agg(F.count(F.lit(1)).alias("observed_stop_events"))
+        observed_words(finished, _version_on(days))
+        .join(stop_times.select(VERSION, "trip_id", "stop_sequence"), [VERSION, "trip_id", "stop_sequence"], "left_semi")
+        .withColumnRenamed("bits", "_seen")
+        .join(of_trips, [VERSION, "trip_id", "word"])
     )
+    both = F.col("bits").bitwiseAND(F.col("_seen"))
+    observed = calendar.counts_per_day(hits, {"observed_stop_events": (both, F.lit(1))})
     counted = (
         days.select("service_date")
         .join(scheduled, "service_date", "left")
-        .join(hits, "service_date", "left")
+        .join(observed, "service_date", "left")
         .fillna(0, ["scheduled_stop_events", "observed_stop_events"])
     )
     return annotate(counted.withColumn("coverage_pct", coverage_pct()), gaps)
 
 
+def write_coverage(coverage: DataFrame, path: str) -> None:
+    """The coverage table, a partition for each day; days that are no longer covered go."""
+    coverage.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("service_date").parquet(path)
+
+
 def coverage_pct() -> Column:
     """One decimal, half away from zero, by exact decimal arithmetic; 0 if nothing was scheduled."""
     s, o = F.col("scheduled_stop_events"), F.col("observed_stop_events")

@@ -2,9 +2,10 @@
 
 The timetable is joined once per trip update, not once per stop: a trip's
 schedule travels as a small map (bounded by the stops of one trip), and its
-service's dates as a small array (bounded by the days of one feed). Anchoring is
-then row-local, so no stop-level join and no join-back are needed; stop rows are
-exploded only at the end.
+service's days as bits (a word for each 64 days of one feed). Anchoring is then
+row-local, so no stop-level join and no join-back are needed; stop rows are
+exploded only at the end. Which stop decides is found by bits alone; the clock is
+asked once for each trip update.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as k
 from ..functions import predicates, times
 from ..schemas import VISIT_KEY
+from ..sources import tables
 from . import calendar, flatten
 
 
@@ -28,26 +30,36 @@ class Timetable:
     trips: DataFrame
     stop_times: DataFrame
     services: DataFrame  # service_dates: feed_version_id, service_id, date
+    schedules: DataFrame | None = None  # trip_schedules as stored when a version was loaded
 
 
 def trip_schedules(timetable: Timetable) -> DataFrame:
-    """Trips that have stop times: a map of sequence to seconds, and their running dates.
+    """Trips that have stop times: a map of sequence to seconds, and their running days.
 
-    Dates are attached here, on the timetable's side, so that trip updates are
+    Days are attached here, on the timetable's side, so that trip updates are
     joined and shuffled once and never by service, of which a few carry most trips.
+    Made once for each version where it is stored (:func:`store_schedules`).
     """
+    if timetable.schedules is not None:
+        return timetable.schedules
     per_trip = timetable.stop_times.groupBy("feed_version_id", "trip_id").agg(
         F.map_from_entries(F.collect_list(F.struct("stop_sequence", "arrival_s"))).alias("schedule")
     )
-    never = F.array().cast("array<date>")
+    never = F.create_map().cast("map<int,bigint>")
     return (
         timetable.trips.select("feed_version_id", "trip_id", "service_id")
-        .join(calendar.service_calendar(timetable.services), ["feed_version_id", "service_id"], "left")
+        .join(calendar.service_days(timetable.services), ["feed_version_id", "service_id"], "left")
         .join(per_trip, ["feed_version_id", "trip_id"])
-        .select("feed_version_id", "trip_id", "schedule", F.coalesce("active_dates", never).alias("active_dates"))
+        .select("feed_version_id", "trip_id", "schedule", F.coalesce("days", never).alias("days"))
     )
 
 
+def store_schedules(timetable: Timetable, version: int, path: str) -> None:
+    """Write the schedules of one version, in place of what was stored for it."""
+    one = Timetable(*[df.filter(F.col("feed_version_id") == version) for df in (timetable.versions, timetable.trips, timetable.stop_times, timetable.services)])
+    tables.replace_partitions(trip_schedules(one), path, ["feed_version_id"], emptied=[{"feed_version_id": version}], sort=["trip_id"])
+
+
 def with_version(trips: DataFrame, versions: DataFrame, tz: str) -> DataFrame:
     """Bind each trip update to the version in effect on its poll's local date."""
     dated = trips.withColumn("poll_date", times.local_date(F.col("header_ts"), tz))
@@ -55,19 +67,22 @@ def with_version(trips: DataFrame, versions: DataFrame, tz: str) -> DataFrame:
 
 
 def with_schedule(trips: DataFrame, timetable: Timetable) -> DataFrame:
-    """Attach ``schedule`` and ``active_dates``; both null for an unknown trip."""
+    """Attach ``schedule`` and ``days``; both null for an unknown trip."""
     return trips.join(trip_schedules(timetable), ["feed_version_id", "trip_id"], "left")
 
 
-def resolve_service_date(arrival_s: Column, seconds: Column, active_dates: Column, tz: str) -> Column:
+def _candidates(arrival_s: Column, tz: str) -> Column:
+    centre = times.local_date(F.timestamp_seconds(arrival_s), tz)
+    return F.array(*[times.add_days(centre, d) for d in (-1, 0, 1)])
+
+
+def resolve_service_date(arrival_s: Column, seconds: Column, days: Column, tz: str) -> Column:
     """The running date whose scheduled instant is nearest the observed one.
 
     Candidates are the local date and its neighbours; the earliest wins a tie.
     Null when the trip runs on none of them.
     """
-    centre = times.local_date(F.timestamp_seconds(arrival_s), tz)
-    candidates = F.array(*[times.add_days(centre, d) for d in (-1, 0, 1)])
-    running = F.filter(candidates, lambda d: F.array_contains(active_dates, d))
+    running = F.filter(_candidates(arrival_s, tz), lambda d: calendar.runs_on(days, d))
     ranked = F.transform(
         running,
         lambda d: F.struct(F.abs(times.scheduled_s(d, seconds, tz) - arrival_s).alias("gap"), d.alias("date")),
@@ -79,24 +94,24 @@ def anchored(trips: DataFrame, tz: str) -> DataFrame:
     """Fix one service date for all stops of each trip update.
 
     The first stop, in feed order, with an arrival, a timetable entry and a
-    resolvable date decides. Without one the poll's local date is used and the
+    date on which the trip runs decides. Without one the poll's local date is used and the
     timetable withheld. A stop flagged NO_DATA may decide if it has an arrival.
     """
-    usable = F.filter(
-        "stops", lambda s: s["arrival_s"].isNotNull() & F.col("schedule")[s["stop_sequence"]].isNotNull()
-    )
-    dates = F.transform(
-        usable,
-        lambda s: resolve_service_date(
-            s["arrival_s"], F.col("schedule")[s["stop_sequence"]], F.col("active_dates"), tz
-        ),
+    days = F.col("days")
+    deciding = F.filter(
+        "stops",
+        lambda s: s["arrival_s"].isNotNull()
+        & F.col("schedule")[s["stop_sequence"]].isNotNull()
+        & F.exists(_candidates(s["arrival_s"], tz), lambda d: calendar.runs_on(days, d)),
     )
-    anchor = F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+    arrival = F.col("_stop")["arrival_s"]
+    seconds = F.col("schedule")[F.col("_stop")["stop_sequence"]]
     return (
-        trips.withColumn("anchor_date", F.when(F.col("schedule").isNotNull(), anchor))
+        trips.withColumn("_stop", F.get(deciding, F.lit(0)))
+        .withColumn("anchor_date", F.when(F.col("_stop").isNotNull(), resolve_service_date(arrival, seconds, days, tz)))
         .withColumn("anchored", F.col("anchor_date").isNotNull())
         .withColumn("service_date", F.coalesce("anchor_date", "poll_date"))
-        .drop("anchor_date")
+        .drop("anchor_date", "_stop")
     )
 
 

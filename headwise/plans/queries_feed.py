@@ -220,7 +220,7 @@ def _(spark, sf):
         "poll_id",
         "entity_pos",
         "stop_pos",
-        match.resolve_service_date(F.col("arrival_s"), seconds, F.col("active_dates"), v.TZ).alias("resolved"),
+        match.resolve_service_date(F.col("arrival_s"), seconds, F.col("days"), v.TZ).alias("resolved"),
     )
 
 

@@ -94,7 +94,11 @@ ALWAYS = [f"2026-09-{d:02d}" for d in range(10, 21)]
     ],
 )
 def test_resolve_service_date(spark, observed, seconds, runs, expected):
-    active = F.array(*[day(d) for d in runs]).cast("array<date>")
+    words = {}
+    for d in runs:
+        n = (date.fromisoformat(d) - date(1970, 1, 1)).days
+        words[n // 64] = words.get(n // 64, 0) | 1 << n % 64
+    active = F.create_map(*[F.lit(x) for word in words.items() for x in word]).cast("map<int,bigint>")
     at = F.lit(local_s(spark, observed))
     assert value(spark, resolve_service_date(at, F.lit(seconds), active, TZ)) == expected
 
