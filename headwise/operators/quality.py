@@ -107,24 +107,97 @@ def verify_counts(pairs: Mapping[str, tuple[DataFrame, DataFrame]]) -> DataFrame
     return out.withColumn("match", F.col("source_rows") == F.col("copy_rows"))
 
 
-def content_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Digest of the columns of all rows as text, in any order; 'empty' without rows.
+def row_text(columns: Sequence[str | Column]) -> Column:
+    """The columns as one text from which they can be told apart: null is not empty, and no value runs into the next."""
+    parts = []
+    for c in columns:
+        text = (F.col(c) if isinstance(c, str) else c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat(*parts)
 
-    The sum of the first 60 bits of each row's md5, so map tasks add up their own rows.
-    """
-    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+
+def _row_sums(columns: Sequence[str | Column]) -> list[Column]:
+    """Two sums of 60 bits of each row's digest: they add up in any order, over any grouping."""
+    digest = F.md5(row_text(columns))
+    return [F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(28,0)")), F.lit(0).cast("decimal(38,0)")) for at in (1, 16)]
+
+
+def content_checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Digest of the columns of all rows, in any order; 'empty' without rows."""
+    high, low = _row_sums(columns)
+    n = F.count(F.lit(1))
     return df.agg(
-        F.coalesce(F.sum(bits).cast("string"), F.lit("empty")).alias("checksum"),
-        F.count(F.lit(1)).alias("rows_checked"),
+        F.when(n > 0, F.concat_ws("-", high.cast("string"), low.cast("string"))).otherwise(F.lit("empty")).alias("checksum"),
+        n.alias("rows_checked"),
     )
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free digest of all rows: count, xor and sum of row hashes."""
-    h = F.xxhash64(*columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_hash"),
-        F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("sum_hash"),
-    )
+    """Order-free digest of all rows: count and two sums of row digests."""
+    high, low = _row_sums(columns)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), high.cast("string").alias("high_sum"), low.cast("string").alias("low_sum"))
+
+
+# -- digest tree --------------------------------------------------------------
+
+#: Leaves of a digest tree, and children of each node above.
+LEAVES, FANOUT = 1 << 14, 1 << 7
+
+
+def key_bucket(key: Sequence[str], buckets: int = LEAVES) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def digest_leaves(df: DataFrame, key: Sequence[str], columns: Sequence[str | Column]) -> DataFrame:
+    """(bucket, n, high, low): the order-free digest of the rows of each bucket of keys."""
+    high, low = _row_sums(columns)
+    return df.groupBy(key_bucket(key).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), high.alias("high"), low.alias("low"))
+
+
+def differing_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Buckets whose leaves differ, found from the root down; a and b: stored :func:`digest_leaves`.
+
+    Sums of leaves are the digests of the nodes above, so the tree needs no storing. Only children of
+    nodes that differ are compared: equal tables end at the root.
+    """
+    def level(leaves: DataFrame, width: int) -> DataFrame:
+        node = F.floor(F.col("bucket") / width).cast("int").alias("node")
+        return leaves.groupBy(node).agg(*[F.sum(c).alias(c) for c in ("n", "high", "low")])
+
+    def unlike(width: int, of: DataFrame | None) -> DataFrame:
+        sides = [level(s if of is None else s.join(of, F.floor(F.col("bucket") / (width * FANOUT)).cast("int") == F.col("above"), "left_semi"), width) for s in (a, b)]
+        same = sides[0].select("*").intersect(sides[1])
+        return sides[0].union(sides[1]).select("node").distinct().join(same.select("node"), "node", "left_anti")
+
+    width, above = LEAVES, None
+    while True:
+        found = unlike(width, above)
+        if width == 1 or found.isEmpty():
+            return found.select(F.col("node").alias("bucket"))
+        above, width = found.select(F.col("node").alias("above")), max(1, width // FANOUT)
+
+
+def tree_diff(
+    a: DataFrame, b: DataFrame, leaves: tuple[DataFrame, DataFrame], key: Sequence[str] = VISIT_KEY, tolerance_s: int = k.DIFF_TOLERANCE_S
+) -> DataFrame:
+    """:func:`table_diff` of the rows in buckets that differ; all other rows match.
+
+    leaves: stored :func:`digest_leaves` of both tables over ``key`` and ``COMPARED``. The buckets are at most
+    ``LEAVES`` numbers, so they go to every task and rows of equal buckets are left out where they are
+    read: equal tables never reach the join.
+    """
+    found = F.broadcast(differing_buckets(*leaves))
+    sides = [df.join(found, key_bucket(key) == F.col("bucket"), "left_semi") for df in (a, b)]
+    return table_diff(*sides, key=key, tolerance_s=tolerance_s)
+
+
+def tree_summary(diff: DataFrame, leaves: DataFrame) -> DataFrame:
+    """:func:`diff_summary` of whole tables from a :func:`tree_diff` and the digests of the first."""
+    compared = diff_summary(diff)
+    # Rows of ``a`` that the comparison did not reach are equal.
+    reached = diff.agg(F.count_if(F.col("a").isNotNull()).alias("n")).scalar()
+    unread = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar() - reached
+    names = ("mismatched", "only_a", "only_b")
+    whole = compared.select((F.col("matching") + unread).alias("matching"), "within_tolerance", *names)
+    total = F.col("matching") + F.col("mismatched") + F.col("only_a") + F.col("only_b")
+    return whole.withColumn("agreement_pct", F.when(total > 0, F.round(F.col("matching") / total * 100, 4)).otherwise(F.lit(0.0)))

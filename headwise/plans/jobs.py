@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -61,11 +62,16 @@ class Tables:
         return calendar.service_dates(self.static("calendar", latest), self.static("calendar_dates", latest))
 
     def timetable(self) -> match.Timetable:
+        stored = self.path("trip_schedules")
         return match.Timetable(
-            self.versions(), self.static("trips", False), self.static("stop_times", False), self.services()
+            self.versions(), self.static("trips", False), self.static("stop_times", False), self.services(),
+            self.read("trip_schedules") if tables.exists(self.spark, stored) else None,
         )
 
     def gaps(self) -> DataFrame:
+        """Known gaps as last merged by ``seed-gaps``, else as the operator's table has them."""
+        if tables.exists(self.spark, self.path("known_gaps_versions")):
+            return tables.current(self.spark, self.path("known_gaps_versions"))
         return self.read("known_gaps", schemas.KNOWN_GAPS)
 
 
@@ -80,14 +86,19 @@ def rebuild_coverage(store: Tables, today: date) -> DataFrame:
         store.gaps(),
         F.lit(today),
     )
-    result.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-        store.path("day_coverage")
-    )  # one row per day
+    coverage.write_coverage(result, store.path("day_coverage"))
     return store.read("day_coverage")
 
 
+def publish(store: Tables, dates: list[date]) -> None:
+    """Bring the observations of some days up to what the stream has folded; nothing to do without a stream."""
+    if tables.exists(store.spark, polls.Store(store.root).states.path):
+        polls.publish(store.spark, polls.Store(store.root), dates)
+
+
 def rollup_job(store: Tables, dates: list[date], month: str | None, today: date) -> int:
     """Rebuild daily buckets, coverage and, if asked, a month. Returns an exit code."""
+    publish(store, dates)
     observations = store.read("observations")
     tables.write_period(
         rollup.rollup_daily(observations, dates), store.path("rollup_daily"), "service_date", [str(d) for d in dates]
@@ -107,8 +118,7 @@ def export_job(store: Tables, out: str, today: date, window: int | None) -> None
     """Rebuild the serving tier and coverage, then write all documents."""
     daily = store.read("rollup_daily")
     covered = rebuild_coverage(store, today)
-    label = f"v{datetime.now(UTC):%Y%m%d%H%M%S%f}"
-    tables.swap(rollup.serving_stats(daily, covered, F.lit(today), window), store.path("serving"), label)
+    tables.swap(rollup.serving_stats(daily, covered, F.lit(today), window), store.path("serving"), "cells")
     cells = tables.current(store.spark, store.path("serving"))
 
     stops, routes = store.static("stops"), store.static("routes")
@@ -164,9 +174,10 @@ def evict_job(store: Tables, today: date, keep_days: int) -> list[str]:
         observations, store.read("rollup_daily"), F.lit(today), keep_days, store.read("rollup_monthly", "month date")
     )
     weeks = [r.week_start for r in plan.filter("droppable").select("week_start").orderBy("week_start").collect()]
-    for week in weeks:
-        for n in range(7):
-            tables.delete(store.spark, f"{store.path('observations')}/service_date={week + timedelta(days=n)}")
+    days = [week + timedelta(days=n) for week in weeks for n in range(7)]
+    polls.Store(store.root).states.forget(store.spark, days)
+    for day in days:
+        tables.delete(store.spark, f"{store.path('observations')}/service_date={day}")
     return [str(week) for week in weeks]
 
 
@@ -174,10 +185,7 @@ def seed_gaps_job(store: Tables, path: str) -> None:
     """Add the known gaps of a CSV file (service_date, known_gap_reason) to those that are set."""
     seed = store.spark.read.schema(schemas.KNOWN_GAPS).option("header", "true").csv(path)
     merged = coverage.merge_gaps(store.gaps(), seed)
-    tables.swap(merged.withColumn("stop_id", F.lit("")), store.path("known_gaps_versions"), f"v{datetime.now(UTC):%Y%m%d%H%M%S%f}")
-    # The merged rows are complete under another name before the table is replaced.
-    whole = tables.current(store.spark, store.path("known_gaps_versions")).drop("stop_id")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(store.path("known_gaps"))
+    tables.swap(merged, store.path("known_gaps_versions"), "gaps", sort=["service_date"])
 
 
 def ingest_job(store: Tables, archive: str, tz: str, interval: str | None) -> None:
@@ -185,9 +193,19 @@ def ingest_job(store: Tables, archive: str, tz: str, interval: str | None) -> No
     polls.ingest(store.spark, archive, polls.Store(store.root), store.timetable, tz, interval=interval).awaitTermination()
 
 
-def live_status_job(store: Tables) -> DataFrame:
-    """The last poll and the running total, from what the stream has stored."""
-    return polls.live_status(store.read("metrics"), store.read("sightings", "poll_id string, rows_changed bigint"))
+def live_status_job(store: Tables, interval: str | None) -> DataFrame:
+    """The last poll and the running total, once, or renewed for ever every ``interval``.
+
+    The total starts from the observations rolled up before the stream began.
+    """
+    spark, kept = store.spark, polls.Store(store.root)
+    seed = 0
+    if tables.exists(spark, store.path("rollup_daily")) and not tables.exists(spark, kept.path("_status_checkpoint")):
+        first = polls.observations(spark, kept).agg(F.min("service_date")).first()[0]
+        daily = store.read("rollup_daily").filter(F.col("service_date") < F.lit(first)) if first else store.read("rollup_daily")
+        seed = daily.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    polls.follow_status(spark, kept, int(seed), interval=interval).awaitTermination()
+    return polls.current_status(spark, kept)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -221,6 +239,8 @@ def main(argv: list[str] | None = None) -> int:
 
     if args.job == "load-static":
         result = gtfs.load_static(spark, args.gtfs, store.path("static"), force=args.force, strict=args.strict)
+        if not result.skipped or not tables.exists(spark, f"{store.path('trip_schedules')}/feed_version_id={result.feed_version_id}"):
+            match.store_schedules(replace(store.timetable(), schedules=None), result.feed_version_id, store.path("trip_schedules"))
         print(f"version {result.feed_version} is {result.feed_version_id}{' (already loaded)' if result.skipped else ''}")
     elif args.job == "rollup":
         days = [args.date] if args.date else [today - timedelta(days=i) for i in range(1, max(1, args.backfill) + 1)]
@@ -243,7 +263,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "ingest":
         ingest_job(store, args.archive, args.tz, args.interval)
     elif args.job == "live-status":
-        live_status_job(store).show(truncate=False)
+        live_status_job(store, args.interval).show(truncate=False)
     return 0
 
 

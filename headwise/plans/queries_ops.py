@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import collapse, health, lifecycle, quality
+from ..session import scratch_path
 from ..sources import archive, tables
 from . import standins as v
 from .catalog import query
@@ -25,6 +26,36 @@ def _(spark, sf):
     return _diff(spark, sf).select("trip_id", "stop_sequence", "status", "diffs")
 
 
+def _leaves(sides):
+    columns = [*quality.VISIT_KEY, *quality.COMPARED]
+    return tuple(v.stored(quality.digest_leaves(df, quality.VISIT_KEY, columns), "leaves") for df in sides)
+
+
+@query(
+    "j14_tree_diff",
+    with_("diff") + "SELECT CAST(k AS VARCHAR) AS trip_id, CAST(seq AS INT) AS stop_sequence, status, diffs FROM diff WHERE status <> 'match'",
+)
+def _(spark, sf):
+    """Differences found by a digest tree: only buckets of keys that differ are joined."""
+    sides = v.diff_sides(spark, sf)
+    found = quality.tree_diff(*sides, _leaves(sides))
+    return found.filter("status <> 'match'").select("trip_id", "stop_sequence", "status", "diffs")
+
+
+@query(
+    "a20_tree_summary",
+    with_("diff")
+    + """SELECT count(*) FILTER (WHERE status IN ('match', 'within_tolerance')) AS matching,
+      count(*) FILTER (WHERE status = 'within_tolerance') AS within_tolerance, count(*) FILTER (WHERE status = 'mismatch') AS mismatched,
+      count(*) FILTER (WHERE status = 'only_a') AS only_a, count(*) FILTER (WHERE status = 'only_b') AS only_b,
+      round(count(*) FILTER (WHERE status IN ('match', 'within_tolerance')) * 100 / count(*)::DOUBLE, 4) AS agreement_pct FROM diff""",
+)
+def _(spark, sf):
+    sides = v.diff_sides(spark, sf)
+    leaves = _leaves(sides)
+    return quality.tree_summary(quality.tree_diff(*sides, leaves), leaves[0])
+
+
 @query(
     "a20_diff_summary",
     with_("diff")
@@ -58,15 +89,16 @@ def _(spark, sf):
 
 @query(
     "a21_content_checksum",
-    """SELECT CAST(sum(CAST('0x' || md5(c)[1:15] AS BIGINT)) AS VARCHAR) AS checksum, count(*) AS rows_checked FROM (
-      SELECT l_orderkey || ',' || l_linenumber || ',' || min(l_suppkey) || ',' || count(*) AS c
-      FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
+    """SELECT sum(CAST('0x' || md5(c)[1:15] AS BIGINT)) || '-' || sum(CAST('0x' || md5(c)[16:30] AS BIGINT)) AS checksum, count(*) AS rows_checked FROM (
+      SELECT length(a) || ':' || a || length(b) || ':' || b || coalesce(length(c) || ':' || c, '-') || length(d) || ':' || d AS c FROM (
+      SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, max(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) AS c, count(*)::VARCHAR AS d
+      FROM lineitem GROUP BY l_orderkey, l_linenumber))""",
 )
 def _(spark, sf):
     rows = v.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_suppkey").alias("supplier"), F.count(F.lit(1)).alias("rows")
+        F.max(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("flag"), F.count(F.lit(1)).alias("rows")
     )
-    return quality.content_checksum(rows, ["l_orderkey", "l_linenumber", "supplier", "rows"])
+    return quality.content_checksum(rows, ["l_orderkey", "l_linenumber", "flag", "rows"])
 
 
 @query(
@@ -80,26 +112,32 @@ def _(spark, sf):
     b = quality.table_fingerprint(items.repartition(7, "l_partkey"), items.columns)
     return a.unionAll(b).agg(
         F.max("n_rows").alias("n_rows"),
-        ((F.min("xor_hash") == F.max("xor_hash")) & (F.min("sum_hash") == F.max("sum_hash"))).alias("same"),
+        ((F.min("high_sum") == F.max("high_sum")) & (F.min("low_sum") == F.max("low_sum"))).alias("same"),
     )
 
 
 @query(
     "a25_verify_archive",
-    """SELECT event_type AS feed, count(*) AS local_records, count(*) AS copy_records,
-      CAST(sum(length(props)) AS BIGINT) AS payload_bytes_verified,
-      2 * count(*) FILTER (WHERE value > 200) AS differing, count(*) FILTER (WHERE value > 200) = 0 AS verified
-    FROM events GROUP BY 1""",
+    """SELECT event_type AS feed, count(*) FILTER (WHERE value <= 390) AS local_records, count(*) FILTER (WHERE value > 5) AS copy_records,
+      CAST(sum(length(props)) FILTER (WHERE value <= 390) AS BIGINT) AS payload_bytes_verified,
+      2 * count(*) FILTER (WHERE value > 200 AND value <= 390) + count(*) FILTER (WHERE value <= 5 OR value > 390) AS differing,
+      count(*) FILTER (WHERE value > 200 OR value <= 5) = 0 AS verified FROM events GROUP BY 1""",
 )
 def _(spark, sf):
-    """A copy in which some records were altered."""
-    events = v.table(spark, sf, "events").withColumn("fetched_at", F.col("ts").cast("timestamp"))
-
-    def side(text):
-        return events.select(F.col("event_type").alias("feed"), "fetched_at", text.cast("binary").alias("payload"))
+    """Two archives written as gzip shards and read back: some records were altered, some miss on either side."""
+    events = v.table(spark, sf, "events")
+
+    def written(text, kept):
+        rows = events.filter(kept).select(
+            F.col("event_type").alias("feed"), F.col("ts").cast("timestamp").alias("fetched_at"), F.lit(200).alias("http_status"),
+            F.lit(None).cast("timestamp").alias("feed_timestamp"), F.lit(1).alias("attempts"), text.cast("binary").alias("payload"),
+        )
+        root = scratch_path(spark, "archive")
+        archive.write_archive(rows, root)
+        return archive.read_archive(spark, root)
 
     altered = F.when(F.col("value") > 200, F.concat(F.col("props"), F.lit("x"))).otherwise(F.col("props"))
-    return archive.verify_archive(side(F.col("props")), side(altered))
+    return archive.verify_archive(written(F.col("props"), "value <= 390"), written(altered, "value > 5"))
 
 
 _UPLOAD = "status <> 'ok' AS upload, status = 'ok' AS confirmed"
@@ -201,6 +239,33 @@ def _(spark, sf):
     return archive.shard_manifest(_shard_paths(spark, sf)).select("path", "partial", "key", "recognised")
 
 
+@query(
+    "s14_shard_files",
+    """WITH s AS (SELECT event_type AS feed, strftime(ts, '%Y-%m-%d') AS d, CAST(day(ts) AS INT) AS n, max(value > 399) AS changed FROM events GROUP BY 1, 2, 3),
+    p AS (SELECT feed, d, changed, CASE n % 5 WHEN 0 THEN '.ndjson.gz.partial' WHEN 1 THEN 'x.ndjson.gz' ELSE '.ndjson.gz' END AS ending FROM s)
+    SELECT feed || '/' || d || '/' || d || 'T00' || ending AS path, ending = '.ndjson.gz.partial' AS partial,
+      CASE ending WHEN '.ndjson.gz' THEN feed || '/' || replace(d, '-', '/') || '/00.ndjson.gz' WHEN '.ndjson.gz.partial' THEN feed || '/' || d || '/' || d || 'T00' || ending END AS key,
+      ending <> 'x.ndjson.gz' AS recognised, NOT changed AS same FROM p""",
+)
+def _(spark, sf):
+    """Manifests of two archives on disk, a shard a day: finished, unfinished and misnamed files; some shards were altered in one."""
+    events = v.table(spark, sf, "events")
+
+    def manifest(text):
+        root = scratch_path(spark, "shards")
+        rows = events.select(
+            F.col("event_type").alias("feed"), F.to_date("ts").cast("timestamp").alias("fetched_at"), F.lit(200).alias("http_status"),
+            F.lit(None).cast("timestamp").alias("feed_timestamp"), F.lit(1).alias("attempts"), text.cast("binary").alias("payload"),
+        )
+        archive.write_shards(rows, root, lambda feed, hour: {0: ".ndjson.gz.partial", 1: "x.ndjson.gz"}.get(int(hour[8:10]) % 5, ".ndjson.gz"))
+        return archive.shard_manifest(archive.shard_files(spark, root))
+
+    altered = F.when(F.col("value") > 399, F.concat(F.col("props"), F.lit("x"))).otherwise(F.col("props"))
+    ours, theirs = manifest(F.col("props")), manifest(altered)
+    both = ours.join(theirs.select("path", F.col("md5").alias("other")), "path", "full_outer")
+    return both.select("path", "partial", "key", "recognised", (F.col("md5") == F.col("other")).alias("same"))
+
+
 @query(
     "s13_runs_kept",
     with_("runs")

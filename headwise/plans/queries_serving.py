@@ -133,8 +133,27 @@ def _(spark, sf):
     with_("scheduled") + f"SELECT {D}, stop_sequence, count(*) AS events FROM scheduled GROUP BY scheduled.service_date, 2",
 )
 def _(spark, sf):
-    events = calendar.scheduled_events(v.services(spark), v.trips(spark, sf), v.stop_times(spark, sf))
-    return events.groupBy("service_date", "stop_sequence").agg(F.count(F.lit(1)).alias("events"))
+    events = calendar.event_words(v.services(spark), v.trips(spark, sf), v.stop_times(spark, sf))
+    return _by_sequence(events, {"events": F.col("bits")})
+
+
+@query(
+    "j7_events_of_a_day",
+    with_("scheduled") + f"SELECT {D}, trip_id, stop_sequence FROM scheduled WHERE scheduled.service_date = DATE '2024-01-09'",
+)
+def _(spark, sf):
+    return calendar.scheduled_events(v.services(spark), v.trips(spark, sf), v.stop_times(spark, sf), F.lit("2024-01-09").cast("date"))
+
+
+def _by_sequence(words, bits):
+    """Days of words counted by stop sequence; words of equal bits are counted before their days are told apart."""
+    alike = words.groupBy("stop_sequence", "word", *[c.alias(f"_{k}") for k, c in bits.items()]).agg(F.count(F.lit(1)).alias("n"))
+    days = alike.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    has = lambda k: F.getbit(f"_{k}", F.col("i")) == 1
+    day = F.date_from_unix_date((F.col("word") * 64 + F.col("i")).cast("int")).alias("service_date")
+    first = next(iter(bits))
+    sums = [F.sum(F.when(has(k), F.col("n")).otherwise(0)).alias(k) for k in bits]
+    return days.filter(has(first)).groupBy(day, "stop_sequence").agg(*sums)
 
 
 # -- coverage -----------------------------------------------------------------------------
@@ -147,11 +166,9 @@ def _(spark, sf):
     FROM scheduled c LEFT JOIN seen e USING (service_date, trip_id, stop_sequence) GROUP BY c.service_date, 2""",
 )
 def _(spark, sf):
-    events = calendar.scheduled_events(v.services(spark), v.trips(spark, sf), v.stop_times(spark, sf))
-    matched = coverage.match_events(events, v.observed(spark, sf))
-    return matched.groupBy("service_date", "stop_sequence").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if("observed").alias("observed")
-    )
+    events = calendar.event_words(v.services(spark), v.trips(spark, sf), v.stop_times(spark, sf))
+    matched = coverage.match_words(events, coverage.observed_words(v.observed(spark, sf)))
+    return _by_sequence(matched, {"events": F.col("bits"), "observed": F.col("seen")})
 
 
 _COVERAGE = with_("coverage") + f"SELECT {D}, scheduled_stop_events, observed_stop_events, coverage_pct, known_gap_reason FROM coverage"
@@ -166,12 +183,23 @@ def _(spark, sf):
 
 @query(
     "a16_day_coverage_in_effect",
-    with_("coverage") + f"SELECT {D}, scheduled_stop_events, observed_stop_events, coverage_pct FROM coverage WHERE service_date < DATE '2024-01-07'",
+    with_("seen", "services", "trips", "stop_times")
+    + """SELECT strftime(d.service_date, '%Y-%m-%d') AS service_date, count(c.trip_id) AS scheduled_stop_events, count(e.trip_id) AS observed_stop_events, round(count(e.trip_id) * 1000 / count(c.trip_id)::DOUBLE) / 10 AS coverage_pct
+    FROM (SELECT DISTINCT service_date FROM seen WHERE service_date < DATE '2024-01-07') d
+    JOIN (SELECT date, trip_id, stop_sequence FROM services JOIN trips USING (service_id) JOIN stop_times USING (trip_id)
+          WHERE date < DATE '2024-01-04' OR (direction_id = 0 AND stop_sequence <= 4)) c ON c.date = d.service_date
+    LEFT JOIN seen e ON e.service_date = d.service_date AND e.trip_id = c.trip_id AND e.stop_sequence = c.stop_sequence GROUP BY d.service_date""",
 )
 def _(spark, sf):
+    """Two versions: from the fourth day on, one that has half the trips and four stops of each."""
+    trips, times, services = v.trips(spark, sf), v.stop_times(spark, sf), v.services(spark)
+    second = lambda df: df.withColumn("feed_version_id", F.lit(2))
+    versions = spark.createDataFrame(
+        [(1, "2024-01-01", "2024-01-15", "2023-12-20 00:00:00"), (2, "2024-01-04", "2024-01-25", "2024-01-02 00:00:00")], "feed_version_id int, s string, e string, l string"
+    ).selectExpr("feed_version_id", "date(s) as feed_start_date", "date(e) as feed_end_date", "timestamp(l) as loaded_at", "timestamp(l) as load_completed_at")
     both = coverage.day_coverage(
-        v.observed(spark, sf), v.one_version(spark), v.trips(spark, sf), v.stop_times(spark, sf), v.services(spark),
-        v.gaps(spark), F.lit("2024-01-07").cast("date"), policy="in_effect",
+        v.observed(spark, sf), versions, trips.union(second(trips.filter("direction_id = 0"))), times.union(second(times.filter("stop_sequence <= 4"))),
+        services.union(second(services).select(*services.columns)), v.gaps(spark).limit(0), F.lit("2024-01-07").cast("date"), policy="in_effect",
     )
     return both.select("service_date", "scheduled_stop_events", "observed_stop_events", "coverage_pct")
 

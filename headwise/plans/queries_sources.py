@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import collapse
+from ..operators import calendar, collapse
 from ..session import scratch_path
 from ..sources import archive, gtfs, tables
 from . import documents, queries_serving
@@ -96,6 +96,45 @@ def _(spark, sf):
     return gtfs.pending_versions(offered, loaded)
 
 
+_LOADS = """WITH t AS (SELECT o_orderkey AS k, o_orderpriority AS p FROM orders)
+    SELECT * FROM (SELECT 'first' AS load, 1 AS feed_version_id, false AS skipped, count(*) AS trips, 0 AS junk, 1 AS versions FROM t
+    UNION ALL SELECT 'again', 1, true, count(*), 0, 1 FROM t
+    UNION ALL SELECT 'forced', 1, false, count(*) FILTER (WHERE k % 2 = 0), 0, 1 FROM t
+    UNION ALL SELECT 'second', 2, false, count(*) FILTER (WHERE k % 3 = 0), 0, 2 FROM t)"""
+
+
+@query("s4_load_protocol", _LOADS)
+def _(spark, sf):
+    """A load over what a dead one left, one that is skipped, a forced one, and another version beside it."""
+    store, junk = scratch_path(spark, "static"), "trip_id string, route_id string, service_id string, feed_version_id int"
+
+    def directory(version, kept):
+        at = scratch_path(spark, "gtfs")
+        write = lambda df, name: df.write.option("header", "true").csv(f"{at}/{name}.txt")
+        trips = v.trips(spark, sf).filter(kept)
+        write(spark.createDataFrame([(version, "20240101", "20240131")], "feed_version string, feed_start_date string, feed_end_date string").coalesce(1), "feed_info")
+        write(trips.selectExpr("trip_id", "route_id", "service_id", "trip_headsign", "direction_id"), "trips")
+        write(trips.select("route_id").distinct(), "routes")
+        write(v.stops(spark, sf).select("stop_id", "stop_name", "stop_lat", "stop_lon"), "stops")
+        write(trips.selectExpr("trip_id", "1 as stop_sequence", "'0' as stop_id", "'08:00:00' as arrival_time", "'08:00:00' as departure_time"), "stop_times")
+        write(trips.selectExpr("service_id", *[f"1 as {d}" for d in calendar.WEEKDAYS], "'20240101' as start_date", "'20240131' as end_date").distinct(), "calendar")
+        write(trips.limit(0).selectExpr("service_id", "'20240101' as date", "1 as exception_type"), "calendar_dates")
+        return at
+
+    # A load that died: trips of the version to come, no word of it in the registry.
+    dead = spark.createDataFrame([("junk", "r", "s", 1)] * 3, junk)
+    tables.replace_partitions(dead, f"{store}/trips", ["feed_version_id"])
+    out = None
+    for name, version, kept, force in (("first", "A", "true", False), ("again", "A", "trip_id % 2 = 0", False), ("forced", "A", "trip_id % 2 = 0", True), ("second", "B", "trip_id % 3 = 0", False)):
+        done = gtfs.load_static(spark, directory(version, kept), store, force=force)
+        trips = gtfs.stored_table(spark, store, "trips").filter(F.col("feed_version_id") == done.feed_version_id)
+        row = trips.agg(F.count("*").alias("trips"), F.count_if(F.col("trip_id") == "junk").cast("int").alias("junk"))
+        versions = gtfs.registry(spark, store).filter("load_completed_at is not null").count()
+        row = v.stored(row.select(F.lit(name).alias("load"), F.lit(done.feed_version_id).alias("feed_version_id"), F.lit(done.skipped).alias("skipped"), "trips", "junk", F.lit(versions).cast("int").alias("versions")), "load")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def _archived(spark, sf):
     root = scratch_path(spark, "archive")
     archive.write_archive(v.raw_polls(spark, sf), root)
@@ -149,8 +188,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "serving")
     cells = v.cells(spark, sf)
-    tables.swap(cells.withColumn("n", F.lit(-1).cast("long")), path, "v1")
-    tables.swap(cells, path, "v2")
+    for n in (-1, -2):
+        tables.swap(cells.withColumn("n", F.lit(n).cast("long")), path, "cells")
+    tables.swap(cells, path, "cells")
     return tables.current(spark, path)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import keys
+from . import tables
 
 SHARD_COLUMNS = ("shard_feed", "shard_date", "shard_hour")
 #: What Spark gives of a file as a whole.
@@ -20,7 +21,10 @@ def _records(raw: DataFrame) -> DataFrame:
 
 
 def _unpacked(files: DataFrame) -> DataFrame:
-    """The records of brotli files, which Spark's readers have no codec for; files have a column content."""
+    """The records of brotli files, which Spark's readers have no codec for; files have a column content.
+
+    Bytes that are no UTF-8 are replaced, as Spark's own reader does, so one bad line costs that line.
+    """
 
     def lines(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -32,9 +36,9 @@ def _unpacked(files: DataFrame) -> DataFrame:
                     # A part at a time: a shard is never held unpacked.
                     while part := stream.read(1 << 20):
                         *whole, rest = (rest + part).split(b"\n")
-                        yield pa.RecordBatch.from_pydict({"line": pa.array([x.decode() for x in whole if x], pa.string())})
+                        yield pa.RecordBatch.from_pydict({"line": pa.array([x.decode(errors="replace") for x in whole if x], pa.string())})
                     if rest:
-                        yield pa.RecordBatch.from_pydict({"line": pa.array([rest.decode()], pa.string())})
+                        yield pa.RecordBatch.from_pydict({"line": pa.array([rest.decode(errors="replace")], pa.string())})
 
     rows = files.select("content").mapInArrow(lines, "line string")
     return rows.select(F.from_json("line", schemas.ARCHIVE).alias("r")).select("r.*")
@@ -99,6 +103,35 @@ def write_archive(polls: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def write_shards(polls: DataFrame, root: str, ending: Callable[[str, str], str] = lambda feed, hour: ".ndjson.gz") -> None:
+    """Write polls as one file for each shard, named as the archive names them: ``feed/day/dayThour`` and an ending.
+
+    Spark chooses file names of its own, so shards are written aside and then renamed, one call for each.
+    A shard's lines are in order, so equal polls make equal files. ``ending``: of (feed, dayThour).
+    """
+    spark, aside = polls.sparkSession, f"{root.rstrip('/')}/_aside"
+    lines = archive_lines(polls).repartition(*SHARD_COLUMNS).sortWithinPartitions(*SHARD_COLUMNS, "fetched_at", "payload_b64")
+    (
+        lines.write.mode("overwrite")
+        .option("compression", "gzip")
+        .option("ignoreNullFields", "false")
+        .option("partitionOverwriteMode", "static")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        .partitionBy(*SHARD_COLUMNS)
+        .json(aside)
+    )
+    inside = lambda at: [n for n in tables.names(spark, at) if "=" in n]
+    for feed in inside(aside):
+        for day in inside(f"{aside}/{feed}"):
+            for hour in inside(f"{aside}/{feed}/{day}"):
+                where = f"{aside}/{feed}/{day}/{hour}"
+                own, date, stamp = feed.split("=")[1], day.split("=")[1], f"{day.split('=')[1]}T{hour.split('=')[1]}"
+                for file in tables.names(spark, where):
+                    if file.endswith(".json.gz"):
+                        tables.move(spark, f"{where}/{file}", f"{root.rstrip('/')}/{own}/{date}/{stamp}{ending(own, stamp)}")
+    tables.delete(spark, aside)
+
+
 def shard_files(spark: SparkSession, root: str, glob: str = "*.ndjson.*") -> DataFrame:
     """Shard files below ``root``: relative path, size, time, digest."""
     files = (

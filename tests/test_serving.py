@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 import math
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +226,32 @@ def test_nearest_matches_brute_force(spark, seed):
         assert got[p[0]] == brute_nearest(p, stops, 10), p
 
 
+def test_far_riders_meet_few_stops(spark):
+    rng = random.Random(9)
+    stops = spark.createDataFrame([(f"s{i:04d}", 43 + rng.gauss(0, 0.05), -89.4 + rng.gauss(0, 0.07)) for i in range(500)], "stop_id string, stop_lat double, stop_lon double")
+    far = spark.createDataFrame([(i, rng.uniform(-80, 80), rng.uniform(-179, 179)) for i in range(200)], "point_id int, lat double, lon double")
+    met = lookup.candidate_stops(far, stops, 10).groupBy("point_id").count().agg(F.count("*").alias("riders"), F.avg("count").alias("mean"), F.max("count").alias("most")).first()
+    assert met.riders == 200 and met.mean <= 100 and met.most <= 200
+
+
+def test_search_reads_one_index_for_all_batches(spark, tmp_path):
+    rng = random.Random(4)
+    syllables = ["uni", "ver", "bay", "st", "a", "mall", "o", "north", "é"]
+    stops = [(f"{i}", " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(3)), [], [str(rng.randint(1, 99))], rng.randint(0, 50), rng.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(stops, "stop_id string, stop_name string, headsigns array<string>, routes array<string>, n int, usable boolean")
+    index = lookup.write_index(lookup.stop_entries(df), str(tmp_path / "index"))
+    asked = ["bay", "bay mall", "a", "o st", "1", "BAYST", "verver", "zzz", "é", "north 7", "uni uni", "universty"]
+    for batch in (asked[:6], asked[6:]):
+        queries = spark.createDataFrame(list(enumerate(batch)), "query_id int, query string")
+        got = {}
+        for r in sorted(lookup.search_stops(queries, df, 8, 1, index=lookup.read_index(spark, str(tmp_path / "index"))).collect(), key=lambda r: r.rank):
+            got.setdefault(r.query_id, []).append(r.id)
+        for i, q in enumerate(batch):
+            hits = [s for s in stops if all(t in f"{s[1]}  {s[3][0]}".lower() for t in q.lower().split())]
+            assert got.get(i, []) == [s[0] for s in sorted(hits, key=lambda s: (not s[5], -s[4], s[0]))[:8]], q
+    assert index.postings.filter(F.length("gram") < 3).isEmpty()
+
+
 def test_nearest_with_few_stops(spark):
     rows = lookup.nearest_stops(spark.createDataFrame([(1, 0.0, 0.0)], "point_id int, lat double, lon double"),
                                 spark.createDataFrame([("a", 50.0, 9.0), ("b", 1.0, 1.0)], "stop_id string, stop_lat double, stop_lon double"))
@@ -341,3 +367,48 @@ def test_stop_document(spark):
     assert [(c["h"], c["confidence"], c["fallback"] and c["fallback"]["scope"]) for c in doc["cells"]] == [
         (7, "provisional", None), (8, "sparse", "band"), (9, "confident", None)]
     assert doc["cells"][1]["fallback"]["hours"] == [7, 8, 9] and doc["hasUsableData"] is True and doc["generatedAt"] == "now"
+
+
+# -- digests --------------------------------------------------------------------------------
+
+
+def test_digests_tell_values_and_nulls_apart(spark):
+    rows = [("1,2", "3"), ("1", "2,3"), ("1", None), ("1", ""), (None, "1"), ("", "1"), ("1:1", "-"), ("1", "1:-"), ("12", "3"), ("-", None)]
+    sums = {quality.content_checksum(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first().checksum for r in rows}
+    prints = {quality.table_fingerprint(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first() for r in rows}
+    assert len(sums) == len(prints) == len(rows)
+    twice = spark.createDataFrame([rows[0]] * 2, "a string, b string")
+    assert quality.content_checksum(twice, ["a", "b"]).first().checksum not in sums
+
+
+def _observed(spark, rows):
+    return spark.createDataFrame(rows, "service_date date, trip_id string, stop_sequence int, is_modified boolean, observed_arrival timestamp, delay_seconds int, scheduled_source int, route_id string, stop_id string")
+
+
+def test_digest_tree_finds_what_a_full_comparison_finds(spark, tmp_path):
+    at = datetime(2026, 9, 15, 12)
+    base = [(date(2026, 9, 15), f"T{i}", s, False, at + timedelta(seconds=i), i, 1, "80", None if i % 7 == 0 else "S") for i in range(300) for s in (1, 2)]
+    other = [r for r in base if r[1] != "T5"] + [(date(2026, 9, 15), "T999", 1, False, at, None, 1, "80", "S")]
+    other = [(*r[:4], r[4] + timedelta(seconds=30 if r[1] == "T8" else 90 if r[1] == "T9" else 0), *r[5:8], "" if r[1] == "T14" else r[8]) for r in other]
+    columns = [*quality.VISIT_KEY, *quality.COMPARED]
+
+    def leaves(df, name):
+        quality.digest_leaves(df, quality.VISIT_KEY, columns).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    a, b = _observed(spark, base), _observed(spark, other)
+    both = leaves(a, "a"), leaves(b, "b")
+    full = quality.table_diff(a, b)
+    tree = quality.tree_diff(a, b, both)
+    off = lambda df: sorted((r.trip_id, r.stop_sequence, r.status, tuple(r.diffs)) for r in df.filter("status <> 'match'").collect())
+    assert off(tree) == off(full) and {s for _, _, s, _ in off(full)} == {"only_a", "only_b", "mismatch", "within_tolerance"}
+    assert tree.count() < 40 < full.count()
+    assert quality.tree_summary(tree, both[0]).first() == quality.diff_summary(full).first()
+    # Equal tables: no bucket differs, no row reaches the join.
+    same = both[0], leaves(a.repartition(5), "c")
+    assert quality.differing_buckets(*same).isEmpty()
+    nothing = quality.tree_diff(a, a, same)
+    assert nothing.isEmpty() and quality.tree_summary(nothing, both[0]).first() == quality.diff_summary(quality.table_diff(a, a)).first()
+    none = leaves(a.limit(0), "d")
+    assert quality.tree_summary(quality.tree_diff(a.limit(0), a.limit(0), (none, none)), none).first().agreement_pct == 0.0
+    assert quality.tree_summary(quality.tree_diff(a.limit(0), a, (none, both[0])), none).first().only_b == 600

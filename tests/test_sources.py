@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import gzip
 import json
-from datetime import date, datetime
+import os
+from datetime import date, datetime, timedelta
 
 import pyarrow as pa
 import pytest
@@ -176,10 +177,35 @@ def test_replace_partitions_removes_emptied_periods(spark, tmp_path):
 
 def test_swap_keeps_old_until_done(spark, tmp_path):
     path = str(tmp_path / "s")
-    tables.swap(spark.createDataFrame([("a", 1)], "stop_id string, n int"), path, "v1")
-    assert tables.current(spark, path).first().n == 1
-    tables.swap(spark.createDataFrame([("a", 2)], "stop_id string, n int"), path, "v2")
-    assert tables.current(spark, path).first().n == 2
+    made = lambda n: spark.createDataFrame([("a", n)], "stop_id string, n int")
+    for n in range(1, 5):  # all within a second or two: numbers decide, not the clock
+        reader = tables.current(spark, path) if n > 1 else None
+        tables.swap(made(n), path, "t")
+        assert tables.current(spark, path).first().n == n and len(tables.names(spark, path)) == min(n, 2)
+        assert reader is None or reader.first().n == n - 1  # one that began before goes on
+    # A writer that died has a higher number and no mark: not current, and gone after the next swap but one.
+    os.makedirs(f"{path}/00000009-t")
+    assert tables.current(spark, path).first().n == 4
+    tables.swap(made(5), path, "t")
+    assert tables.current(spark, path).first().n == 5 and sorted(n[:8] for n in tables.names(spark, path)) == ["00000004", "00000010"]
+    tables.swap(spark.createDataFrame([(1,)], "x int"), path, "t", sort=[], keep=1)
+    assert tables.names(spark, path) == ["00000011-t"]
+
+
+def test_shards_get_the_archive_names(spark, tmp_path):
+    at = datetime(2026, 9, 15, 23, 30)
+    polls = [("trips", at + timedelta(minutes=20 * i), 200, None, 1, bytearray([i, 255])) for i in range(5)] + [("alerts", at, 200, None, 1, None)]
+    ddl = "feed string, fetched_at timestamp, http_status int, feed_timestamp timestamp, attempts int, payload binary"
+    df = spark.createDataFrame(polls, ddl)
+    for root in ("a", "b"):
+        archive.write_shards(df.repartition(3), str(tmp_path / root))
+    files = [archive.shard_manifest(archive.shard_files(spark, str(tmp_path / root))).drop("modified_at") for root in ("a", "b")]
+    assert {(r.key, r.partial) for r in files[0].collect()} == {
+        ("trips/2026/09/15/23.ndjson.gz", False), ("trips/2026/09/16/00.ndjson.gz", False),
+        ("alerts/2026/09/15/23.ndjson.gz", False)}
+    assert sorted(files[0].collect()) == sorted(files[1].collect())  # equal polls, equal bytes
+    back = archive.read_archive(spark, str(tmp_path / "a")).select("feed", "fetched_at", "payload")
+    assert sorted((r.feed, r.fetched_at, r.payload) for r in back.collect()) == sorted((f, t, p) for f, t, _, _, _, p in polls)
 
 
 def test_prune_runs(spark, tmp_path):
