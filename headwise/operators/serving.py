@@ -189,70 +189,67 @@ def ranked_candidates(totals: DataFrame, positions: DataFrame, min_n: int = k.N_
     )
 
 
-def position_trend(candidates: DataFrame, min_points: int = k.MIN_FIT_POINTS) -> DataFrame:
-    """Least-squares line of mean delay on position, per route.
+def _fit(over, min_points: int) -> dict[str, Column]:
+    """points, slope, intercept and residual_sd of the stops with a position; ``over`` closes each sum, by group or window.
 
-    Too few points give the zero line; no spread in position gives a flat one.
+    From six sums alone: the variance of what the line leaves is Syy - 2 b Sxy + b b Sxx, whatever its
+    height, so no second pass over the residuals is needed. What rounding leaves of a perfect fit counts as none.
     """
-    placed = candidates.filter("seq is not null")
-    fit = placed.groupBy("route_id").agg(
-        F.count(F.lit(1)).alias("points"),
-        F.var_pop("x").alias("_var"),
-        F.regr_slope("mean_delay", "x").alias("_slope"),
-        F.avg("x").alias("_x"),
-        F.avg("mean_delay").alias("_y"),
-    )
-    enough = F.col("points") >= min_points
-    slope = F.when(enough & (F.col("_var") > 0), F.col("_slope")).otherwise(F.lit(0.0))
-    return fit.withColumn("slope", slope).select(
-        "route_id",
-        "points",
-        "slope",
-        F.when(enough, F.col("_y") - F.col("slope") * F.col("_x")).otherwise(F.lit(0.0)).alias("intercept"),
-    )
+    placed = F.col("seq").isNotNull()
+    x, y = F.when(placed, F.col("x")), F.when(placed, F.col("mean_delay"))
+    n, sxx, syy, sxy = over(F.count(x)), over(F.var_pop(x)), over(F.var_pop(y)), over(F.covar_pop(x, y))
+    enough = n >= min_points
+    slope = F.when(enough & (sxx > 0), sxy / sxx).otherwise(F.lit(0.0))
+    intercept = F.when(enough, over(F.avg(y)) - slope * over(F.avg(x))).otherwise(F.lit(0.0))
+    left = syy - 2 * slope * sxy + slope * slope * sxx
+    sd = F.when((n > 1) & (left > 1e-12 * syy), F.sqrt(left * n / (n - 1))).otherwise(F.lit(0.0))
+    return {"points": n, "slope": slope, "intercept": intercept, "residual_sd": sd}
 
 
-def with_residuals(candidates: DataFrame, trend: DataFrame) -> DataFrame:
-    fitted = candidates.join(trend, "route_id", "left")
-    predicted = F.col("intercept") + F.col("slope") * F.col("x")
-    return fitted.withColumn("residual", F.when(F.col("seq").isNotNull(), F.col("mean_delay") - predicted))
+def position_trend(candidates: DataFrame, min_points: int = k.MIN_FIT_POINTS) -> DataFrame:
+    """Least-squares line of mean delay on position, per route, and the sample sd of what it leaves.
+
+    Too few points give the zero line; no spread in position gives a flat one. The sd is 0 for fewer than two
+    points. Routes without a placed stop are left out.
+    """
+    fit = candidates.groupBy("route_id").agg(*[c.alias(name) for name, c in _fit(lambda c: c, min_points).items()])
+    return fit.filter("points > 0")
 
 
-def residual_spread(residuals: DataFrame) -> DataFrame:
+def residual_spread(candidates: DataFrame, min_points: int = k.MIN_FIT_POINTS) -> DataFrame:
     """Sample sd of the residuals per route, 0 for fewer than two."""
-    return residuals.groupBy("route_id").agg(
-        F.when(F.count("residual") > 1, F.stddev_samp("residual")).otherwise(F.lit(0.0)).alias("residual_sd")
-    )
+    return candidates.groupBy("route_id").agg(_fit(lambda c: c, min_points)["residual_sd"].alias("residual_sd"))
 
 
-def flagged_stops(totals: DataFrame, positions: DataFrame, min_n: int = k.N_CONFIDENT) -> DataFrame:
-    """Candidates with ``flagged``: worse than their position on the route explains."""
-    candidates = ranked_candidates(totals, positions, min_n)
-    residuals = with_residuals(candidates, position_trend(candidates))
+def flagged_stops(
+    totals: DataFrame, positions: DataFrame, min_n: int = k.N_CONFIDENT, sds: float = k.OUTLIER_SDS, min_points: int = k.MIN_FIT_POINTS
+) -> DataFrame:
+    """Candidates with ``flagged``: worse by ``sds`` than their position on the route explains.
+
+    One window over each route's stops, of which each is read once.
+    """
+    route = Window.partitionBy("route_id")
+    fitted = ranked_candidates(totals, positions, min_n).withColumns(_fit(lambda c: c.over(route), min_points))
+    fitted = fitted.withColumns({c: F.when(F.col("points") > 0, F.col(c)) for c in ("slope", "intercept")})
+    predicted = F.col("intercept") + F.col("slope") * F.col("x")
+    residual = F.when(F.col("seq").isNotNull(), F.col("mean_delay") - predicted)
     sd = F.col("residual_sd")
-    flag = (sd > 0) & (F.col("residual") > k.OUTLIER_SDS * sd)
-    return residuals.join(residual_spread(residuals), "route_id", "left").withColumn(
-        "flagged", F.coalesce(flag, F.lit(False))
-    )
+    flag = (sd > 0) & (F.col("residual") > sds * sd)
+    return fitted.withColumn("residual", residual).withColumn("flagged", F.coalesce(flag, F.lit(False)))
 
 
 def best_and_worst(ranked: DataFrame, each: int = k.RANKED_STOPS) -> DataFrame:
-    """The ``each`` best and worst stops per route by rounded late share.
+    """The ``each`` best and worst stops per route by rounded late share, in one pass over each route.
 
     Ties are broken by stop id, so that both lists are the two ends of one order.
     """
     share = F.round("pct_late_240", 1)
     up = Window.partitionBy("route_id").orderBy(share, "stop_id")
     down = Window.partitionBy("route_id").orderBy(F.desc(share), F.desc("stop_id"))
-
-    def top(window, label: str) -> DataFrame:
-        return (
-            ranked.withColumn("rank", F.row_number().over(window))
-            .filter(F.col("rank") <= each)
-            .withColumn("list", F.lit(label))
-        )
-
-    return top(up, "best").unionByName(top(down, "worst"))
+    placed = ranked.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)})
+    ends = F.array(*[F.struct(F.lit(name).alias("list"), F.col(c).alias("rank")) for name, c in (("best", "_up"), ("worst", "_down"))])
+    lists = placed.filter((F.col("_up") <= each) | (F.col("_down") <= each)).select("*", F.inline(F.filter(ends, lambda e: e["rank"] <= each)))
+    return lists.drop("_up", "_down")
 
 
 # -- rankings over everything ---------------------------------------------------

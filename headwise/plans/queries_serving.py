@@ -366,8 +366,7 @@ _RANKED = """cand AS (SELECT rs.*, seq, max_seq, seq / max_seq::DOUBLE AS x FROM
 
 
 def _parts(spark, sf):
-    totals = v.stored(serving.route_stop_totals(v.cells(spark, sf)), "totals")
-    return totals, v.stored(calendar.stop_positions(_order(spark, sf)), "positions")
+    return serving.route_stop_totals(v.cells(spark, sf)), calendar.stop_positions(_order(spark, sf))
 
 
 @query(
@@ -375,7 +374,7 @@ def _parts(spark, sf):
     with_("rs", "positions") + f", {_RANKED} SELECT route_id, points, round(slope, 6) AS slope, round(intercept, 6) AS intercept FROM fit",
 )
 def _(spark, sf):
-    return serving.position_trend(serving.ranked_candidates(*_parts(spark, sf)))
+    return serving.position_trend(serving.ranked_candidates(*_parts(spark, sf))).drop("residual_sd")
 
 
 @query(
@@ -383,8 +382,7 @@ def _(spark, sf):
     with_("rs", "positions") + f", {_RANKED} SELECT route_id, round(residual_sd, 6) AS residual_sd FROM spread",
 )
 def _(spark, sf):
-    candidates = serving.ranked_candidates(*_parts(spark, sf))
-    return serving.residual_spread(serving.with_residuals(candidates, serving.position_trend(candidates)))
+    return serving.residual_spread(serving.ranked_candidates(*_parts(spark, sf)))
 
 
 @query(
@@ -395,6 +393,15 @@ def _(spark, sf):
     return serving.flagged_stops(*_parts(spark, sf)).select("route_id", "stop_id", "n", "seq", "residual", "flagged")
 
 
+@query(
+    "w7_flagged_at_half_an_sd",
+    with_("rs", "positions") + f", {_RANKED} SELECT route_id, stop_id, coalesce(residual_sd > 0 AND residual > 0.5 * residual_sd, false) AS flagged FROM flagged",
+)
+def _(spark, sf):
+    """A lower bound, which some stops pass and others don't."""
+    return serving.flagged_stops(*_parts(spark, sf), sds=0.5).select("route_id", "stop_id", "flagged")
+
+
 @query(
     "w6_best_and_worst",
     with_("rs", "positions")
