@@ -10,8 +10,9 @@ Equal sets are collapsed first, by size and a 128-bit digest, so a large group o
 node. Whole texts are read; nothing is capped.
 
 Null or empty text, or one without words: no shingles, linked with nothing, kept. A row without
-id is not linked: its component is null and it is kept. Rows that repeat an id are each returned;
-if their sets are equal they are one node. Other columns play no part.
+id is not linked: its component is null and it is kept. Rows that repeat an id are each returned with
+the component of their own text; a component is named by the smallest id of any text in it. No rows
+give no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -75,8 +76,8 @@ def _sketches(words: int, lower: bool):
             flat = np.concatenate(keys).view(np.int64)
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), *(pa.array(np.array(x, dtype=U).view(np.int64)) for x in (hi, lo)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["id", "n_shingles", "hi", "lo", "keys"],
+                [batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), *(pa.array(np.array(x, dtype=U).view(np.int64)) for x in (hi, lo)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["id", "mark", "n_shingles", "hi", "lo", "keys"],
             )
 
     return run
@@ -97,23 +98,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links of similarity ``num / den`` or more.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_sketches(words, lower), "id long, n_shingles long, hi long, lo long, keys array<long>"), "sketches")
+    # The mark tells the texts of a repeated id apart.
+    texts = texts.select("id", "text", F.xxhash64("text").alias("mark"))
+    rows = stored(texts.mapInArrow(_sketches(words, lower), "id long, mark long, n_shingles long, hi long, lo long, keys array<long>"), "sketches")
     whole = rows.where("id is not null and n_shingles > 0")
-    classes = whole.groupBy("hi", "lo", "n_shingles").agg(F.min("id").alias("node"))
-    nodes = stored(classes, "classes")
-    heads = whole.join(nodes.select("hi", "lo", F.col("node").alias("id")), ["hi", "lo", "id"], "left_semi").dropDuplicates(["id"])
+    # A node is a set; it is known by a number, as an id may stand with several sets.
+    classes = whole.groupBy("hi", "lo", "n_shingles").agg(F.min(F.struct("id", "mark")).alias("first"))
+    nodes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "n_shingles", "first.id", "first.mark"), "classes")
+    heads = whole.join(nodes.select("node", "hi", "lo", "n_shingles", "id", "mark"), ["hi", "lo", "n_shingles", "id", "mark"]).dropDuplicates(["node"])
     # A very small set is similar to no other.
     n = F.col("n_shingles")
     members = heads.where((n * den >= (n + 1) * num) | ((n - 1) * den >= n * num))
-    members = members.select(F.explode("keys").alias("bucket"), F.col("id").alias("node"))
+    members = members.select(F.explode("keys").alias("bucket"), "node")
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        own = only_keys(texts, nodes.withColumnRenamed("node", "id"), "id")
-        return own.groupBy(F.col("id").alias("node")).agg(F.max("text").alias("text"))
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        named = stored(nodes.join(chosen, "node", "left_semi").select("node", "id", "mark"), "named")
+        own = only_keys(texts, named.select("id").distinct(), "id").join(named, ["id", "mark"])
+        return own.groupBy("node").agg(F.max("text").alias("text"))
 
     roots = graph.linked(members, texts_of, shingler(words, lower), num, den)
-    classes = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, "node", "left").select("hi", "lo", "n_shingles", "id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
+    classes = rooted.join(least, "root").select("hi", "lo", "n_shingles", "least")
     ids = rows.select("id", "n_shingles", "hi", "lo")
-    linked = ids.where("id is not null and n_shingles > 0").join(classes, ["hi", "lo"])
-    out = linked.select("id", "n_shingles", "root").union(ids.where("id is null or n_shingles = 0").select("id", "n_shingles", "id"))
+    linked = ids.where("id is not null and n_shingles > 0").join(classes, ["hi", "lo", "n_shingles"])
+    out = linked.select("id", "n_shingles", F.col("least").alias("root")).union(ids.where("id is null or n_shingles = 0").select("id", "n_shingles", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("id") == F.col("root"), F.lit(True)).alias("kept"))

@@ -117,3 +117,12 @@ def test_line_dedup_edge_cases(spark):
     assert len(out.columns) == 2 + len(CLASHES)
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "same line here\nother"), (1, "same line here\n"), (1, "same line here\n"), (2, "")]
     assert line_dedup.drop_duplicate_lines(df.limit(0)).count() == 0
+
+
+def test_texts_of_a_repeated_id_keep_their_own_links(spark, words):
+    rng = random.Random(31)
+    text = prose(rng, words, 60)
+    rows = [(1, "zzz " + prose(rng, words, 40)), (1, text), (2, text + " more"), (3, text + " words"), (3, prose(rng, words, 30)), (4, None)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 4, True)]
+    assert near_dups.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
