@@ -72,7 +72,9 @@ def day_coverage(
     bit columns, so the timetable is never multiplied by days.
     """
     finished = observations.filter(F.col("service_date") < as_of)
-    days = bind_days(finished.select("service_date").distinct(), versions, policy)
+    # One value a day, read once; everything below needs them.
+    observed_days = [(r.service_date,) for r in finished.select("service_date").distinct().collect()]
+    days = bind_days(observations.sparkSession.createDataFrame(observed_days, "service_date date"), versions, policy)
     # The observed days that each version applies to.
     applies = calendar.day_words(days, [VERSION], "service_date").withColumnRenamed("bits", "_applies")
     running = calendar.day_words(services, [VERSION, "service_id"], "date").join(applies, [VERSION, "word"])
