@@ -102,9 +102,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.select("id", "text", F.xxhash64("text").alias("mark"))
     rows = stored(texts.mapInArrow(_sketches(words, lower), "id long, mark long, n_shingles long, hi long, lo long, keys array<long>"), "sketches")
     whole = rows.where("id is not null and n_shingles > 0")
-    # A node is a set; it is known by a number, as an id may stand with several sets.
+    # A node is a set; it is known by a number, as an id may stand with several sets. Numbers follow the
+    # ids, so the earliest document of a bucket, most often the one that was copied, is its centre.
     classes = whole.groupBy("hi", "lo", "n_shingles").agg(F.min(F.struct("id", "mark")).alias("first"))
-    nodes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "n_shingles", "first.id", "first.mark"), "classes")
+    ordered = classes.select("hi", "lo", "n_shingles", "first.id", "first.mark").orderBy("id", "mark")
+    nodes = stored(ordered.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     heads = whole.join(nodes.select("node", "hi", "lo", "n_shingles", "id", "mark"), ["hi", "lo", "n_shingles", "id", "mark"]).dropDuplicates(["node"])
     # A very small set is similar to no other.
     n = F.col("n_shingles")
