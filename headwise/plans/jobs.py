@@ -91,9 +91,17 @@ def rebuild_coverage(store: Tables, today: date) -> DataFrame:
 
 
 def publish(store: Tables, dates: list[date]) -> None:
-    """Bring the observations of some days up to what the stream has folded; nothing to do without a stream."""
-    if tables.exists(store.spark, polls.Store(store.root).states.path):
-        polls.publish(store.spark, polls.Store(store.root), dates)
+    """Bring the observations of some days up to what the stream has folded.
+
+    Days of which the stream has nothing stay as they are: they came from elsewhere.
+    """
+    spark, kept = store.spark, polls.Store(store.root)
+    if not tables.exists(spark, kept.states.path):
+        return
+    rows = kept.states.read(spark, polls.state_schema(spark)).filter(F.col("service_date").isin(dates))
+    held = [r.service_date for r in rows.select("service_date").distinct().collect()]
+    if held:
+        polls.publish(spark, kept, held)
 
 
 def rollup_job(store: Tables, dates: list[date], month: str | None, today: date) -> int:

@@ -134,3 +134,16 @@ def test_seeded_gaps_keep_what_is_set(spark, tmp_path):
     jobs.seed_gaps_job(store, str(seed))
     assert sorted(tuple(r) for r in store.gaps().collect()) == [
         (date(2026, 1, 1), "holiday"), (date(2026, 1, 2), "storm"), (date(2026, 1, 3), "outage")]
+
+
+def test_rollup_publishes_what_the_stream_has_folded(spark, tmp_path):
+    store = jobs.Tables(spark, str(tmp_path / "s"))
+    days = [date(2026, 1, 5), date(2026, 1, 6)]
+    old = spark.createDataFrame([(d, "80", "S") for d in days], "service_date date, route_id string, stop_id string")
+    tables.write_observations(old, store.path("observations"))
+    jobs.publish(store, days)  # no stream: nothing happens
+    at = datetime(2026, 1, 6, 8)
+    row = ("p", days[1], "T", 1, False, "81", "S", 8, 0, None, 0, 1, at, 0, None, at, at)
+    polls.fold(spark.createDataFrame([row], schemas.PREDICTIONS), polls.Store(store.root), 0)
+    jobs.publish(store, days)
+    assert {(r.service_date, r.route_id) for r in store.read("observations").collect()} == {(days[0], "80"), (days[1], "81")}
