@@ -65,6 +65,48 @@ def _least_common(x: Column, y: Column, num: int, den: int) -> Column:
     return F.ceil((x + y) * num / (num + den))
 
 
+#: 64-bit words of a set's parity bits.
+WORDS = 8
+#: Nodes of a bucket that may be compared with each other; larger ones take the prefix filter.
+FEW = 64
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of ``hashes`` falls in place i; of two sets the common ones cancel out."""
+    return np.packbits(np.bincount((hashes & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
+def _sketches(texts: DataFrame, shingler: Shingler) -> DataFrame:
+    """(node, n, w0, w1, ...): the size and parity bits of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = shingler(batch.column("text"))
+            bits = np.stack([parity(own) for own in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(own) for own in sets], pa.int64()), *(pa.array(w) for w in bits.T.copy())], ["node", "n", *_words()])
+
+    return texts.select("node", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("node", "n", *_words())))
+
+
+def _words() -> list[str]:
+    return [f"w{k}" for k in range(WORDS)]
+
+
+def _near_enough(num: int, den: int) -> Column:
+    """Whether sets x and y can be similar by size and parity bits; never false for a pair that is.
+
+    They differ in at least as many elements as their bits do, and similar ones in at most
+    ``(den - num) / (den + num)`` of their sizes together."""
+    apart = F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0")))
+    for w in _words()[1:]:
+        apart = apart + F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}")))
+    return apart * (den + num) <= (F.col("x_n") + F.col("y_n")) * (den - num)
+
+
+def _side(prefix: str, key: str) -> list[Column]:
+    return [F.col("node").alias(key), *(F.col(c).alias(f"{prefix}_{c}") for c in ("n", *_words()))]
+
+
 def _common_shingles(texts: DataFrame, shingler: Shingler, limit: int) -> dict[int, int]:
     """Counts of the shingles of many texts; where they are too many, of the commonest among them."""
 
@@ -121,14 +163,26 @@ def _by_rare_shingles(texts: DataFrame, roots: DataFrame, shingler: Shingler, nu
     return x.join(y, "shingle").where(able).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
-def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Shingler, num: int, den: int) -> DataFrame:
+def _by_buckets(held: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a common bucket with different roots that sizes and parity bits leave open.
+
+    held: (bucket, node, root) of buckets of few nodes."""
+    rows = held.join(sketches, "node").select("bucket", "root", "node", "n", *_words())
+    x = rows.select("bucket", F.col("root").alias("x_root"), *_side("x", "a"))
+    y = rows.select("bucket", F.col("root").alias("y_root"), *_side("y", "b"))
+    return x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("x_root") != F.col("y_root")) & _near_enough(num, den)).select("a", "b").distinct()
+
+
+def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingler: Shingler, num: int, den: int, bits: bool = False) -> DataFrame:
     """(node, root) of the components that confirmed links make; nodes without a link are absent.
 
-    members: (bucket, node), both long. ``texts_of`` gives (node, text) of the nodes in a stored
+    members: (bucket, node), both long, repeated or not. ``texts_of`` gives (node, text) of the nodes in a stored
     one-column table. In each bucket the smallest node is the centre of a star, so a bucket of n
     nodes gives n - 1 candidate pairs. A bucket whose nodes then lie in several components may hold
     a link that its star did not touch: the nodes of such buckets are compared again, exactly,
-    where the prefix filter leaves it open and their components differ.
+    where the prefix filter leaves it open and their components differ. With ``bits``, which pays for
+    sets of up to a thousand elements or so, texts go only to pairs that parity bits leave open, and
+    buckets of up to FEW nodes are compared by their bits alone, so no node meets more than that many.
     """
     w = W.partitionBy("bucket")
     shared = members.select("bucket", "node", F.min("node").over(w).alias("centre"), F.max("node").over(w).alias("last"))
@@ -136,12 +190,23 @@ def linked(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shing
     tried = stored(shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = stored(shared.select("node").distinct(), "nodes")
     texts = stored(texts_of(nodes), "texts")
-    roots = components(similar(tried, texts, shingler, num, den))
+    sketches = stored(_sketches(texts, shingler), "sketches") if bits else None
+    first = tried
+    if sketches is not None:
+        both = tried.join(sketches.select(*_side("x", "a")), "a").join(sketches.select(*_side("y", "b")), "b")
+        first = stored(both.where(_near_enough(num, den)).select("a", "b"), "near")
+    roots = components(similar(first, texts, shingler, num, den))
     held = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
-    open_ = stored(shared.join(mixed.select("bucket"), "bucket", "left_semi").select("node").distinct(), "open")
+    large = mixed.where(F.col("n") > FEW) if sketches is not None else mixed
+    open_ = stored(shared.join(large.select("bucket"), "bucket", "left_semi").select("node").distinct(), "open")
     rest = stored(texts.join(open_, "node", "left_semi"), "rest")
-    pairs = _by_rare_shingles(rest, roots, shingler, num, den).join(tried, ["a", "b"], "left_anti")
+    pairs = _by_rare_shingles(rest, roots, shingler, num, den)
+    if sketches is not None:
+        small = held.join(mixed.where(F.col("n") <= FEW).select("bucket"), "bucket", "left_semi")
+        both = pairs.join(sketches.select(*_side("x", "a")), "a").join(sketches.select(*_side("y", "b")), "b")
+        pairs = both.where(_near_enough(num, den)).select("a", "b").union(_by_buckets(small, sketches, num, den)).distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     more = similar(stored(pairs, "pairs"), texts, shingler, num, den)
     # New links join components as wholes.
     ends = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import CLASHES, prose, with_clashes  # noqa: F401
 
@@ -126,3 +128,48 @@ def test_texts_of_a_repeated_id_keep_their_own_links(spark, words):
     got = near_dups.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 3, True), (4, 4, True)]
     assert near_dups.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def line_keys(lines):
+    data, bounds = line_dedup.raw(pa.array(["\n".join(lines)]))
+    _, _, starts, ends = line_dedup.line_spans(data, bounds)
+    return np.concatenate([line_dedup.keys_of(line_dedup.signatures(*line_dedup.shingles(data, starts[k : k + 512], ends[k : k + 512]), len(starts[k : k + 512]))) for k in range(0, len(starts), 512)])
+
+
+@pytest.mark.parametrize("shortest, longest", [(10, 40), (40, 120)])
+def test_lines_at_the_threshold_share_a_bucket(words, shortest, longest):
+    rng = random.Random(21)
+    pairs = []
+    while len(pairs) < 2000:
+        a = [rng.choice(words) for _ in range(rng.randint(shortest, longest))]
+        b = [rng.choice(words) if rng.random() < 0.05 else w for w in a]
+        x, y = line_set(" ".join(a)), line_set(" ".join(b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.83:
+            pairs.append((" ".join(a), " ".join(b)))
+    keys = line_keys([x for pair in pairs for x in pair])
+    assert (keys[0::2] == keys[1::2]).any(axis=1).all()
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        both, x, y = (rng.integers(0, 1 << 63, rng.integers(0, n), dtype=np.uint64) for n in (3000, 300, 300))
+        bits = np.bitwise_xor(graph.parity(np.concatenate((both, x))), graph.parity(np.concatenate((both, y))))
+        apart = int(np.unpackbits(bits.view(np.uint8)).sum())
+        assert apart <= len(x) + len(y) and (apart + len(x) + len(y)) % 2 == 0
+
+
+def test_long_lines_and_lines_sharing_a_passage(spark, words):
+    rng = random.Random(17)
+    passage = prose(rng, words, 60)
+    lines = [passage + " " + prose(rng, words, rng.randint(14, 60)) for _ in range(120)]
+    chain = [prose(rng, words, 50)]
+    for _ in range(60):
+        own = chain[-1].split()
+        own[rng.randrange(len(own))] = rng.choice(words)
+        chain.append(" ".join(own))
+    long = prose(rng, words, 40_000)
+    rows = list(enumerate([*lines, *chain, long, long[:-3] + " é x"]))
+    got = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    want = closure(range(len(rows)), jaccard_links({i: line_set(x) for i, x in rows}, 80, 100))
+    assert {i for i, x in got.items() if x} == {i for i, r in want.items() if i == r}
