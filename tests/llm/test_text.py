@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,55 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def own_text(page):
+    return html_text.main_text(html_text.read(page), None)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><p>it's <a title=\"x > y\">link</a> and text", "it's link and text"),
+        ("<body><p>say \"hi <b class='a>b'>there</b>", 'say "hi there'),
+        ("<div class=post><h1>T</h1><p class=lead>lead</p><div class=entry><p>" + "body " * 60 + "</p></div></div>", "T\nlead\n" + " ".join(["body"] * 60)),
+        ("<article><h2 id=search>S</h2><h2 id='related-work'>R</h2><p id=legal>L</p><div class='header-image entry'>E</div></article>", "S\nR\nL\nE"),
+        ("<article><p>A</p><div class='ad-slot'>x</div><div id=sidebar-left>x</div><p class=notice>x</p><ul class='nav links'><li>x</ul></article>", "A"),
+        ("<body><form id=frame><div><p>All of the page</p><input><nav>no</nav></div></form>", "All of the page"),
+        ("<body><p>story of some length</p><form><p>mail</p></form>", "story of some length"),
+        ("<body><p>a < b and <b", "a < b and <b"),
+        ("<body><p>one</p><nav>two <i", "one"),
+    ],
+)
+def test_html_parts_that_stay_and_go(page, text):
+    assert own_text(page) == text
+
+
+@pytest.mark.parametrize("page", ['<a "' * 8000, '<a b="' * 150_000, '<a "' * 250_000, "<div>" * 100_000 + "x", "<div>" * 30_000 + "</b>" * 30_000])
+def test_html_reading_is_linear(page):
+    start = time.process_time()
+    own_text(page)
+    assert time.process_time() - start < 10  # quadratic work would take minutes
+
+
+def test_hosts_vote_for_their_own_layouts(spark):
+    frames = {
+        "a.example": ("<div class='page'><div class='text%d'>", "</div><div class='teasers'><a href=x>%s</a></div></div>"),
+        "b.example": ("<table><tr><td class='left'><a href=x>links of the site</a></td><td class='story'>", "</td></tr></table><p><a href=y>%s</a></p>"),
+        "c.example": ("<main><section class='copy'>", "</section></main><p><a href=y>%s</a></p>"),
+    }
+    rows, want = [], {}
+    for h, (before, after) in frames.items():
+        for i in range(12):
+            title, lead, body = f"Title {i}", f"Lead {i} of {h}", " ".join(f"w{i}x{k}" for k in range(5 + 7 * i))
+            # Some pages hold more in links than in text.
+            page = (before % i if "%" in before else before) + f"<h1>{title}</h1><p>{lead}</p><div class='entry'><p>{body}</p></div>" + after % ("teaser " * (3 if i % 3 else 300))
+            rows.append((len(rows), f"https://{h}/{i}", page))
+            want[rows[-1][0]] = f"{title}\n{lead}\n{body}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want
+    paths = {r.host: r.path.rpartition(">")[2] for r in html_text.winning_paths(df.select(html_text.host("url").alias("host"), "html")).collect()}
+    assert paths == {"a.example": "div.text", "b.example": "td.story", "c.example": "section.copy"} or paths["c.example"] == "main"
+
+
 def test_licenses(spark, words):
     rng = random.Random(1)
     mit = next(t for k, t in licenses.TEMPLATES if k == "MIT" and len(t) > 200)
