@@ -117,6 +117,17 @@ def test_samples_follow_the_exact_distribution():
     assert abs(np.mean([sum(math.exp(s[1]) / s[3] for s in x) for x in got]) - 1) < 0.02
 
 
+def test_a_text_alone_and_among_others_has_equal_samples(words):
+    lattices = pieces.Lattices(pieces.Vocabulary(SPM, 0.2))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    seeds = pieces.mix(np.arange(len(texts), dtype=np.uint64))
+    together = pieces.sampled(lattices, texts, seeds, 3)
+    for k, text in enumerate(texts):
+        alone = pieces.sampled(lattices, [text], seeds[k : k + 1], 3)[0]
+        assert [(a[0].tolist(), *a[1:]) for a in alone] == [(a[0].tolist(), *a[1:]) for a in together[k]]
+
+
 def test_few_segmentations_are_all_given():
     lattices = pieces.Lattices(pieces.Vocabulary(SPM, 0.5))
     exact = segmentations(lattices, "the a")
