@@ -68,7 +68,8 @@ def test_query_on_the_small_tables(spark, name):
     assert got and driver.queries()[name] is QUERIES[name]
     if name in SQL:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+        for view in ("documents", "conversations"):
+            con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SMALL}/{view}.parquet'")
         cur = con.execute(SQL[name])
         columns = [c[0] for c in cur.description]
         assert sorted(columns) == sorted(df.columns)
