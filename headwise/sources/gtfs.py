@@ -223,8 +223,7 @@ def load_static(
 
     started = F.current_timestamp()
     for table in schemas.STATIC_KEYS:
-        df = read_table(spark, directory, table, strict).withColumn("feed_version_id", F.lit(version_id))
-        tables.replace_partitions(df, f"{store}/{table}", ["feed_version_id"], emptied=[{"feed_version_id": version_id}])
+        tables.replace_partition(read_table(spark, directory, table, strict), f"{store}/{table}", {"feed_version_id": version_id})
     row = info.select(
         F.lit(version_id).alias("feed_version_id"),
         "feed_version", "feed_start_date", "feed_end_date",

@@ -79,21 +79,19 @@ def ingest_batch(
     fresh = new_polls(batch, store, batch_id)
     # Decoded once into a table: everything below reads it, and a lost executor costs no re-decoding.
     wanted = fresh.filter(F.col("feed").isin(*feeds_decoded))
-    stamped = decode.decode_polls(wanted).withColumn("batch", F.lit(batch_id))
-    tables.replace_partitions(stamped, store.path("decoded"), ["batch"], emptied=[{"batch": batch_id}])
+    tables.replace_partition(decode.decode_polls(wanted), store.path("decoded"), {"batch": batch_id})
     decoded = _batch_of(spark, store, "decoded", batch_id)
     if decoded is None:
         decoded = spark.createDataFrame([], schemas.DECODED)
 
     feeds = decode.good_feeds(decoded)
-    bad = decode.quarantine(decoded).withColumn("batch", F.lit(batch_id))
-    tables.replace_partitions(bad, store.path("quarantine"), ["batch"], emptied=[{"batch": batch_id}])
+    tables.replace_partition(decode.quarantine(decoded), store.path("quarantine"), {"batch": batch_id})
 
     rows = match.predictions(flatten.trip_updates(feeds), timetable, tz)
     fold(rows, store, batch_id)
     new = new_visits(spark, store, batch_id)
     metrics = poll_metrics(feeds, timetable, tz).join(new, "poll_id", "left").fillna(0, ["rows_changed"])
-    tables.replace_partitions(metrics.withColumn("batch", F.lit(batch_id)), store.path("metrics"), ["batch"], emptied=[{"batch": batch_id}])
+    tables.replace_partition(metrics, store.path("metrics"), {"batch": batch_id})
 
     runs = poll_runs(fresh, decoded, _batch_of(spark, store, "metrics", batch_id)).withColumn("batch", F.lit(batch_id))
     tables.replace_partitions(
