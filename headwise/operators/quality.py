@@ -193,11 +193,10 @@ def tree_diff(
 
 def tree_summary(diff: DataFrame, leaves: DataFrame) -> DataFrame:
     """:func:`diff_summary` of whole tables from a :func:`tree_diff` and the digests of the first."""
-    compared = diff_summary(diff)
-    # Rows of ``a`` that the comparison did not reach are equal.
-    reached = diff.agg(F.count_if(F.col("a").isNotNull()).alias("n")).scalar()
-    unread = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar() - reached
     names = ("mismatched", "only_a", "only_b")
-    whole = compared.select((F.col("matching") + unread).alias("matching"), "within_tolerance", *names)
+    # Rows of ``a`` that the comparison did not reach are equal, so all count that neither differ nor stand alone.
+    rows = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    matching = rows - F.col("mismatched") - F.col("only_a")
+    whole = diff_summary(diff).select(matching.alias("matching"), "within_tolerance", *names)
     total = F.col("matching") + F.col("mismatched") + F.col("only_a") + F.col("only_b")
     return whole.withColumn("agreement_pct", F.when(total > 0, F.round(F.col("matching") / total * 100, 4)).otherwise(F.lit(0.0)))

@@ -51,7 +51,7 @@ def _(spark, sf):
       round(count(*) FILTER (WHERE status IN ('match', 'within_tolerance')) * 100 / count(*)::DOUBLE, 4) AS agreement_pct FROM diff""",
 )
 def _(spark, sf):
-    sides = v.diff_sides(spark, sf)
+    sides = v.diff_sides(spark, sf, keep=True)
     leaves = _leaves(sides)
     return quality.tree_summary(quality.tree_diff(*sides, leaves), leaves[0])
 

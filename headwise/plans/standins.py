@@ -443,12 +443,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def diff_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def diff_sides(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two copies of the items that differ here and there; ``keep`` writes their base first, for those who read them often."""
     base = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(F.min(F.unix_seconds(times.as_instant(F.col("l_shipdate")))).alias("t"), F.min("l_suppkey").alias("r"))
     )
+    if keep:
+        base = stored(base, "items")
     key = F.col("l_orderkey")
 
     def side(df: DataFrame, shift, route) -> DataFrame:
