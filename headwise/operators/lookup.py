@@ -21,15 +21,20 @@ def nearest_stops(points: DataFrame, stops: DataFrame, limit: int = k.NEAREST_ST
     """The ``limit`` stops nearest each point (point_id, lat, lon), exactly; of equally near ones the smaller ids.
 
     Points with one id are one point. Stops without a place are left out, as are points without one.
+    Points at the very same place share one search, so its windows hold places, not points.
     """
-    pairs = candidate_stops(points, stops, limit)
+    one = points.filter("lat is not null and lon is not null").groupBy("point_id").agg(F.min(F.struct("lat", "lon")).alias("at"))
+    one = one.select("point_id", "at.lat", "at.lon")
+    places = one.groupBy("lat", "lon").agg(F.min("point_id").alias("point_id"))
+    pairs = candidate_stops(places, stops, limit)
     km = keys.distance_km(F.col("lat"), F.col("lon"), F.col("stop_lat"), F.col("stop_lon"))
     nearest = Window.partitionBy("point_id").orderBy("km", "stop_id")
-    return (
-        pairs.select("point_id", "stop_id", km.alias("km"))
+    found = (
+        pairs.select("point_id", "lat", "lon", "stop_id", km.alias("km"))
         .withColumn("rank", F.row_number().over(nearest))
         .filter(F.col("rank") <= limit)
     )
+    return one.join(found.drop("point_id"), ["lat", "lon"]).select("point_id", "stop_id", "km", "rank")
 
 
 def candidate_stops(points: DataFrame, stops: DataFrame, limit: int) -> DataFrame:
@@ -48,14 +53,12 @@ def candidate_stops(points: DataFrame, stops: DataFrame, limit: int) -> DataFram
     number = lambda degrees: F.floor(F.least(F.greatest(degrees / FINEST_DEG, F.lit(0.0)), F.lit(8.0**6 - 1)))
     placed = placed.withColumns({"y": number(F.col("stop_lat") + 90), "x": number(F.col("stop_lon") + 180)})
     one = points.filter("lat is not null and lon is not null").groupBy("point_id").agg(F.min(F.struct("lat", "lon")).alias("at"))
-    kept = one.select("point_id", "at.lat", "at.lon")
+    # The topmost cells, 64 at most, hang on one root, the cell that holds the globe; every point begins with it.
+    root = [F.shiftright(number(F.col(c) + half), 3 * LEVELS).alias(p) for c, half, p in (("lat", 90, "py"), ("lon", 180, "px"))]
+    kept = one.select("point_id", "at.lat", "at.lon").select("*", *root)
     for level in range(LEVELS - 1, -1, -1):
-        cells = _cells(placed, level)
-        if level == LEVELS - 1:
-            # The topmost cells, 64 at most, hang on one root that every point has kept.
-            found = kept.withColumn("root", F.lit(0)).join(F.broadcast(cells.withColumn("root", F.lit(0))), "root").drop("root")
-        else:
-            found = kept.join(cells.withColumns({"py": F.shiftright("y", 3), "px": F.shiftright("x", 3)}), ["py", "px"])
+        cells = _cells(placed, level).withColumns({"py": F.shiftright("y", 3), "px": F.shiftright("x", 3)})
+        found = kept.join(F.broadcast(cells) if level == LEVELS - 1 else cells, ["py", "px"])
         kept = _within_reach(found, limit).select("point_id", "lat", "lon", F.col("y").alias("py"), F.col("x").alias("px"))
     return kept.join(placed.withColumnsRenamed({"y": "py", "x": "px"}), ["py", "px"]).drop("py", "px")
 
