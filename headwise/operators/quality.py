@@ -149,9 +149,16 @@ def key_bucket(key: Sequence[str], buckets: int = LEAVES) -> Column:
 
 
 def digest_leaves(df: DataFrame, key: Sequence[str], columns: Sequence[str | Column]) -> DataFrame:
-    """(bucket, n, high, low): the order-free digest of the rows of each bucket of keys."""
-    high, low = _row_sums(columns)
-    return df.groupBy(key_bucket(key).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), high.alias("high"), low.alias("low"))
+    """(bucket, n, high, low): the order-free digest of the rows of each bucket of keys.
+
+    Two 64-bit hashes of the values as they are, without a text of each row: leaves are only compared with
+    each other. Hashes skip nulls, so each value goes in with whether it is one.
+    """
+    values = [part for c in columns for part in (F.isnull(c), F.col(c) if isinstance(c, str) else c)]
+    hashed = df.select(key_bucket(key).alias("bucket"), *[F.xxhash64(F.lit(seed), *values).alias(name) for seed, name in enumerate(("high", "low"))])
+    # Halves add up in longs to four billion rows a bucket.
+    total = lambda c: F.sum(F.shiftright(c, 32)).cast("decimal(38,0)") * (1 << 32) + F.sum(F.col(c).bitwiseAND((1 << 32) - 1))
+    return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[total(c).cast("decimal(38,0)").alias(c) for c in ("high", "low")])
 
 
 def differing_buckets(a: DataFrame, b: DataFrame) -> DataFrame:
