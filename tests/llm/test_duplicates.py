@@ -159,6 +159,57 @@ def test_parity_bits_never_exceed_the_difference():
         assert apart <= len(x) + len(y) and (apart + len(x) + len(y)) % 2 == 0
 
 
+def family(words, copies):
+    """Lines that share half their words, some of them with a near copy."""
+    rng = random.Random(29)
+    passage = prose(rng, words, 12)
+    lines = [passage + " " + prose(rng, words, 12) for _ in range(60)]
+    return lines + [x + "s" for x in lines[:copies]]
+
+
+def test_sketches_equal_those_of_single_sets(words):
+    lines = [*family(words, 5), "ab", "é" * 9, "abcabcabcabc"]
+    data, bounds = line_dedup.raw(pa.array(["\n".join(lines)]))
+    _, _, starts, ends = line_dedup.line_spans(data, bounds)
+    n, bits = line_dedup.sketches(*line_dedup.shingles(data, starts, ends), len(starts))
+    for own, size, row in zip(line_dedup.shingler(pa.array(lines)), n, bits):
+        assert size == len(own) and (row == graph.parity(own)).all()
+
+
+def test_prefix_filter_makes_only_pairs_that_parity_bits_leave_open(spark, words):
+    lines = family(words, 10)
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, text string")
+    roots = spark.createDataFrame([], "node long, root long")
+    links = set(jaccard_links({i: line_set(x) for i, x in enumerate(lines)}, 80, 100))
+    plain, bits = ({tuple(r) for r in graph._by_rare_shingles(texts, roots, line_dedup.shingler, 80, 100, own).collect()} for own in (False, True))
+    assert links and links <= bits <= plain
+    assert len(bits) < 2 * len(links) < len(plain)
+
+
+def test_texts_are_asked_for_only_where_parity_bits_leave_a_pair_open(spark, words):
+    # Two buckets of few lines, of which ten have a near copy, and one of them all.
+    lines, asked = family(words, 10), []
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, text string")
+    small = [(k % 2, k) for k in range(len(lines))]
+    sets = [[i, len(x), *graph.parity(x).tolist()] for i, x in enumerate(line_dedup.shingler(pa.array(lines)))]
+    sketches = spark.createDataFrame(sets, graph.SKETCH)
+
+    def texts_of(nodes):
+        asked.append(nodes.count())
+        return texts.join(nodes, "node")
+
+    for members in (small, small + [(2, k) for k in range(len(lines))]):
+        asked.clear()
+        buckets = spark.createDataFrame(members, "bucket long, node long")
+        got = graph.linked(buckets, texts_of, line_dedup.shingler, 80, 100, lambda nodes: sketches.join(nodes, "node"))
+        sets_of = {i: line_set(x) for i, x in enumerate(lines)}
+        links = [(a, b) for a, b in jaccard_links(sets_of, 80, 100) if members is not small or a % 2 == b % 2]
+        assert {tuple(r) for r in got.collect()} == {(i, r) for i, r in closure({x for pair in links for x in pair}, links).items()}
+        # Those of the large bucket are asked for once, by the prefix filter; the others only for their links.
+        assert sorted(asked)[-1] <= (len(lines) if members is not small else 30)
+        assert sum(asked) <= (len(lines) if members is not small else 0) + 60
+
+
 def test_long_lines_and_lines_sharing_a_passage(spark, words):
     rng = random.Random(17)
     passage = prose(rng, words, 60)
