@@ -141,5 +141,20 @@ def interleaved(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` sorted into the mix: read in the order of its files, it keeps to the weights."""
+    """``docs`` sorted into the mix: read in the order of its files, it keeps to the weights.
+
+    Spark reads files in another order; :func:`placed` brings the rows back into that of the mix."""
     return interleaved(docs, **options).repartitionByRange("mix_place").sortWithinPartitions("mix_place").select("row.*")
+
+
+def placed(mix: DataFrame) -> DataFrame:
+    """The table that :func:`mixed` was written to, in the order of the mix, with ``mix_place``: how many rows come before.
+
+    The numbers in the files' names and the rows within files follow the mix. ``mix`` is a table as read from its files."""
+    rows = mix.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    files = rows.groupBy("_file").agg(F.count("*").alias("n")).withColumn("_part", part)
+    files = with_offsets(files, [], ["_part", "_file"], F.floor(F.col("_part") / 1024)).select("_file", "offset")
+    # A row for each file.
+    rows = rows.join(F.broadcast(files), "_file").withColumn("mix_place", F.col("offset") + F.col("_row"))
+    return rows.select(*mix.columns, "mix_place").repartitionByRange("mix_place").sortWithinPartitions("mix_place")

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -453,13 +453,13 @@ def _lattices(path: str, sharpness: float) -> Lattices:
     return _held[path, sharpness]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, sharpness: float = 1.0, seed: int = 2, with_ids: bool = True) -> DataFrame:
-    """Rows (id_col, rank, n_tokens, ids_crc32, log_prob, perturbed, inclusion, round_trip [, ids]).
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, sharpness: float = 1.0, seed: int = 2, with_ids: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (id_col, rank, n_tokens, ids_crc32, log_prob, perturbed, inclusion, round_trip [, ids] [, carried columns]).
 
     ``rank`` counts a text's samples from 1; ids_crc32 is that of the ids as little-endian 32-bit
-    integers; round_trip tells that the ids decode to the text. ``model`` is a path on the workers.
+    integers; round_trip tells that the ids decode to the text. Columns named in ``carry`` are passed through. ``model`` is a path on the workers.
     """
-    names = [id_col, "rank", "n_tokens", "ids_crc32", "log_prob", "perturbed", "inclusion", "round_trip", *["ids"] * with_ids]
+    names = [id_col, "rank", "n_tokens", "ids_crc32", "log_prob", "perturbed", "inclusion", "round_trip", *["ids"] * with_ids, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model, sharpness)
@@ -480,11 +480,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             if with_ids:
                 ends = np.concatenate(([0], np.cumsum([len(w) for w in whole]))).astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole))))
+            out += [c.take(pa.array(take)) for c in batch.columns[3:]]
             yield pa.RecordBatch.from_arrays(out, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, rank int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, inclusion double, round_trip boolean" + ", ids array<int>" * with_ids
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("key"))
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("key"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)))
     return texts.mapInArrow(run, schema)
 
 
