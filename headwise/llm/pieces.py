@@ -114,6 +114,13 @@ class Vocabulary:
         return np.where(held == key, self.to[slot], -1)
 
 
+def grown(x: np.ndarray, used: int, size: int) -> np.ndarray:
+    """Room for ``size`` elements with the first ``used`` of ``x``; the rest is not touched and takes no memory yet."""
+    out = np.empty(size, dtype=x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 class Lattices:
     """Units met so far: each node's edges, their probability given the node, and where they lead.
 
@@ -135,10 +142,9 @@ class Lattices:
 
     def _room(self, nodes: int, edges: int) -> None:
         if len(self.first) <= nodes:
-            self.first = np.concatenate((self.first, np.empty(nodes + nodes // 2 - len(self.first) + 1, dtype=np.int64)))
+            self.first = grown(self.first, self.n_nodes + 1, nodes + nodes // 2 + 1)
         if len(self.p) < edges:
-            more = edges + edges // 2 - len(self.p)
-            self.to, self.piece, self.source, self.p = (np.concatenate((x, np.empty(more, dtype=x.dtype))) for x in (self.to, self.piece, self.source, self.p))
+            self.to, self.piece, self.source, self.p = (grown(x, self.n_edges, edges + edges // 2) for x in (self.to, self.piece, self.source, self.p))
 
     def of(self, units: list[str]) -> np.ndarray:
         """First node of each unit."""
